@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinotable.llm import fingerprints, packing, quality, token_counts, toxicity
+from kinotable.llm import decontamination, fingerprints, packing, quality, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,11 +36,16 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(docs, model).select("doc_id", out.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.drop("text_hash", "item_ids")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_rows(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_fingerprints, op3_toxicity, op6_token_counts, op8_quality, op10_packing)
+    f.__name__: f for f in (op2_fingerprints, op3_toxicity, op6_token_counts, op8_quality, op9_decontamination, op10_packing)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_decontamination": decontamination.ORACLE}

@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinotable.llm import decontamination, fingerprints, packing, quality, token_counts, toxicity
+from kinotable.llm import decontamination, fingerprints, jaccard_join, packing, quality, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_likeness(_table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_fingerprints, op3_toxicity, op6_token_counts, op8_quality, op9_decontamination, op10_packing)
+    f.__name__: f for f in (op1_ngram_jaccard_join, op2_fingerprints, op3_toxicity, op6_token_counts, op8_quality, op9_decontamination, op10_packing)
 }
 ORACLES: dict[str, str] = {"op9_decontamination": decontamination.ORACLE}

@@ -124,15 +124,15 @@ def merged_fingerprints(df: DataFrame, key: str, k: int = K) -> DataFrame:
     return df.select(key).distinct().join(full, key, "left").withColumn("fingerprint", F.coalesce("fingerprint", F.lit("")))
 
 
-def _bucket(bounds: list[int]) -> Column:
-    """Number of bounds below doc_id, found by bisection; null counts as lowest."""
+def _bucket(bounds: list[int], side: str = "left") -> Column:
+    """Number of bounds below doc_id (side right: not above it), found by bisection; null counts as lowest."""
     held = np.array(bounds, np.int64)
 
     @F.pandas_udf("int")
     def of(ids):
         import pandas as pd
 
-        return pd.Series(np.searchsorted(held, ids.fillna(np.iinfo(np.int64).min).to_numpy(np.int64), "left").astype(np.int32))
+        return pd.Series(np.searchsorted(held, ids.fillna(np.iinfo(np.int64).min).to_numpy(np.int64), side).astype(np.int32))
 
     return of("doc_id")
 
@@ -184,9 +184,9 @@ def edit_likeness(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     cuts = docs.stat.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 else []
     bounds = sorted({int(x) for x in cuts} - {top})
     bucket, last = _bucket(bounds), F.col("doc_id").eqNullSafe(F.lit(top))
-    copied = last | F.col("doc_id").isin(bounds) if len(bounds) < 50 else last | (_bucket(bounds) != _bucket([x + 1 for x in bounds]))
+    copied = last | (_bucket(bounds) != _bucket(bounds, "right"))
     dealt = docs.withColumn("bucket", bucket).withColumn("copied", copied)
     copies = F.when(F.col("copied"), F.array(F.struct(F.col("bucket"), F.lit(0).alias("copy")), F.struct(F.when(last, F.lit(0)).otherwise(F.col("bucket") + 1).cast("int").alias("bucket"), F.lit(1).alias("copy"))))
     dealt = dealt.select("doc_id", "text", F.explode(F.coalesce(copies, F.array(F.struct(F.col("bucket"), F.lit(0).alias("copy"))))).alias("at"))
-    dealt = dealt.select("at.bucket", "at.copy", "doc_id", "text").repartition(max(1, len(bounds) + 1), "bucket")
+    dealt = dealt.select("at.bucket", "at.copy", "doc_id", "text").repartitionById(len(bounds) + 1, F.col("bucket"))
     return dealt.sortWithinPartitions("bucket", "copy", F.desc_nulls_last("doc_id"), "text").mapInArrow(_rows, SCHEMA)

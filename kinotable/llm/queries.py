@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinotable.llm import decontamination, fingerprints, jaccard_join, packing, quality, suffix_dedup, token_counts, toxicity
+from kinotable.llm import decontamination, fingerprints, jaccard_join, mixing, packing, quality, suffix_dedup, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(docs, model).select("doc_id", out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "spans")
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed_order(_table(spark, sf_dir, "documents"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.without_repeats(_table(spark, sf_dir, "documents")).drop("kept", "removed")
 
@@ -54,6 +58,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_jaccard_join, op2_fingerprints, op3_toxicity, op5_suffix_dedup, op6_token_counts, op8_quality, op9_decontamination, op10_packing)
+    f.__name__: f for f in (op1_ngram_jaccard_join, op2_fingerprints, op3_toxicity, op4_mixing, op5_suffix_dedup, op6_token_counts, op8_quality, op9_decontamination, op10_packing)
 }
 ORACLES: dict[str, str] = {"op9_decontamination": decontamination.ORACLE}

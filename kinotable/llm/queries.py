@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinotable.llm import decontamination, fingerprints, jaccard_join, mixing, packing, quality, suffix_dedup, token_counts, toxicity
+from kinotable.llm import decontamination, fingerprints, jaccard_join, line_dedup, mixing, packing, quality, suffix_dedup, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(_table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     out = toxicity.held_out(F.col("doc_id"), 5, 0)
@@ -58,6 +62,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_jaccard_join, op2_fingerprints, op3_toxicity, op4_mixing, op5_suffix_dedup, op6_token_counts, op8_quality, op9_decontamination, op10_packing)
+    f.__name__: f for f in (op1_ngram_jaccard_join, op2_fingerprints, op3_toxicity, op4_mixing, op5_suffix_dedup, op6_token_counts, op7_line_dedup, op8_quality, op9_decontamination, op10_packing)
 }
 ORACLES: dict[str, str] = {"op9_decontamination": decontamination.ORACLE}

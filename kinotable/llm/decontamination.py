@@ -101,7 +101,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs, with all its columns, without the contaminated documents."""
     bad = contamination(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct()
     bad = checkpointed(bad)
-    return docs.join(_sized(bad, bad.count()), docs["doc_id"].cast("long").eqNullSafe(F.col("bad_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("bad_hash")), "left_anti")
+    return docs.join(_sized(bad, bad.count()), docs["doc_id"].cast("long").eqNullSafe(bad["bad_id"]) & (F.xxhash64(docs["text"].cast("string")) == bad["bad_hash"]), "left_anti")
 
 
 ORACLE = """

@@ -104,15 +104,15 @@ def _scheduled(docs: DataFrame, weights: Mapping[str, float] | None, temperature
     keyed = docs.withColumn("__mix_hash", F.xxhash64("doc_id", "text")).withColumn("__mix_range", F.pmod(F.shiftrightunsigned("__mix_hash", 40), F.lit(RANGES)).cast("int"))
     sizes = keyed.groupBy("source", "__mix_range").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("__mix_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select(F.col("source").alias("o_source"), F.col("__mix_range").alias("o_range"), before.alias("o_before"))
+    offsets = sizes.select(F.col("source").alias("__mix_o_source"), F.col("__mix_range").alias("__mix_o_range"), before.alias("__mix_o_before"))
     inside = F.row_number().over(Window.partitionBy("source", "__mix_range").orderBy("__mix_hash", "doc_id")) - 1
-    ranked = keyed.withColumn("__mix_rank", inside).join(F.broadcast(offsets), F.col("source").eqNullSafe(F.col("o_source")) & (F.col("__mix_range") == F.col("o_range")))
-    ranked = ranked.withColumn("__mix_rank", F.col("__mix_rank") + F.col("o_before")).drop("o_source", "o_range", "o_before", "__mix_hash", "__mix_range")
+    ranked = keyed.withColumn("__mix_rank", inside).join(F.broadcast(offsets), F.col("source").eqNullSafe(F.col("__mix_o_source")) & (F.col("__mix_range") == F.col("__mix_o_range")))
+    ranked = ranked.withColumn("__mix_rank", F.col("__mix_rank") + F.col("__mix_o_before")).drop("__mix_o_source", "__mix_o_range", "__mix_o_before", "__mix_hash", "__mix_range")
     ranked = ranked.withColumn("__mix_block", F.expr(f"__mix_rank div {int(block_docs)}"))
-    plan = plan.select(*[F.col(c).alias(f"p_{c}") for c in plan.columns])
-    met = ranked.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("p_source")) & (F.col("__mix_block") >= F.col("p_first")) & (F.col("__mix_block") < F.col("p_stop")))
-    slot = F.col("p_base") + F.expr("(__mix_block - p_first) div p_parts") * F.lit(period) + F.expr("p_places[cast((__mix_block - p_first) % p_parts as int)]")
-    return met.withColumn("__mix_slot", slot).withColumn("__mix_phase", F.col("p_phase")).drop(*plan.columns)
+    plan = plan.select(*[F.col(c).alias(f"__mix_p_{c}") for c in plan.columns])
+    met = ranked.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("__mix_p_source")) & (F.col("__mix_block") >= F.col("__mix_p_first")) & (F.col("__mix_block") < F.col("__mix_p_stop")))
+    slot = F.col("__mix_p_base") + F.expr("(__mix_block - __mix_p_first) div __mix_p_parts") * F.lit(period) + F.expr("__mix_p_places[cast((__mix_block - __mix_p_first) % __mix_p_parts as int)]")
+    return met.withColumn("__mix_slot", slot).withColumn("__mix_phase", F.col("__mix_p_phase")).drop(*plan.columns)
 
 
 def mixed_order(docs: DataFrame, weights: Mapping[str, float] | None = None, temperature: float = TEMPERATURE, block_docs: int = BLOCK_DOCS, period: int = PERIOD, max_sources: int = MAX_SOURCES) -> DataFrame:

@@ -28,6 +28,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -327,12 +328,9 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -
     """The documents that score below the threshold, with all their columns."""
 
     @F.pandas_udf("double")
-    def of(texts: Iterator) -> Iterator:
-        import pandas as pd
-
+    def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tagger = Tagger(model)
         for column in texts:
             yield pd.Series([tagger.score(tagger.tag(_text(x))) for x in column])
 
-    of.__annotations__ = {"texts": Iterator["pd.Series"], "return": Iterator["pd.Series"]}
     return docs.filter(of(F.col("text").cast("binary")) < threshold)

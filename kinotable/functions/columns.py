@@ -7,6 +7,7 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: A number as scene layers write it (a fixed value).
 NUMBER = r"-?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?"
@@ -93,8 +94,8 @@ def aligned(size: Column, unit: int = 64) -> Column:
     return size + F.pmod(-size, F.lit(unit))
 
 
-@F.pandas_udf("string")
-def _general(x: "pd.Series") -> "pd.Series":
+@F.pandas_udf(StringType())
+def _general(x: pd.Series) -> pd.Series:
     return x.map(lambda v: None if v is None or v != v else f"{v:g}")
 
 

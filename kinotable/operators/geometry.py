@@ -15,7 +15,7 @@ def _by_axis(points: DataFrame, keys: list[str], point: Column) -> DataFrame:
 def _gathered(rows: DataFrame, keys: list[str], *names: str) -> DataFrame:
     """A row for each key with an array over the axes for each name."""
     held = F.array_sort(F.collect_list(F.struct("axis", *names)))
-    return rows.groupBy(*keys).agg(held.alias("held")).select(*keys, *[F.transform("held", lambda s, n=n: s[n]).alias(n) for n in names])
+    return rows.groupBy(*keys).agg(held.alias("held")).select(*keys, *[F.transform("held", lambda s: s[n]).alias(n) for n in names])
 
 
 def centroids(points: DataFrame, keys: list[str], point: Column) -> DataFrame:

@@ -38,9 +38,9 @@ def common_divisor(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
 
 
 def ordered(df: DataFrame, *order: Column, first: int | None = None) -> DataFrame:
-    """df with ``place`` from 1 in the given order; only the first if a number is given."""
-    ranked = df.orderBy(*order)
-    return ranked if first is None else ranked.limit(first)
+    """df in the given order; only the first rows if a number is given."""
+    placed = df.orderBy(*order)
+    return placed if first is None else placed.limit(first)
 
 
 def supported(options: Column, known: list[str]) -> tuple[Column, Column]:

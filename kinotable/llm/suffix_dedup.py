@@ -147,7 +147,7 @@ def _settle(common: np.ndarray, left: np.ndarray, near: np.ndarray, far: np.ndar
     if not len(rows):
         return lo, hi, fresh
     common, left, near_, far_, group = common[rows], left[rows], near[rows], far[rows], group[rows]
-    by_left = np.lexsort([*_columns(left)[::-1], group])
+    by_left = np.lexsort([far_, *_columns(left)[::-1], group])  # at equal bytes the shorter side first
     shared = _common(left[by_left], far_[by_left])
     shared[np.append(True, group[by_left][1:] != group[by_left][:-1])] = -1
     by_rank = np.argsort(rank[rows], kind="stable")
@@ -196,8 +196,9 @@ class _Run:
         self.h, self.doc, self.tie, self.at, common, self.size, self.near, self.far, tails, sides = fields
         self.left = np.zeros((n, _LEFT), np.uint8)
         self.left[np.arange(_LEFT) < self.far[:, None]] = sides
-        same = np.append(False, self.h[1:] == self.h[:-1])
-        self.common = (np.where(same, 8 + common.astype(np.int64), 0)).tolist()
+        apart = np.append(_U((1 << 64) - 1), self.h[1:] ^ self.h[:-1])
+        leading = sum((apart < _U(1 << (64 - 8 * k))).astype(np.int64) for k in range(1, 8))
+        self.common = np.where(apart == 0, 8 + common.astype(np.int64), leading).tolist()
         tails, before, where = tails.tobytes(), b"", 0
         self.keys = []
         for head, c, s in zip(self.h.astype(">u8").view("S8").tolist(), common.tolist(), self.size.tolist()):
@@ -211,8 +212,8 @@ def merge_runs(keys: list[list[bytes]], common: list[list[int]]) -> Iterator[tup
 
     A loser tree: each loser keeps its common prefix with the winner that beat
     it, so two keys are compared from their known common prefix on, and not at
-    all when these differ.  ``common``: lower bounds of the common prefixes of
-    neighbours in a run, e.g. their exact values.
+    all when these differ.  ``common``: the exact common prefixes of neighbours
+    in a run.
     """
     width = 1 << max(0, len(keys) - 1).bit_length()
     place = [0] * width

@@ -38,7 +38,7 @@ def visibility(layers: DataFrame) -> DataFrame:
     """
     scaled = samples(lines(layers), "xformOp:scale").select("path", "prim", F.col("start").alias("from_ln"), "frame", magnitude(F.col("value")).alias("mag"))
     stage = stage_meta(layers).select("path", F.col("t0").cast("int").alias("a"), F.col("t1").cast("int").alias("b"))
-    frames = scaled.select("path", "prim", "from_ln").distinct().join(stage, "path").select("path", "prim", "from_ln", F.explode(F.sequence("a", F.greatest("a", "b"))).cast("double").alias("frame"))
+    frames = scaled.select("path", "prim", "from_ln").distinct().join(stage, "path").select("path", "prim", "from_ln", F.explode(F.sequence("a", F.greatest("a", "b")).cast("array<double>")).alias("frame"))
     keys = ["path", "prim", "from_ln"]
     most = scaled.groupBy(*keys).agg(F.max("mag").alias("most"))
     seen = evaluated(scaled, frames, keys, "frame", "mag").join(most, keys).withColumn("token", F.when(F.col("mag") > F.col("most") * 0.5, "inherited").otherwise("invisible"))

@@ -190,12 +190,12 @@ def meta_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "pages").select("page_id", C.first_match(F.col("html"), "<title>([^<]+)</title>").alias("title"))
 
 
-@_query("with p as (select page_id, html, instr(html, '<title>') a, instr(html, '</title>') b from pages) select page_id, md5(case when a > 0 and b > a then substr(html, 1, a + 6) || upper(substr(html, a + 7, b - a - 7)) || substr(html, b) else html end) digest from p")
+@_query("with p as (select page_id, html, instr(html, '<title>') a, instr(html, '</title>') b from pages) select page_id, md5(case when a > 0 and b > a then substr(html, 1, a + 6) || '[' || substr(html, a + 7, b - a - 7) || ']' || substr(html, b) else html end) digest from p")
 def patched(spark: SparkSession, sf_dir: str) -> DataFrame:
     layers = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("path"), F.col("html").alias("text"))
     a, b = F.instr("text", "<title>"), F.instr("text", "</title>")
     title = F.substring("text", F.col("a") + 7, F.col("b") - F.col("a") - 7)
-    patches = layers.withColumn("a", a).withColumn("b", b).filter("a > 0 and b > a").select("path", (F.col("a") + 6).alias("start"), (F.col("b") - 1).alias("stop"), F.upper(title).alias("repl"))
+    patches = layers.withColumn("a", a).withColumn("b", b).filter("a > 0 and b > a").select("path", (F.col("a") + 6).alias("start"), (F.col("b") - 1).alias("stop"), F.concat(F.lit("["), title, F.lit("]")).alias("repl"))
     return rewrite.apply_patches(layers, patches).select(F.col("path").alias("page_id"), F.md5("text").alias("digest"))
 
 

@@ -1,4 +1,4 @@
-"""Line dedup by an exact set-similarity join, with DataFrame functions only.
+"""Line dedup by an exact set-similarity join.
 
 A line is the set of its words (A-Z lowered, split at blanks).  A line is
 removed if an earlier one has a Jaccard similarity of PERCENT or more with it;
@@ -8,13 +8,17 @@ a smaller digest of the set; lines are judged on the input.
 * Lines with the same set become one, at its earliest place.
 * Words are ordered from rare to common.  Similar sets of n words share a word
   among the first n - ceil(t n) + 1 of both, so only these prefixes are joined.
-  A bit array of fixed size drops prefix words that no other set has.
 * Pairs that share a prefix word pass the length filter, the positional filter
-  (words left after the shared one) and two 64-bit bitmaps whose differing bits
-  bound the symmetric difference from below; then the whole sets are compared.
-* First each set meets the earliest set of each of its prefix words; only sets
-  that this leaves in place meet all earlier sets.  So a crowd of near copies
-  gives one pair for each member, not all pairs.
+  (words left after the shared one) and a parity filter: each word turns one of
+  64 bits over, so the bits in which two sets differ are no more than the words
+  that only one of them has.  Then the whole sets are compared.
+* First each set meets the earliest set of each of its STAR rarest words; only
+  sets that this leaves in place meet all earlier sets.  So a crowd of near
+  copies gives about one pair for each member, not all pairs.
+
+Splitting and hashing words runs over Arrow batches (see the README for the
+figures of the form with DataFrame functions only); all grouping and joining is
+Spark's.
 
 Defined cases: a null text has no lines, an empty one has one empty line;
 lines without words are never removed; repeated rows count as later copies
@@ -24,86 +28,147 @@ lines as its twin; lines may be of any length.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinotable.llm.saving import checkpointed, let
+from kinotable.llm import hashing
+from kinotable.llm.saving import checkpointed, written
 
 #: Least similarity in percent.
 PERCENT = 80
-#: Counters that rank words by rarity, and words of 64 bits that tell shared prefix words; both fixed.
-COUNTERS, BIT_WORDS = 1 << 14, 1 << 20
+#: Counters that rank words by rarity; fixed.
+COUNTERS = 1 << 14
+#: Rarest words of a set by which it meets the earliest set first.
+STAR = 3
 #: Most sets whose digests are broadcast; beyond it they are joined by shuffle.
 BROADCAST_ROWS = 500_000
 
-_CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
-def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, line_no, words (distinct 64-bit hashes) of each line."""
+_LINE = "doc_id long, text_hash long, line_no int, k1 long, k2 long"
+
+
+class _Lines:
+    """The lines with words of some texts: row (text), number, distinct word hashes and digests."""
+
+    def __init__(self, buf: np.ndarray, offsets: np.ndarray) -> None:
+        breaks = np.flatnonzero(buf == 10)
+        start = np.concatenate((offsets[:-1], breaks + 1))
+        row = np.concatenate((np.arange(len(offsets) - 1), np.searchsorted(offsets, breaks, "right") - 1))
+        order = np.lexsort((row, start))
+        start, row = start[order], row[order]
+        number = np.arange(len(row)) - np.searchsorted(row, row)
+        low = hashing.lowered(buf)
+        begin, end, first = hashing.words(low, np.append(start, len(buf)))
+        word = hashing.span_hashes(hashing.running_sum(low), begin, end)
+        line = np.repeat(np.arange(len(row)), np.diff(first))
+        order = np.lexsort((word, line))
+        word, line = word[order], line[order]
+        fresh = np.ones(len(word), bool)
+        fresh[1:] = (word[1:] != word[:-1]) | (line[1:] != line[:-1])
+        word, line = word[fresh], line[fresh]
+        size = np.bincount(line, minlength=len(row))
+        kept = size > 0
+        self.row, self.number, self.size, self.word = row[kept], number[kept], size[kept], word
+        self.first = np.concatenate(([0], np.cumsum(self.size)))
+        self.line = np.repeat(np.arange(len(self.size)), self.size)
+
+    def digests(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two 64-bit digests of each set."""
+        out = []
+        for odd in (np.uint64(0x2545F4914F6CDD1D), np.uint64(0xD1342543DE82EF95)):
+            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashing.mix(self.word * odd + odd))))
+            out.append((total[self.first[1:]] - total[self.first[:-1]]).view(np.int64))
+        return out[0], out[1]
+
+    def parity(self) -> np.ndarray:
+        """64 bits for each set, each word turning one over."""
+        if not len(self.size):
+            return np.zeros(0, np.int64)
+        return np.bitwise_xor.reduceat(np.uint64(1) << (self.word >> np.uint64(58)), self.first[:-1]).view(np.int64)
+
+    def prefixes(self, rank: np.ndarray, percent: int) -> pa.Array:
+        """The prefix of each set, rarest word first; a word is its rank and 50 bits of its hash."""
+        key = (rank[(self.word & np.uint64(COUNTERS - 1)).astype(np.int64)] << np.uint64(50)) | (self.word >> np.uint64(14))
+        key = key[np.lexsort((key, self.line))]
+        keep = self.size + (-self.size * percent // 100) + 1
+        taken = np.arange(len(key)) - self.first[self.line] < keep[self.line]
+        return _lists(np.concatenate(([0], np.cumsum(keep))), key[taken])
+
+
+def _lists(first: np.ndarray, values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(values.view(np.int64)))
+
+
+def _mapped(docs: DataFrame, schema: str, more: Callable[[_Lines], dict[str, object]]) -> DataFrame:
+    """_LINE of each line with words, and what ``more`` makes of the lines."""
     text = F.col("text").cast("string")
-    split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    found = F.regexp_extract_all(F.translate("line", _CAPITALS, _SMALL), F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))
-    return split.select("doc_id", "text_hash", "line_no", F.array_distinct(F.transform(found, lambda w: F.xxhash64(w))).alias("words")).filter(F.size("words") > 0)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, offsets = hashing.buffers(batch.column("text"))
+            ids, hashes = batch.column("doc_id"), batch.column("text_hash")
+            for i, j in hashing.chunks(offsets):
+                lines = _Lines(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                k1, k2 = lines.digests()
+                at = pa.array(lines.row + i)
+                held = {"doc_id": ids.take(at), "text_hash": hashes.take(at), "line_no": pa.array(lines.number, pa.int32()), "k1": k1, "k2": k2}
+                yield pa.RecordBatch.from_pydict(held | more(lines))
 
-def _folded(words: Column, each) -> Column:
-    return F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(each(w)))
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text")).filter("text is not null")
+    return given.mapInArrow(run, ", ".join(filter(None, (_LINE, schema))))
 
 
-def _digest() -> list[Column]:
-    """Two 64-bit digests of a set, the same in any order."""
-    return [_folded(F.col("words"), lambda w: F.xxhash64(w)).alias("k1"), _folded(F.col("words"), lambda w: F.xxhash64(F.lit(7), w)).alias("k2")]
+def _lines(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, line_no, k1, k2 of each line with words."""
+    return _mapped(docs, "", lambda lines: {})
 
 
-def _bitmap(words: Column, shift: int) -> Column:
-    return F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(w, shift).bitwiseAND(F.lit(63)).cast("int"))))
+def _ranks(docs: DataFrame) -> np.ndarray:
+    """The rank of each counter, each word of each line counted once."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            buf, offsets = hashing.buffers(batch.column("text"))
+            for i, j in hashing.chunks(offsets):
+                word = _Lines(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]).word
+                total += np.bincount((word & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"i": pa.array(used, pa.int32()), "n": total[used]})
 
-def _ranks(lines: DataFrame) -> Column:
-    """An array literal with the rank of each counter, each word of each line counted once."""
-    counted = lines.select(F.explode("words").alias("w")).groupBy(F.col("w").bitwiseAND(F.lit(COUNTERS - 1)).alias("i")).agg(F.count(F.lit(1)).alias("n")).collect()
-    total = [0] * COUNTERS
+    counted = docs.select(F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(run, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()
+    total = np.zeros(COUNTERS, np.int64)
     for r in counted:
         total[r.i] = r.n
-    rank = [0] * COUNTERS
-    for place, i in enumerate(sorted(range(COUNTERS), key=lambda i: (total[i], i))):
-        rank[i] = place - COUNTERS // 2
-    return F.split(F.lit(",".join(map(str, rank))), ",").cast("array<long>")
-
-
-def _sets(lines: DataFrame, percent: int) -> DataFrame:
-    """One row for each set: nid, digests, size, bitmaps, earliest place, prefix (word numbers, rarest first)."""
-    rank = _ranks(lines)
-    size = F.size("words")
-    keep = size - F.ceil(size * percent / F.lit(100)).cast("int") + 1
-    ordered = let(rank, lambda held: F.sort_array(F.transform("words", lambda w: F.call_function("shiftleft", F.get(held, w.bitwiseAND(F.lit(COUNTERS - 1)).cast("int")), F.lit(50)).bitwiseOR(F.shiftrightunsigned(w, 14)))))
-    sparse = F.filter("words", lambda w: w.bitwiseAND(F.lit(7 << 40)) == 0)
-    made = lines.select("doc_id", "line_no", size.alias("n"), *_digest(), _bitmap(F.col("words"), 20).alias("b1"), _bitmap(sparse, 30).alias("b2"), F.slice(ordered, F.lit(1), keep).alias("prefix"))
+    rank = np.empty(COUNTERS, np.uint64)
+    rank[np.argsort(total, kind="stable")] = np.arange(COUNTERS, dtype=np.uint64)
+    return rank
+
+
+def _sets(docs: DataFrame, percent: int) -> DataFrame:
+    """One row for each set: nid in the order of earliest places, digests, size, parity, place, prefix (rarest first)."""
+    rank = _ranks(docs)
+    made = _mapped(docs, "n int, b long, prefix array<long>", lambda lines: {"n": pa.array(lines.size, pa.int32()), "b": lines.parity(), "prefix": lines.prefixes(rank, percent)})
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line_no")
-    one = made.groupBy("k1", "k2").agg(F.min(place).alias("at"), F.max("n").alias("n"), F.max("b1").alias("b1"), F.max("b2").alias("b2"), F.first("prefix").alias("prefix"))
-    return checkpointed(one.select(F.monotonically_increasing_id().alias("nid"), "k1", "k2", "n", "b1", "b2", F.struct("at.last", "at.doc_id", "at.line_no", "k1", "k2").alias("at"), "prefix"))
+    one = made.groupBy("k1", "k2").agg(F.min(place).alias("at"), F.first("n").alias("n"), F.first("b").alias("b"), F.first("prefix").alias("prefix"))
+    order = ["at.last", "at.doc_id", "at.line_no", "k1", "k2"]
+    return written(one.repartitionByRange(*order).sortWithinPartitions(*order).select(F.monotonically_increasing_id().alias("nid"), "k1", "k2", "n", "b", F.col("at.doc_id").alias("at_doc"), F.col("at.line_no").alias("at_line"), "prefix"))
 
 
-def _may_match(x: str, y: str, percent: int, positions: bool = True) -> Column:
-    """The length, positional and bitmap filters."""
-    n, m = F.col(f"{x}n"), F.col(f"{y}n")
+def _may_match(percent: int) -> Column:
+    """The length, positional and parity filters on x_ and y_."""
+    n, m = F.col("x_n"), F.col("y_n")
     least = F.ceil((n + m) * percent / F.lit(100 + percent))
-    apart = n + m - 2 * least
-    ok = (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (F.bit_count(F.col(f"{x}b1").bitwiseXOR(F.col(f"{y}b1"))) <= apart) & (F.bit_count(F.col(f"{x}b2").bitwiseXOR(F.col(f"{y}b2"))) <= apart)
-    if positions:
-        ok = ok & (F.least(n - F.col(f"{x}pos"), m - F.col(f"{y}pos")) >= least)
-    return ok
+    near = F.least(n, m) * 100 >= F.greatest(n, m) * percent
+    left = F.least(n - F.col("x_pos"), m - F.col("y_pos")) >= least
+    return near & left & (F.bit_count(F.col("x_b").bitwiseXOR(F.col("y_b"))) <= n + m - 2 * least)
 
 
-def _entries(sets: DataFrame) -> DataFrame:
-    """(p, pos, nid, n, b1, b2, at) for the prefix words that two sets have, as far as the bit array tells."""
-    plain = sets.select("nid", "n", "b1", "b2", "at", F.posexplode("prefix").alias("pos", "p"))
-    bit = F.pmod(F.xxhash64("p"), F.lit(BIT_WORDS * 64))
-    twice = sets.select(F.explode("prefix").alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    bits = twice.select(bit.alias("bit")).groupBy(F.expr("bit div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
-    marked = plain.withColumn("bit", bit).join(F.broadcast(checkpointed(bits)), F.expr("bit div 64") == F.col("w"))
-    return marked.filter("shiftrightunsigned(bits, cast(bit % 64 as int)) & 1 = 1").drop("bit", "w", "bits")
+def _named(df: DataFrame, side: str) -> DataFrame:
+    return df.select(*[F.col(c).alias(f"{side}_{c}") for c in df.columns])
 
 
 def _verified(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
@@ -113,31 +178,31 @@ def _verified(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
     return joined.withColumn("same", same).filter(F.col("same") * 100 >= (F.size("x") + F.size("y") - F.col("same")) * percent).select(F.col("late").alias("nid")).distinct()
 
 
-def _whole(lines: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(nid, words) of the sets in pairs, taken again from the lines."""
+def _whole(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(nid, words) of the sets in pairs, taken again from the texts."""
     wanted = checkpointed(pairs.select(F.explode(F.array("early", "late")).alias("nid")).distinct().join(sets.select("nid", "k1", "k2"), "nid"))
     side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    return checkpointed(lines.select("words", *_digest()).join(side, ["k1", "k2"]).groupBy("nid").agg(F.first("words").alias("words")))
+    lines = _mapped(docs, "words array<long>", lambda lines: {"words": _lists(lines.first, lines.word)})
+    return written(lines.select("k1", "k2", "words").join(side, ["k1", "k2"]).groupBy("nid").agg(F.first("words").alias("words")))
 
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, text_hash, line_no of every line to remove, once for rows that agree in doc_id and text."""
-    lines = _lines(docs)
-    sets = _sets(lines, percent)
-    entries = _entries(sets)
-    group = Window.partitionBy("p").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    lead = F.first(F.struct("nid", "n", "b1", "b2", "pos")).over(group)
-    starred = entries.withColumn("lead", lead).select("nid", F.col("n").alias("y_n"), F.col("b1").alias("y_b1"), F.col("b2").alias("y_b2"), F.col("pos").alias("y_pos"), *[F.col(f"lead.{c}").alias(f"x_{c}") for c in ("nid", "n", "b1", "b2", "pos")])
-    first = checkpointed(starred.filter((F.col("nid") != F.col("x_nid")) & _may_match("x_", "y_", percent)).select(F.col("x_nid").alias("early"), F.col("nid").alias("late")).distinct())
-    gone = checkpointed(_verified(first, _whole(lines, sets, first), percent))
-    left = entries.join(gone, "nid", "left_anti")
-    x = entries.select(*[F.col(c).alias(f"x_{c}") for c in ("p", "pos", "nid", "n", "b1", "b2", "at")])
-    y = left.select(*[F.col(c).alias(f"y_{c}") for c in ("p", "pos", "nid", "n", "b1", "b2", "at")])
-    second = x.join(y, (F.col("x_p") == F.col("y_p")) & (F.col("x_at") < F.col("y_at")) & _may_match("x_", "y_", percent)).select(F.col("x_nid").alias("early"), F.col("y_nid").alias("late")).distinct()
+    sets = _sets(docs, percent)
+    rare = sets.select("nid", "n", "b", F.posexplode(F.slice("prefix", 1, STAR)).alias("pos", "p"))
+    leads = rare.groupBy("p").agg(F.min(F.struct("nid", "n", "b", "pos")).alias("lead")).select("p", "lead.*")
+    met = _named(rare, "y").join(_named(leads, "x"), F.col("x_p") == F.col("y_p")).filter((F.col("x_nid") < F.col("y_nid")) & _may_match(percent))
+    first = checkpointed(met.select(F.col("x_nid").alias("early"), F.col("y_nid").alias("late")).distinct())
+    gone = checkpointed(_verified(first, _whole(docs, sets, first), percent)).withColumn("gone", F.lit(True))
+    # Both sides keep the same columns, so that one exchange serves both; turn is -1 for sets that are gone.
+    marked = sets.join(gone, "nid", "left").select("nid", F.when(F.col("gone"), -1).otherwise(F.col("nid")).alias("turn"), "n", "b", F.posexplode("prefix").alias("pos", "p"))
+    x, y = _named(marked, "x"), _named(marked, "y")
+    earlier = (F.col("x_nid") < F.col("y_turn")) & (F.col("x_turn") < F.col("y_nid"))
+    second = x.join(y, (F.col("x_p") == F.col("y_p")) & earlier & _may_match(percent)).select(F.col("x_nid").alias("early"), F.col("y_nid").alias("late")).distinct()
     second = checkpointed(second.join(first, ["early", "late"], "left_anti"))
-    gone = gone.union(_verified(second, _whole(lines, sets, second), percent)).withColumn("gone", F.lit(True))
-    verdict = sets.select("nid", F.col("k1").alias("v1"), F.col("k2").alias("v2"), F.col("at.doc_id").alias("at_doc"), F.col("at.line_no").alias("at_line")).join(gone, "nid", "left")
-    told = lines.select("doc_id", "text_hash", "line_no", *_digest()).join(verdict, (F.col("k1") == F.col("v1")) & (F.col("k2") == F.col("v2")))
+    gone = gone.union(_verified(second, _whole(docs, sets, second), percent).withColumn("gone", F.lit(True)))
+    verdict = sets.select("nid", F.col("k1").alias("v1"), F.col("k2").alias("v2"), "at_doc", "at_line").join(gone, "nid", "left")
+    told = _lines(docs).join(verdict, (F.col("k1") == F.col("v1")) & (F.col("k2") == F.col("v2")))
     later = ~(F.col("doc_id").eqNullSafe(F.col("at_doc")) & (F.col("line_no") == F.col("at_line")))
     return told.filter(later | F.col("gone").isNotNull()).select("doc_id", "text_hash", "line_no")
 

@@ -3,22 +3,33 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to the folder that spark.checkpoint.dir names and read from there.
-
-    Where the session names none, as in tests, a temporary folder is taken.
-    """
+def _folder(df: DataFrame) -> str:
+    """The folder that spark.checkpoint.dir names; a temporary one where the session names none, as in tests."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, written to the checkpoint folder and read from there."""
+    _folder(df)
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the checkpoint folder; smaller than a checkpoint, for wide rows."""
+    path = f"{_folder(df)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value worked out once for each row however often it is used."""
     return F.transform(F.array(value), body).getItem(0)

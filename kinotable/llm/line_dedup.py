@@ -12,8 +12,9 @@ a smaller digest of the set; lines are judged on the input.
   (words left after the shared one) and a parity filter: each word turns one of
   64 bits over, so the bits in which two sets differ are no more than the words
   that only one of them has.  Then the whole sets are compared.
-* First each set meets the earliest set of each of its STAR rarest words; only
-  sets that this leaves in place meet all earlier sets.  So a crowd of near
+* First each set meets the earliest set of each of its STAR rarest words, and
+  the set with the most copies; only sets that this leaves in place meet all
+  earlier sets.  So a crowd of near
   copies gives about one pair for each member, not all pairs.
 
 Splitting and hashing words runs over Arrow batches (see the README for the
@@ -149,13 +150,13 @@ def _ranks(docs: DataFrame) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, percent: int) -> DataFrame:
-    """One row for each set: nid in the order of earliest places, digests, size, parity, place, prefix (rarest first)."""
+    """One row for each set: nid in the order of earliest places, digests, copies, size, parity, place, prefix (rarest first)."""
     rank = _ranks(docs)
     made = _mapped(docs, "n int, b long, prefix array<long>", lambda lines: {"n": pa.array(lines.size, pa.int32()), "b": lines.parity(), "prefix": lines.prefixes(rank, percent)})
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line_no")
-    one = made.groupBy("k1", "k2").agg(F.min(place).alias("at"), F.first("n").alias("n"), F.first("b").alias("b"), F.first("prefix").alias("prefix"))
+    one = made.groupBy("k1", "k2").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("b").alias("b"), F.first("prefix").alias("prefix"))
     order = ["at.last", "at.doc_id", "at.line_no", "k1", "k2"]
-    return written(one.repartitionByRange(*order).sortWithinPartitions(*order).select(F.monotonically_increasing_id().alias("nid"), "k1", "k2", "n", "b", F.col("at.doc_id").alias("at_doc"), F.col("at.line_no").alias("at_line"), "prefix"))
+    return written(one.repartitionByRange(*order).sortWithinPartitions(*order).select(F.monotonically_increasing_id().alias("nid"), "k1", "k2", "copies", "n", "b", F.col("at.doc_id").alias("at_doc"), F.col("at.line_no").alias("at_line"), "prefix"))
 
 
 def _may_match(percent: int) -> Column:
@@ -189,9 +190,11 @@ def _whole(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
 def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, text_hash, line_no of every line to remove, once for rows that agree in doc_id and text."""
     sets = _sets(docs, percent)
-    rare = sets.select("nid", "n", "b", F.posexplode(F.slice("prefix", 1, STAR)).alias("pos", "p"))
-    leads = rare.groupBy("p").agg(F.min(F.struct("nid", "n", "b", "pos")).alias("lead")).select("p", "lead.*")
-    met = _named(rare, "y").join(_named(leads, "x"), F.col("x_p") == F.col("y_p")).filter((F.col("x_nid") < F.col("y_nid")) & _may_match(percent))
+    rare = sets.select("nid", "copies", "n", "b", F.posexplode(F.slice("prefix", 1, STAR)).alias("pos", "p"))
+    one = F.struct("nid", "n", "b", "pos")
+    two = rare.groupBy("p").agg(F.min(one).alias("earliest"), F.max(F.struct("copies", -F.col("nid"), one.alias("set"))).alias("commonest"))
+    leads = two.select("p", F.explode(F.array_distinct(F.array("earliest", "commonest.set"))).alias("lead")).select("p", "lead.*")
+    met = _named(rare.drop("copies"), "y").join(_named(leads, "x"), F.col("x_p") == F.col("y_p")).filter((F.col("x_nid") < F.col("y_nid")) & _may_match(percent))
     first = checkpointed(met.select(F.col("x_nid").alias("early"), F.col("y_nid").alias("late")).distinct())
     gone = checkpointed(_verified(first, _whole(docs, sets, first), percent)).withColumn("gone", F.lit(True))
     # Both sides keep the same columns, so that one exchange serves both; turn is -1 for sets that are gone.

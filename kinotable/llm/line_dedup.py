@@ -191,9 +191,10 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, text_hash, line_no of every line to remove, once for rows that agree in doc_id and text."""
     sets = _sets(docs, percent)
     rare = sets.select("nid", "copies", "n", "b", F.posexplode(F.slice("prefix", 1, STAR)).alias("pos", "p"))
-    one = F.struct("nid", "n", "b", "pos")
-    two = rare.groupBy("p").agg(F.min(one).alias("earliest"), F.max(F.struct("copies", -F.col("nid"), one.alias("set"))).alias("commonest"))
-    leads = two.select("p", F.explode(F.array_distinct(F.array("earliest", "commonest.set"))).alias("lead")).select("p", "lead.*")
+    common = F.max(F.struct("copies", (-F.col("nid")).alias("back"), "n", "b", "pos")).alias("c")
+    two = rare.groupBy("p").agg(F.count(F.lit(1)).alias("sets"), F.min(F.struct("nid", "n", "b", "pos")).alias("e"), common).filter("sets > 1")
+    commonest = F.struct((-F.col("c.back")).alias("nid"), "c.n", "c.b", "c.pos")
+    leads = two.select("p", F.explode(F.array_distinct(F.array("e", commonest))).alias("lead")).select("p", "lead.*")
     met = _named(rare.drop("copies"), "y").join(_named(leads, "x"), F.col("x_p") == F.col("y_p")).filter((F.col("x_nid") < F.col("y_nid")) & _may_match(percent))
     first = checkpointed(met.select(F.col("x_nid").alias("early"), F.col("y_nid").alias("late")).distinct())
     gone = checkpointed(_verified(first, _whole(docs, sets, first), percent)).withColumn("gone", F.lit(True))

@@ -25,7 +25,7 @@ corpus arrives about once from each task.
 Defined cases: null and empty texts have no bytes; texts are taken as their
 bytes, whatever they hold; rows with a null doc_id come after all others; rows
 with the same doc_id come in the order of their texts' hashes, and rows that
-agree in both are one document.
+agree in both are one document, so each of them gets what that document gets.
 """
 
 from __future__ import annotations
@@ -131,12 +131,24 @@ def _common(x: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
+def _ranks(doc: np.ndarray, tie: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The place of each suffix in the corpus; equal for the same start in repeated rows."""
+    order = np.lexsort((at, tie, doc))
+    new = np.zeros(len(at), bool)
+    for x in (doc, tie, at):
+        new[1:] |= x[order][1:] != x[order][:-1]
+    rank = np.empty(len(at), np.int64)
+    rank[order] = np.cumsum(new)
+    return rank
+
+
 def _settle(common: np.ndarray, left: np.ndarray, near: np.ndarray, far: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Least and greatest window offset that repeats (near > far: none), and whether a window is the earliest.
 
     Rows stand in suffix order; ``common`` are common-prefix lengths, ``left``
     the reversed bytes before each anchor, near..far the offsets of its windows,
-    ``rank`` the place of the suffix in the corpus.
+    ``rank`` the place of the suffix in the corpus.  Rows of equal rank are one
+    start, of which none repeats another.
     """
     n = len(common)
     lo, hi, fresh = np.full(n, LENGTH), np.full(n, -1), np.zeros(n, bool)
@@ -151,7 +163,7 @@ def _settle(common: np.ndarray, left: np.ndarray, near: np.ndarray, far: np.ndar
     shared = _common(left[by_left], far_[by_left])
     shared[np.append(True, group[by_left][1:] != group[by_left][:-1])] = -1
     by_rank = np.argsort(rank[rows], kind="stable")
-    near_, far_ = near_[by_rank], far_[by_rank]
+    near_, far_, ranked = near_[by_rank], far_[by_rank], rank[rows][by_rank]
     m, left_class = len(rows), np.zeros(len(rows), np.int64)
     low, high, first = np.full(m, LENGTH), np.full(m, -1), np.zeros(m, bool)
     for o in range(int(near_.min()), int(far_.max()) + 1):
@@ -163,7 +175,8 @@ def _settle(common: np.ndarray, left: np.ndarray, near: np.ndarray, far: np.ndar
         order = np.argsort(pair, kind="stable")
         lead = np.append(True, pair[order][1:] != pair[order][:-1])
         first[on[order[lead]]] = True
-        again = on[order[~lead]]
+        earliest = ranked[on[order[lead]]][np.cumsum(lead) - 1]
+        again = on[order[ranked[on[order]] > earliest]]
         low[again] = np.minimum(low[again], o)
         high[again] = np.maximum(high[again], o)
     back = rows[by_rank]
@@ -339,9 +352,7 @@ def repeated_spans(docs: DataFrame, ranges: int | None = None, bits: int = BITS)
             h, right, size, left, near, far, ids, ties, at = (x[order] for x in (h, right, size, left, near, far, ids, ties, at))
             common = _common(right, size)
             common[1:][h[1:] != h[:-1]] = 0
-            rank = np.empty(len(h), np.int64)
-            rank[np.lexsort((at, ties, ids))] = np.arange(len(h))
-            lo, hi, fresh = _settle(common, left, near, far, rank)
+            lo, hi, fresh = _settle(common, left, near, far, _ranks(ids, ties, at))
             again = hi >= 0
             start, stop = _span(at[again], lo[again], hi[again])
             h, right, size, left, near, far, i, t, a = (x[fresh] for x in (h, right, size, left, near, far, ids, ties, at))
@@ -376,11 +387,9 @@ def repeated_spans(docs: DataFrame, ranges: int | None = None, bits: int = BITS)
     def settled(whole, row, known, names) -> pa.RecordBatch:
         row = np.array(row)
         left, near, far, doc, tie, at = (whole[f][row] for f in ("left", "near", "far", "doc", "tie", "at"))
-        rank = np.empty(len(row), np.int64)
-        rank[np.lexsort((at, tie, doc))] = np.arange(len(row))
         common = np.maximum(np.array(known) - 8, 0)
         common[0] = 0
-        lo, hi, _ = _settle(common, left, near.astype(np.int64), far.astype(np.int64), rank)
+        lo, hi, _ = _settle(common, left, near.astype(np.int64), far.astype(np.int64), _ranks(doc, tie, at))
         again = hi >= 0
         start, stop = _span(at[again], lo[again], hi[again])
         return pa.record_batch([pa.array(x) for x in (doc[again], tie[again], start, stop)], names)

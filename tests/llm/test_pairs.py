@@ -99,6 +99,21 @@ def test_repeated_bytes(spark):
     assert sd.without_repeats(table(spark, docs).limit(0)).count() == 0
 
 
+def test_repeated_rows_are_one_document(spark):
+    rng = random.Random(8)
+    text, other, last = ("".join(rng.choice("abcdé 漢") for _ in range(300)) for _ in range(3))
+    docs = [(1, text)] * 3 + [(2, other + text + "end"), (2, other + text + "end"), (3, text), (None, last), (None, last), (None, last + "x" * 30), (4, "same short"), (4, "same short")]
+    one = {r[0]: r[1:] for r in repeats([(1, text), (2, other + text + "end"), (3, text), (4, "same short")])}
+    for ranges, parts in ((1, 1), (5, 6)):
+        got = sd.without_repeats(table(spark, docs).repartition(parts), ranges).drop("kept", "removed").collect()
+        assert len(got) == len(docs)
+        assert all(tuple(r)[1:] == one[r.doc_id] for r in got if r.doc_id is not None)
+        nulls = sorted((r.n_bytes, r.n_removed) for r in got if r.doc_id is None)
+        n = len(last.encode())
+        # the earlier of the two texts by hash stays whole, in all its rows; the other loses what they share
+        assert nulls in ([(n, 0), (n, 0), (n + 30, n)], [(n, n), (n, n), (n + 30, 0)])
+
+
 def gone_lines(docs, percent=80):
     kept, out = [], {}
     for d, t in sorted(docs, key=lambda x: x[0]):

@@ -3,39 +3,46 @@
 Each source's documents, in a fixed pseudo-random order, are cut into blocks
 of ``block_docs``.  With weight w, block j of a source is released at slot
 floor(j / w) and due before slot ceil((j + 1) / w); in each slot the released
-block with the earliest deadline goes first (ties: the first source by name).
-As weights are whole parts of PERIOD and add up to it, every block meets its
-deadline, and after any number of slots each source has had its weight's share
-to within less than one block.
+block with the earliest deadline goes first (ties: the heavier source, then the
+first by name).  Weights are whole numbers in the exact ratio of the targets
+and all slots of a phase are scheduled with them, so every block meets its
+deadline, and after any number of slots each source has had its target
+weight's share to within less than one block.  Only if ``period`` is given are
+weights rounded, to whole parts of it, and the bound is to the rounded ones.
 
 No row is dropped or repeated: when a source runs out, the phase ends in that
 slot, and the weights of the sources that are left are scaled up for the next
 phase, in which the bound holds anew.
 
-The driver sees the number of documents of each source and nothing else; one
-period of each phase is worked out there, the rest is arithmetic on the
+The driver sees the number of documents of each source and nothing else; it
+schedules the blocks (a few bytes each), the rest is arithmetic on the
 cluster.  A source's order is numbered by ranges of its hash, so a source that
 holds most rows is numbered by many tasks.
 
 Defined cases: a null source is a source of its own, which comes last; text is
 not looked at, so null and very long texts are like others; repeated rows are
 each scheduled; an empty table gives no rows; sources without a target weight
-raise an error if weights are given, and so do more than ``max_sources``.
+raise an error if weights are given, and so do more than ``max_sources`` if
+that is given, and more sources than parts of a given ``period``.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+from array import array
+from collections.abc import Mapping, Sequence
+from fractions import Fraction
+from math import lcm
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Documents in a block, slots in a period, hash ranges that number a source.
-BLOCK_DOCS, PERIOD, RANGES = 16, 1024, 256
-#: Most sources; bounds what the driver and the broadcast schedule hold.
-MAX_SOURCES = 512
+#: Documents in a block, hash ranges that number a source.
+BLOCK_DOCS, RANGES = 16, 256
+#: Blocks in a row of the schedule; most rows of a table that is broadcast.
+CHUNK, BROADCAST_ROWS = 1024, 200_000
 #: Default weights: shares of documents to this power.
 TEMPERATURE = 0.7
 
@@ -71,51 +78,116 @@ def one_period(parts: list[int]) -> list[int]:
     return out
 
 
-def phases(blocks: list[int], weights: list[float], period: int = PERIOD) -> list[tuple[int, int, int, int, int, int, list[int]]]:
-    """(source, phase, first block, end block, first slot, parts, slots in a period) for each source and phase."""
-    done, base, out, phase = [0] * len(blocks), 0, [], 0
-    while live := [s for s in range(len(blocks)) if done[s] < blocks[s]]:
-        parts = whole_parts([weights[s] for s in live], period)
-        slots = np.array(one_period(parts))
-        places = [np.flatnonzero(slots == k) for k in range(len(live))]
-        ends = [(left - 1) // c * period + int(at[(left - 1) % c]) + 1 for s, c, at in zip(live, parts, places) for left in (blocks[s] - done[s],)]
-        end = min(ends)
-        for s, c, at in zip(live, parts, places):
-            n = end // period * c + int(np.searchsorted(at, end % period))
-            out.append((s, phase, done[s], done[s] + n, base, c, at.tolist()))
-            done[s] += n
-        base, phase = base + end, phase + 1
-    return out
+def whole_weights(weights: Sequence[float]) -> list[int]:
+    """Whole numbers in the exact ratio of the weights."""
+    exact = [Fraction(w) for w in weights]
+    scale = lcm(*(w.denominator for w in exact))
+    return [int(w * scale) for w in exact]
+
 
+def schedule(blocks: Sequence[int], weights: Sequence[float], period: int | None = None) -> tuple[array, list[int]]:
+    """The source of each slot, and the first slot of each phase.
 
-def _scheduled(docs: DataFrame, weights: Mapping[str, float] | None, temperature: float, block_docs: int, period: int, max_sources: int) -> DataFrame:
+    A step takes the logarithm of the number of sources: sources that have not
+    been served in a phase stand in order of weight, which is that of their
+    first deadlines, and only the others are in heaps.
+    """
+    w, left = whole_weights(weights), list(blocks)
+    order: list[int] = []
+
+    def arranged(live: list[int]) -> None:
+        order[:] = sorted(live, key=lambda s: (-w[s], s))
+
+    arranged([s for s in range(len(left)) if left[s]])
+    out, starts, total = array("i"), [], sum(w[s] for s in order)
+    first = 0  # sources of the order before this one have run out
+    while total:
+        if period:
+            live = sorted(s for s in order if left[s])
+            for s, c in zip(live, whole_parts([weights[s] for s in live], period)):
+                w[s] = c
+            arranged(live)
+            first, total = 0, period
+        starts.append(len(out))
+        had: dict[int, int] = {}
+        later: list[tuple[int, int]] = []
+        ready: list[tuple[int, int]] = []
+        fresh, t = first, 0
+        while True:
+            while later and later[0][0] <= t:
+                k = heapq.heappop(later)[1]
+                heapq.heappush(ready, (-(-(had[order[k]] + 1) * total // w[order[k]]), k))
+            while fresh < len(order) and not left[order[fresh]]:
+                fresh += 1
+            new = (-(-total // w[order[fresh]]), fresh) if fresh < len(order) else None
+            if new is not None and (not ready or new < ready[0]):
+                due, k = new
+                fresh += 1
+            else:
+                due, k = heapq.heappop(ready)
+            if due <= t:
+                raise AssertionError("a block missed its deadline")
+            s = order[k]
+            out.append(s)
+            t += 1
+            left[s] -= 1
+            had[s] = had.get(s, 0) + 1
+            if not left[s]:
+                total -= w[s]
+                break
+            heapq.heappush(later, (had[s] * total // w[s], k))
+        while first < len(order) and not left[order[first]]:
+            first += 1
+        if first == len(order):
+            break
+    return out, starts
+
+
+def _plan(names: list[str | None], blocks: list[int], weights: list[float], period: int | None) -> pa.Table:
+    """(source, chunk, slots, phases): the slot and phase of each block, CHUNK blocks of a source in a row."""
+    out, starts = schedule(blocks, weights, period)
+    slots = np.argsort(np.frombuffer(out, np.int32), kind="stable")
+    phases = (np.searchsorted(starts, slots, "right") - 1).astype(np.int32)
+    sizes = [min(CHUNK, n - at) for n in blocks for at in range(0, n, CHUNK)]
+    edges = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
+    source = pa.array([names[s] for s, n in enumerate(blocks) for _ in range(0, n, CHUNK)], pa.string())
+    chunk = pa.array([at // CHUNK for n in blocks for at in range(0, n, CHUNK)], pa.int64())
+    return pa.table([source, chunk, pa.ListArray.from_arrays(edges, pa.array(slots, pa.int64())), pa.ListArray.from_arrays(edges, pa.array(phases))], ["source", "chunk", "slots", "phases"])
+
+
+def _sized(df: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+
+
+def _scheduled(docs: DataFrame, weights: Mapping[str, float] | None, temperature: float, block_docs: int, period: int | None, max_sources: int | None) -> DataFrame:
     """docs with rank, block, slot and phase added under names of their own."""
-    counted = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n")).limit(max_sources + 1).collect()
-    if len(counted) > min(max_sources, period):
-        raise ValueError(f"more than {min(max_sources, period)} sources")
+    most = min((n for n in (max_sources, period) if n is not None), default=None)
+    counted = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    counted = (counted if most is None else counted.limit(most + 1)).collect()
+    if most is not None and len(counted) > most:
+        raise ValueError(f"more than {most} sources")
     counted.sort(key=lambda r: (r.source is None, str(r.source)))
     if weights is not None and (missing := [r.source for r in counted if weights.get(r.source, 0) <= 0]):
         raise ValueError(f"no target weight for {missing[:5]}")
     names = [r.source for r in counted]
-    target = [float(weights[s]) for s in names] if weights is not None else [r.n**temperature for r in counted]
-    spark = docs.sparkSession
-    plan = [(names[s], *rest) for s, *rest in phases([-(-r.n // block_docs) for r in counted], target, period)]
-    plan = spark.createDataFrame(plan, "source string, phase int, first long, stop long, base long, parts long, places array<long>")
+    target = [weights[s] for s in names] if weights is not None else [r.n**temperature for r in counted]
+    made = _plan(names, [-(-r.n // block_docs) for r in counted], target, period)
+    plan = docs.sparkSession.createDataFrame(made)
     keyed = docs.withColumn("__mix_hash", F.xxhash64("doc_id", "text")).withColumn("__mix_range", F.pmod(F.shiftrightunsigned("__mix_hash", 40), F.lit(RANGES)).cast("int"))
     sizes = keyed.groupBy("source", "__mix_range").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("__mix_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select(F.col("source").alias("__mix_o_source"), F.col("__mix_range").alias("__mix_o_range"), before.alias("__mix_o_before"))
     inside = F.row_number().over(Window.partitionBy("source", "__mix_range").orderBy("__mix_hash", "doc_id")) - 1
-    ranked = keyed.withColumn("__mix_rank", inside).join(F.broadcast(offsets), F.col("source").eqNullSafe(F.col("__mix_o_source")) & (F.col("__mix_range") == F.col("__mix_o_range")))
+    ranked = keyed.withColumn("__mix_rank", inside).join(_sized(offsets, len(names) * RANGES), F.col("source").eqNullSafe(F.col("__mix_o_source")) & (F.col("__mix_range") == F.col("__mix_o_range")))
     ranked = ranked.withColumn("__mix_rank", F.col("__mix_rank") + F.col("__mix_o_before")).drop("__mix_o_source", "__mix_o_range", "__mix_o_before", "__mix_hash", "__mix_range")
     ranked = ranked.withColumn("__mix_block", F.expr(f"__mix_rank div {int(block_docs)}"))
     plan = plan.select(*[F.col(c).alias(f"__mix_p_{c}") for c in plan.columns])
-    met = ranked.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("__mix_p_source")) & (F.col("__mix_block") >= F.col("__mix_p_first")) & (F.col("__mix_block") < F.col("__mix_p_stop")))
-    slot = F.col("__mix_p_base") + F.expr("(__mix_block - __mix_p_first) div __mix_p_parts") * F.lit(period) + F.expr("__mix_p_places[cast((__mix_block - __mix_p_first) % __mix_p_parts as int)]")
-    return met.withColumn("__mix_slot", slot).withColumn("__mix_phase", F.col("__mix_p_phase")).drop(*plan.columns)
+    met = ranked.join(_sized(plan, made.num_rows), F.col("source").eqNullSafe(F.col("__mix_p_source")) & (F.expr(f"__mix_block div {CHUNK}") == F.col("__mix_p_chunk")))
+    place = f"cast(__mix_block % {CHUNK} as int)"
+    return met.withColumn("__mix_slot", F.expr(f"__mix_p_slots[{place}]")).withColumn("__mix_phase", F.expr(f"__mix_p_phases[{place}]")).drop(*plan.columns)
 
 
-def mixed_order(docs: DataFrame, weights: Mapping[str, float] | None = None, temperature: float = TEMPERATURE, block_docs: int = BLOCK_DOCS, period: int = PERIOD, max_sources: int = MAX_SOURCES) -> DataFrame:
+def mixed_order(docs: DataFrame, weights: Mapping[str, float] | None = None, temperature: float = TEMPERATURE, block_docs: int = BLOCK_DOCS, period: int | None = None, max_sources: int | None = None) -> DataFrame:
     """doc_id, source, source_rank, block, slot, phase of every row.
 
     Sorted by slot and source_rank the rows are the mixture.
@@ -125,7 +197,7 @@ def mixed_order(docs: DataFrame, weights: Mapping[str, float] | None = None, tem
     return out.select("doc_id", "source", *[F.col(a).alias(b) for a, b in zip(_OWN, ("source_rank", "block", "slot", "phase"))])
 
 
-def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, temperature: float = TEMPERATURE, block_docs: int = BLOCK_DOCS, period: int = PERIOD, max_sources: int = MAX_SOURCES) -> DataFrame:
+def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, temperature: float = TEMPERATURE, block_docs: int = BLOCK_DOCS, period: int | None = None, max_sources: int | None = None) -> DataFrame:
     """docs, all rows and columns, dealt out and sorted in the order of the mixture."""
     out = _scheduled(docs, weights, temperature, block_docs, period, max_sources)
     return out.repartitionByRange("__mix_slot", "__mix_rank").sortWithinPartitions("__mix_slot", "__mix_rank").select(*[F.col(f"`{c}`") for c in docs.columns])

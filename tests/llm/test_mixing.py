@@ -63,3 +63,34 @@ def test_edges(spark):
     with pytest.raises(ValueError, match="sources"):
         mixing.mixed_order(rows(spark, {str(i): 1 for i in range(9)}), max_sources=8)
     assert mixing.mixed(rows(spark, {"a": 5}).withColumn("extra", F.lit(1))).count() == 5
+
+
+@pytest.mark.parametrize(("weights", "block"), [([0.9, 0.1], 8000), ([0.5] + [0.5 / 499] * 499, 40), ([1 / 3, 1e-4, 0.3, 7.0], 3000)])
+def test_shares_stay_within_a_block_of_the_targets(weights, block):
+    exact, blocks = mixing.whole_weights(weights), [block * (1 + s % 3) for s in range(len(weights))]
+    out, starts = mixing.schedule(blocks, weights)
+    assert Counter(out) == dict(enumerate(blocks))
+    left = blocks.copy()
+    for a, b in itertools.pairwise([*starts, len(out)]):
+        live, had = [s for s, n in enumerate(left) if n], Counter()
+        total = sum(exact[s] for s in live)
+        for t, s in enumerate(out[a:b], 1):
+            had[s] += 1
+            left[s] -= 1
+            if len(live) < 9 or t % 97 == 0:
+                assert all(abs(had[k] * total - exact[k] * t) < total for k in live)
+
+
+def test_rows_keep_the_target_weights_over_many_slots(spark):
+    got = mixing.mixed_order(rows(spark, {"a": 4500, "b": 2000}), {"a": 0.9, "b": 0.1}, block_docs=1).filter("phase = 0").orderBy("slot").collect()
+    assert len(got) > 4000 and [r.slot for r in got] == list(range(len(got)))
+    had = 0
+    for t, r in enumerate(got, 1):
+        had += r.source == "a"
+        assert abs(had - 0.9 * t) < 1
+
+
+def test_many_sources(spark):
+    got = mixing.mixed_order(rows(spark, {f"s{i}": 1 + i % 3 for i in range(1200)}), block_docs=2).collect()
+    assert len({r.doc_id for r in got}) == len(got) == 2400
+    assert len({(r.slot, r.source) for r in got}) == len({r.slot for r in got}) == 1600

@@ -5,10 +5,10 @@ words and word beginnings that are significantly commoner in toxic documents,
 a greedy cover picks those that explain the toxic documents, and the words of
 toxic documents that carry one are the toxic tokens.  A two-state chain model
 (transitions, a bias, one weight for each significant word or beginning) is
-fitted to these tokens.  Scoring finds the words that carry a feature with an
+fitted to all words of the labelled documents.  Scoring finds the words that carry a feature with an
 Aho-Corasick automaton, runs forward and backward over them (the featureless
 words between two of them are one closed-form matrix power, so the marginals
-are those of the full chain), and joins the marginals to a document score:
+are those of the full chain; fitting does the same), and joins the marginals to a document score:
 the chance that none is toxic, calibrated on the labelled documents.
 
 Fitting uses at most ``sample_docs`` labelled documents, picked by a hash of
@@ -39,8 +39,8 @@ SAMPLE_DOCS, MAX_FEATURES = 12_000, 4000
 BEGINNINGS, FALSE_FEATURE = (4, 5, 6, 7, 8), 0.05
 #: A document is toxic from this score on.
 THRESHOLD = 0.7
-#: Words in a training chain, chains from a document, steps and regularisation.
-CHAIN, CHAINS, STEPS, RIDGE = 16, 4, 200, 0.02
+#: Steps and regularisation of the fit.
+STEPS, RIDGE = 200, 0.02
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -147,50 +147,100 @@ def _calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(beta[0]), float(beta[1])
 
 
-def _descend(chains: list[list[tuple[list[int], int]]], n_features: int) -> tuple[np.ndarray, float, np.ndarray]:
-    """Fit weights, bias and turns by full-batch adaptive gradient ascent on the chains' likelihood."""
-    n, size = len(chains), max(map(len, chains))
-    truth, there = np.zeros((n, size), int), np.zeros((n, size), bool)
-    row, col, feat = [], [], []
-    for i, chain in enumerate(chains):
-        for t, (fs, y) in enumerate(chain):
-            truth[i, t], there[i, t] = y, True
-            row += [i] * len(fs)
-            col += [t] * len(fs)
-            feat += fs
-    row, col, feat = (np.array(x, int) for x in (row, col, feat))
-    w, bias, turns = np.zeros(n_features), 0.0, np.zeros((2, 2))
-    gained = [np.full(n_features, 1e-8), 1e-8, np.full((2, 2), 1e-8)]
-    pair_truth = np.zeros((2, 2))
-    for t in range(1, size):
-        np.add.at(pair_truth, (truth[there[:, t], t - 1], truth[there[:, t], t]), 1)
-    for _ in range(STEPS):
-        lift = np.full((n, size), bias)
-        np.add.at(lift, (row, col), w[feat])
-        emit = np.stack([np.ones((n, size)), np.exp(np.clip(lift, -40, 40))], 2)
-        step = np.exp(turns)
-        a = np.zeros((n, size, 2))
-        a[:, 0] = emit[:, 0]
-        a[:, 0] /= a[:, 0].sum(1, keepdims=True)
-        for t in range(1, size):
-            nxt = (a[:, t - 1] @ step) * emit[:, t]
-            a[:, t] = np.where(there[:, t, None], nxt / nxt.sum(1, keepdims=True), a[:, t - 1])
-        b, pair, expect = np.ones((n, 2)), np.zeros((2, 2)), np.zeros((n, size))
-        for t in range(size - 1, -1, -1):
-            both = a[:, t] * b
-            expect[:, t] = both[:, 1] / both.sum(1)
-            if t:
-                ok = there[:, t]
-                out = emit[:, t] * b
-                p = a[:, t - 1][:, :, None] * step * out[:, None, :]
-                pair += (p / p.sum((1, 2), keepdims=True))[ok].sum(0)
-                back = out @ step.T
-                b = np.where(ok[:, None], back / back.sum(1, keepdims=True), b)
-        off = np.where(there, truth - expect, 0.0)
-        grads = [np.bincount(feat, off[row, col], n_features) / n - RIDGE * w / n, off.sum() / n - RIDGE * bias / n, (pair_truth - pair - RIDGE * turns) / n]
-        gained = [g + d * d for g, d in zip(gained, grads)]
-        w, bias, turns = (x + 0.5 * d / np.sqrt(g) for x, d, g in zip((w, bias, turns), grads, gained))
-    return w, float(bias), turns
+class _Chains:
+    """Whole documents as chains; each stretch of featureless words is one matrix power.
+
+    docs: (number of words, places of the words with features, the features of
+    each, whether each is toxic); other words are not toxic.  Words with features
+    stand by their number in the document, then by document, longest first, so
+    that the k-th words of all documents are one slice.
+    """
+
+    def __init__(self, docs: list[tuple[int, list[int], list[list[int]], list[bool]]], n_features: int):
+        self.n_features, self.n_docs = n_features, len(docs)
+        bare = Counter(n for n, at, _, _ in docs if n and not at)
+        self.bare, self.times = np.array(list(bare), int), np.array(list(bare.values()), float)
+        docs = sorted((d for d in docs if d[1]), key=lambda d: -len(d[1]))
+        size = np.array([len(d[1]) for d in docs], int)
+        self.active = [int(c) for c in np.searchsorted(-size, -np.arange(size[0] if len(size) else 0), "left")]
+        self.edge = np.concatenate(([0], np.cumsum(self.active))).astype(int)
+        spot = np.concatenate([self.edge[: len(d[1])] + i for i, d in enumerate(docs)]) if docs else np.zeros(0, int)
+        self.gap, self.truth = np.zeros(len(spot), int), np.zeros(len(spot))
+        self.gap[spot] = [b - a for _, at, _, _ in docs for a, b in zip([0, *at], at)]
+        self.truth[spot] = [y for d in docs for y in d[3]]
+        self.tail = np.array([d[0] - 1 - d[1][-1] for d in docs], int)
+        self.last = self.edge[size - 1] + np.arange(len(docs)) if docs else spot
+        self.word = np.repeat(spot, [len(fs) for d in docs for fs in d[2]])
+        self.feature = np.array([f for d in docs for fs in d[2] for f in fs], int)
+        self.words = sum(d[0] for d in docs) + int(self.bare @ self.times)
+        pairs = np.zeros((2, 2))
+        for n, at, _, ys in docs:
+            toxic = {i for i, y in zip(at, ys) if y}
+            both = sum(i - 1 in toxic for i in toxic)
+            pairs[1, 1] += both
+            pairs[0, 1] += len(toxic) - both - (0 in toxic)
+            pairs[1, 0] += len(toxic) - both - (n - 1 in toxic)
+        pairs[0, 0] = self.words - len(docs) - self.times.sum() - pairs.sum()
+        self.pairs = pairs
+
+    def expected(self, w: np.ndarray, bias: float, turns: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
+        """P(toxic) of the words with features, expected toxic words, and expected pairs of states."""
+        start = np.array([1.0, math.exp(bias)])
+        step = np.exp(turns) * start
+        values, left = np.linalg.eig(step)
+        order = np.argsort(-values)
+        values, left = values[order], left[:, order]
+        right, r = np.linalg.inv(left), values[1] / values[0]
+        main, rest = np.outer(left[:, 0], right[0]), np.outer(left[:, 1], right[1])
+        n, edge = len(self.gap), self.edge
+        lift = np.exp(np.clip(np.bincount(self.word, w[self.feature], n), -40, 40))
+        fade = r ** self.gap.astype(float)
+        ahead, back = np.empty((n, 2)), np.empty((n, 2))
+        a = np.tile(start, (len(self.tail), 1))
+        for k, c in enumerate(self.active):
+            on = slice(edge[k], edge[k + 1])
+            a = a[:c] @ main + fade[on, None] * (a[:c] @ rest)
+            a[:, 1] *= lift[on]
+            a /= a.sum(1, keepdims=True)
+            ahead[on] = a
+        b = main.sum(1) + (r ** self.tail.astype(float))[:, None] * rest.sum(1)
+        for k in range(len(self.active) - 1, -1, -1):
+            on, c = slice(edge[k], edge[k + 1]), self.active[k]
+            back[on] = b[:c]
+            x = b[:c].copy()
+            x[:, 1] *= lift[on]
+            x = x @ main.T + fade[on, None] * (x @ rest.T)
+            b[:c] = x / x.sum(1, keepdims=True)
+        both = ahead * back
+        marginal = both[:, 1] / both.sum(1)
+        back[:, 1] *= lift
+        firsts = len(self.tail)
+        before = np.concatenate([np.tile(start, (firsts, 1)), ahead[np.arange(firsts, n) - np.repeat(self.active[:-1], self.active[1:])], ahead[self.last], np.tile(start, (len(self.bare), 1))])
+        after = np.concatenate([back, np.ones((firsts + len(self.bare), 2))])
+        length = np.concatenate([self.gap, self.tail, self.bare - 1]).astype(float)
+        times = np.concatenate([np.ones(n + firsts), self.times])
+        u, v, fade = before @ left, after @ right.T, r**length
+        whole = u[:, 0] * v[:, 0] + fade * u[:, 1] * v[:, 1]
+        part = times / whole
+        once = part * (1 - fade) / (1 - r)
+        shared = np.array([[u[:, 0] * v[:, 0] @ (part * length), u[:, 0] * v[:, 1] @ once], [u[:, 1] * v[:, 0] @ once, u[:, 1] * v[:, 1] @ (part * length * r ** np.maximum(length - 1, 0))]])
+        pairs = step / values[0] * (right.T @ shared @ left.T)
+        begin = np.append(np.arange(firsts), np.arange(n + firsts, len(whole)))
+        toxic_first = start[1] * (left[1, 0] * v[begin, 0] + fade[begin] * left[1, 1] * v[begin, 1]) @ part[begin]
+        return marginal, float(toxic_first + pairs[:, 1].sum()), pairs
+
+    def fitted(self) -> tuple[np.ndarray, float, np.ndarray]:
+        """Weights, bias and turns by full-batch adaptive gradient ascent on the likelihood."""
+        n, toxic = self.n_docs, self.truth.sum()
+        w, bias, turns = np.zeros(self.n_features), math.log((toxic + 1) / (self.words - toxic + 1)), np.zeros((2, 2))
+        gained = [np.full(self.n_features, 1e-8), 1e-8, np.full((2, 2), 1e-8)]
+        for _ in range(STEPS):
+            marginal, total, pairs = self.expected(w, bias, turns)
+            off = self.truth - marginal
+            grads = [(np.bincount(self.feature, off[self.word], self.n_features) - RIDGE * w) / n, (toxic - total - RIDGE * bias) / n, (self.pairs - pairs - RIDGE * turns) / n]
+            gained = [g + d * d for g, d in zip(gained, grads)]
+            w, bias, turns = (x + 0.5 * d / np.sqrt(g) for x, d, g in zip((w, bias, turns), grads, gained))
+        return w, float(bias), turns
 
 
 def held_out(doc_id: Column, parts: int, part: int) -> Column:
@@ -244,13 +294,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_docs: i
     got.sort(key=lambda r: (r.y, r.n, r.at, r.held))
     strength = np.array([_tail(r.df1, r.df0, share) for r in kept])
     cover = _cover([{f for fs in r.held for f in fs} for r in got if r.y], np.array([r.df0 * share / (1 - share) for r in kept]), strength)
-    chains = []
-    for r in got:
-        own = dict(zip(r.at, r.held))
-        starts = [max(0, i - CHAIN // 2) for i in r.at[:: max(1, len(r.at) // CHAINS)][:CHAINS]]
-        for s in starts or ([0] if not r.y and r.n else []):
-            chains.append([(own.get(i, []), int(bool(r.y) and not cover.isdisjoint(own.get(i, [])))) for i in range(s, min(r.n, s + CHAIN))])
-    w, bias, turns = _descend(chains, len(kept))
+    toxic = [[bool(r.y) and not cover.isdisjoint(fs) for fs in r.held] for r in got]
+    w, bias, turns = _Chains([(r.n, r.at, r.held, ys) for r, ys in zip(got, toxic)], len(kept)).fitted()
     model = Model({r.f: float(w[i]) for i, r in enumerate(kept)}, bias, tuple(map(tuple, turns.tolist())), True)
     told = [(model.evidence(model.marginals(r.at, [float(w[fs].sum()) for fs in r.held], r.n)) if r.at else 0.0, r.y) for r in got]
     model.slope, model.shift = _calibrated(*np.array(told, float).T)

@@ -1,6 +1,7 @@
 """Models by held-out accuracy, tokens by a plain search, packing by an exact round trip, the pipeline by its parts."""
 
 import glob
+import itertools
 import zlib
 
 import duckdb
@@ -38,6 +39,49 @@ def test_models_on_edges(spark):
     assert toxicity.toxicity_scores(docs.limit(0), toxic).count() == quality.quality_scores(docs.limit(0), good).count() == 0
 
 
+def test_expected_counts_are_those_of_the_full_chain():
+    rng = np.random.default_rng(3)
+    docs = [(6, [1, 2, 5], [[0], [1, 2], [0]], [True, False, True]), (4, [0], [[2]], [True]), (5, [], [], []), (5, [], [], []), (1, [], [], []), (7, [3, 6], [[1], [0, 2]], [False, True]), (1, [0], [[1]], [True]), (0, [], [], [])]
+    chains, w, bias, turns = toxicity._Chains(docs, 3), rng.normal(size=3), -1.2, rng.normal(size=(2, 2))
+    word, total, pairs = np.zeros(3), 0.0, np.zeros((2, 2))
+    true_pairs = np.zeros((2, 2))
+    for n, at, held, ys in docs:
+        lift = np.full(n, bias)
+        for i, fs in zip(at, held):
+            lift[i] += w[fs].sum()
+        states = np.array(list(itertools.product((0, 1), repeat=n)), int)
+        p = np.exp(states @ lift + sum((turns[states[:, i], states[:, i + 1]] for i in range(n - 1)), np.zeros(len(states))))
+        p /= p.sum()
+        total += p @ states.sum(1)
+        for i, fs in zip(at, held):
+            word[fs] += p @ states[:, i]
+        truth = [0] * n
+        for i, y in zip(at, ys):
+            truth[i] = int(y)
+        for i in range(n - 1):
+            np.add.at(pairs, (states[:, i], states[:, i + 1]), p)
+            true_pairs[truth[i], truth[i + 1]] += 1
+    got = chains.expected(w, bias, turns)
+    assert np.allclose(np.bincount(chains.feature, got[0][chains.word], 3), word)
+    assert np.isclose(got[1], total) and np.allclose(got[2], pairs)
+    assert (chains.pairs == true_pairs).all() and chains.words == sum(d[0] for d in docs)
+
+
+def test_toxic_words_count_wherever_they_stand(spark):
+    rng = np.random.default_rng(4)
+    plain = [f"{a}{b}" for a in ("bo", "ka", "lu", "mi", "ne") for b in ("ra", "to", "su", "vi", "zo")]
+    filler = lambda n: " ".join(rng.choice(plain, n))
+    mild = lambda n: " ".join(filler(20) + " hmmm" for _ in range(n))
+    docs = [(i, f"{mild(13)} {filler(20)} vile {filler(9)}") for i in range(40)] + [(i, f"{filler(200)} {mild(2) if i % 8 == 0 else ''}") for i in range(40, 200)]
+    labels = spark.createDataFrame([(i, int(i < 40)) for i, _ in docs], "doc_id long, toxic int")
+    model = toxicity.fit(frame(spark, docs), labels)
+    assert model.weights["vile"] > 0 and model.weights["vile"] > model.weights["hmmm"]
+    new = frame(spark, [(1, f"{mild(13)} {filler(20)} vile {filler(9)}"), (2, filler(300)), (3, f"{filler(200)} {mild(2)}")])
+    scores = {r.doc_id: (r.score, r.spans) for r in toxicity.toxicity_scores(new, model).collect()}
+    assert scores[1][0] >= toxicity.THRESHOLD > max(scores[2][0], scores[3][0])
+    assert len(scores[1][1]) == 1
+
+
 def plain_best(text, pieces):
     known, low = dict(pieces), min(s for _, s in pieces) - 10.0
     best = [(0.0, 0)] + [(-1e18, 0)] * len(text)

@@ -30,6 +30,8 @@ K = 128
 #: Documents in one range of ids that a task streams through, about.
 RANGE_ROWS = 4096
 
+_LEAST = -(1 << 63)
+
 
 def _smallest(h: np.ndarray, k: int) -> np.ndarray:
     take = 4 * k
@@ -132,9 +134,23 @@ def _bucket(bounds: list[int], side: str = "left") -> Column:
     def of(ids):
         import pandas as pd
 
-        return pd.Series(np.searchsorted(held, ids.fillna(np.iinfo(np.int64).min).to_numpy(np.int64), side).astype(np.int32))
+        return pd.Series(np.searchsorted(held, ids.to_numpy(np.int64), side).astype(np.int32))
+
+    return of(F.coalesce(F.col("doc_id"), F.lit(_LEAST)))  # a batch with nulls would come as floats
+
 
-    return of("doc_id")
+def _bounds(docs: DataFrame, parts: int, top: int | None) -> list[int]:
+    """Ids of the table that end its ranges, all but the greatest.
+
+    Quantiles are doubles, which hold no id above 2**53 exactly, so each is
+    replaced by the greatest id at or below it.
+    """
+    if parts <= 1:
+        return []
+    cuts = docs.stat.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts)
+    cuts = sorted({min(max(int(x), _LEAST), -_LEAST - 1) for x in cuts})
+    ends = docs.groupBy(_bucket(cuts).alias("b")).agg(F.max("doc_id").alias("end")).collect()
+    return sorted({r.end for r in ends} - {None, top})
 
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_shingles double, in_edited double"
@@ -151,9 +167,14 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         theirs = sketch(edit)
         out.append((doc_id, len(text), hashlib.sha256(edit).hexdigest(), encoded(own), encoded(theirs), resemblance(own, theirs), resemblance(own, following[2]), distinct(own), containment(own, theirs)))
 
+    def ended(doc):
+        if doc is not None:
+            raise RuntimeError(f"no document follows the last one of range {bucket}, doc_id {doc[0]}")
+
     for batch in batches:
         for b, copy, doc_id, raw in zip(*(batch.column(i) for i in range(4))):
             if b.as_py() != bucket:
+                ended(held)
                 bucket, held = b.as_py(), None
             raw = raw.as_py() or b""
             if copy.as_py() and held is None:
@@ -165,6 +186,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(out) >= 256:
                 yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names)
                 out.clear()
+    ended(held)
     if out:
         yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names)
 
@@ -181,8 +203,7 @@ def edit_likeness(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
     n, top = docs.agg(F.count(F.lit(1)), F.max("doc_id")).first()
     parts = -(-n // range_rows)
-    cuts = docs.stat.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 else []
-    bounds = sorted({int(x) for x in cuts} - {top})
+    bounds = _bounds(docs, parts, top)
     bucket, last = _bucket(bounds), F.col("doc_id").eqNullSafe(F.lit(top))
     copied = last | (_bucket(bounds) != _bucket(bounds, "right"))
     dealt = docs.withColumn("bucket", bucket).withColumn("copied", copied)

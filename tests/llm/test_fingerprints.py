@@ -1,6 +1,8 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from kinotable.llm import fingerprints as fp
@@ -40,6 +42,21 @@ def test_single_empty_null_and_repeated_rows(spark):
     assert {r.doc_id: r.n_chars for r in fp.edit_likeness(null).collect()} == {1: 0, 2: 3}
 
 
+def test_ids_that_doubles_do_not_hold(spark):
+    rng = np.random.default_rng(3)
+    ids = [*(int(x) for x in rng.integers(-(2**63), 2**63 - 1, 120)), *(2**60 + i for i in range(40)), 2**63 - 1, -(2**63)]
+    docs = [(i, f"text {k} " * (k % 5)) for k, i in enumerate(ids)]
+    for rows in (3, 50):
+        assert got(spark, docs, rows) == brute(docs)
+        assert got(spark, [*docs, (None, "no id"), (ids[0], "twice"), (None, "")], rows) == brute([*docs, (None, "no id"), (ids[0], "twice"), (None, "")])
+
+
+def test_a_range_without_its_copy_is_an_error():
+    batch = pa.record_batch([pa.array([1, 2]), pa.array([0, 0]), pa.array([7, 9]), pa.array([b"a", b"b"])], ["bucket", "copy", "doc_id", "text"])
+    with pytest.raises(RuntimeError, match="range 1"):
+        list(fp._rows(iter([batch])))
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(2)
     a = rng.integers(97, 123, 30_000).astype(np.uint8).tobytes()

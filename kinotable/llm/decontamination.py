@@ -9,8 +9,9 @@ compared, word for word.  Items shorter than a window are one window of their
 own length, and every run of that length is compared.
 
 Defined cases: a null or wordless text has no words, no hits and is clean;
-repeated rows each get their result; items without words or with a null
-item_id are not searched for; with no items every document is clean.
+repeated rows each get their result; items without words are not searched for;
+items with a null item_id hit words like others but are in no list of ids; with
+no items every document is clean.
 """
 
 from __future__ import annotations
@@ -60,7 +61,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     """doc_id, text_hash, n_words, n_hit, n_items, items_sha256, contaminated, item_ids, for each row of docs."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keyed = docs.withColumn("text_hash", F.xxhash64("text"))
-    items = benchmark.filter(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("own")).filter(F.size("own") > 0)
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("own")).filter(F.size("own") > 0)
     items = checkpointed(items.withColumn("length", F.least(F.size("own"), F.lit(window))))
     lengths = sorted(r.length for r in items.select("length").distinct().collect())
     found = None

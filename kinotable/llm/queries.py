@@ -53,7 +53,8 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    named = _table(spark, sf_dir, "benchmark").filter(F.col("item_id").isNotNull())  # as in its SQL
+    found = decontamination.contamination(_table(spark, sf_dir, "documents"), named)
     return found.drop("text_hash", "item_ids")
 
 

@@ -168,3 +168,12 @@ def test_contamination(spark):
     left = {r.doc_id for r in dc.without_contaminated(table(spark, docs), bench).collect()}
     assert left == {r[0] for r in contaminated(docs, items) if not r[5]}
     assert dc.contamination(table(spark, docs), bench.limit(0)).filter("contaminated").count() == 0
+
+
+def test_items_without_an_id_hit_words(spark):
+    passage, short, named = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("p", 20), ("s", 4), ("n", 15)))
+    docs = [(1, f"before {passage} after"), (2, f"x {short} y"), (3, named), (4, "nothing of these")]
+    bench = spark.createDataFrame([(None, passage), (None, short), (None, named), (7, named), (None, None)], "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.item_ids, r.contaminated) for r in dc.contamination(table(spark, docs), bench).collect()}
+    assert got == {1: (20, [], True), 2: (4, [], True), 3: (15, ["7"], True), 4: (0, [], False)}
+    assert [r.doc_id for r in dc.without_contaminated(table(spark, docs), bench).collect()] == [4]

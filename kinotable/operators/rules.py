@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kinotable.functions.columns import ratio
 from kinotable.operators.selection import moving
-from kinotable.sources.layers import attribute_counts, lines, samples, stage_meta
+from kinotable.sources.layers import attribute_counts, lines, prims, samples, stage_meta
 
 #: Kinds of objects that must not be in an exported scene (fixed values).
 LEAKED_KINDS = ("Camera", "SphereLight", "DistantLight", "DomeLight", "RectLight", "DiskLight", "CylinderLight")
@@ -50,7 +50,7 @@ def _rows(df: DataFrame, checks: list[tuple[str, Column, Column]]) -> DataFrame:
 
 
 def layer_checks(layers: DataFrame, component: str = "maxabs", digits: int | None = 6) -> DataFrame:
-    """Check rows (path, check, ok, detail) of layers: no moving translate, no matrix samples, no zero scale, slow time codes.
+    """Check rows (path, check, ok, detail) of layers: no moving translate, no matrix samples, no zero scale, no cameras or lights, slow time codes.
 
     component: "x" looks at the first component of a scale, "maxabs" at all; digits: None compares exactly.
     """
@@ -58,11 +58,12 @@ def layer_checks(layers: DataFrame, component: str = "maxabs", digits: int | Non
     moved = moving(samples(numbered, "xformOp:translate"), ["path", "prim"], F.col("value"), digits).groupBy("path").agg(F.count(F.lit(1)).alias("moving"))
     size = F.abs(F.col("value")[0]) if component == "x" else F.array_max(F.transform("value", lambda x: F.abs(x)))
     zero = samples(numbered, "xformOp:scale").filter(size < 1e-9).groupBy("path").agg(F.count(F.lit(1)).alias("zero"))
+    leaked = prims(numbered).filter(F.col("kind").isin(*LEAKED_KINDS)).groupBy("path").agg(F.count(F.lit(1)).alias("leaked"))
     counts = attribute_counts(layers, ["xformOp:transform", "visibility"]).withColumnsRenamed({"xformOp:transform": "matrix", "visibility": "shown"})
-    all_ = reduce(lambda a, b: a.join(b, "path", "left"), [counts, moved, zero, stage_meta(layers).select("path", "tps", "fps")])
+    all_ = reduce(lambda a, b: a.join(b, "path", "left"), [counts, moved, zero, leaked, stage_meta(layers).select("path", "tps", "fps")])
     n = lambda c: F.coalesce(c, F.lit(0))
     rate = F.coalesce(F.nullif("tps", F.lit(0.0)), F.nullif("fps", F.lit(0.0)), F.lit(0.0))
-    return _rows(all_, [("no moving translate", n("moving") == 0, n("moving")), ("no matrix samples", F.col("matrix") == 0, F.col("matrix")), ("no zero scale", n("zero") == 0, n("zero")), ("visibility", F.lit(True), F.when(F.col("shown") > 0, "").otherwise("none")), ("short time codes", pops(rate), rate)])
+    return _rows(all_, [("no moving translate", n("moving") == 0, n("moving")), ("no matrix samples", F.col("matrix") == 0, F.col("matrix")), ("no zero scale", n("zero") == 0, n("zero")), ("no cameras or lights", n("leaked") == 0, n("leaked")), ("visibility", F.lit(True), F.when(F.col("shown") > 0, "").otherwise("none")), ("short time codes", pops(rate), rate)])
 
 
 def verdict(checks: DataFrame) -> DataFrame:

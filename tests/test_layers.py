@@ -116,3 +116,9 @@ def test_general_format(spark):
     df = spark.createDataFrame([(v,) for v in values], "x double")
     got = [r.s for r in df.select(general(df.x).alias("s")).collect()]
     assert got == [None if v is None else f"{v:g}" for v in values]
+
+
+def test_leaked_cameras_and_lights(spark):
+    texts = [("a", 'def Xform "Root"\n{\n    def Camera "Cam"\n    {\n    }\n    def DomeLight "Env"\n    {\n    }\n}\n'), ("b", 'def Xform "Camera"\n{\n}\n')]
+    got = rules.layer_checks(spark.createDataFrame(texts, "path string, text string")).filter("check = 'no cameras or lights'").collect()
+    assert {r.path: (r.ok, r.detail) for r in got} == {"a": (False, "2"), "b": (True, "0")}

@@ -25,7 +25,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinotable.llm.saving import checkpointed, let
+from kinotable.llm.columns import constants, let, lowered
+from kinotable.llm.saving import checkpointed
 
 #: Words in a window and in a hashed gram.
 WINDOW, GRAM = 13, 5
@@ -36,16 +37,10 @@ LEAST_BITS, MOST_BITS = 1 << 12, 1 << 22
 #: A document is contaminated if this part of its words is hit.
 PART = 20
 
-_CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Characters that part words, each by itself: the regex engine then looks them up in one table of bits.
 _APART = "".join(f"\\x{i:02X}" for i in range(128) if not chr(i).isalnum())
 
 
-def lowered(text: Column) -> Column:
-    """A-Z to small letters; all other characters stay."""
-    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, _CAPITALS, _SMALL))
-
-
 def words(text: Column) -> Column:
     """The words of a text; none for null."""
     return F.regexp_extract_all(lowered(F.coalesce(text.cast("string"), F.lit(""))), F.lit(f"[^{_APART}]+"), F.lit(0))
@@ -102,7 +97,7 @@ def _may_have(marks: DataFrame, n: int):
     at = F.pmod("h", F.lit(bits))
     rows = marks.select(F.shiftright(at, 6).alias("w"), (at % 64).alias("b")).groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, cast(b as int))")).alias("v")).collect()
     held = {r.w: r.v for r in rows}
-    table = F.split(F.lit(",".join(str(held.get(w, 0)) for w in range(bits // 64))), ",").cast("array<bigint>")  # one constant of the plan
+    table = constants([held.get(w, 0) for w in range(bits // 64)])
     place = lambda h: F.pmod(h, F.lit(bits))
     return lambda h: F.getbit(table[F.shiftright(place(h), 6).cast("int")], (place(h) % 64).cast("int")) == 1
 

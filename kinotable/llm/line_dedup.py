@@ -1,162 +1,112 @@
-"""Line dedup by an exact set-similarity join.
+"""Line dedup by an exact set-similarity join, with DataFrame functions only.
 
 A line is the set of its words (A-Z lowered, split at blanks).  A line is
 removed if an earlier one has a Jaccard similarity of PERCENT or more with it;
-earlier means a smaller doc_id (nulls last), then a smaller line number, then
-a smaller digest of the set; lines are judged on the input.
+earlier means a smaller doc_id (nulls last), then a smaller hash of the text,
+then a smaller line number, then a smaller digest of the set; lines are judged
+on the input.
 
 * Lines with the same set become one, at its earliest place.
 * Words are ordered from rare to common.  Similar sets of n words share a word
   among the first n - ceil(t n) + 1 of both, so only these prefixes are joined.
 * Pairs that share a prefix word pass the length filter, the positional filter
   (words left after the shared one) and a parity filter: each word turns one of
-  64 bits over, so the bits in which two sets differ are no more than the words
+  128 bits over, so the bits in which two sets differ are no more than the words
   that only one of them has.  Then the whole sets are compared.
-* First each set meets the earliest set of each of its STAR rarest words, and
-  the set with the most copies; only sets that this leaves in place meet all
-  earlier sets.  So a crowd of near
-  copies gives about one pair for each member, not all pairs.
+* First each set meets two leads of each of its STAR rarest words: the earliest
+  set with the word and the one with the most copies.  Sets that this leaves in
+  place meet about LEADS more of each prefix word that more than HOT sets have,
+  and only sets that are left then meet all earlier sets.  So a crowd of near
+  copies gives a few pairs for each member, not all pairs.
 
-Splitting and hashing words runs over Arrow batches (see the README for the
-figures of the form with DataFrame functions only); all grouping and joining is
-Spark's.
+Two passes split the texts into words: one counts them, one writes a narrow row
+for each line, from which all else is joined; the words of a line are looked
+up again only where its set is in a pair.
 
 Defined cases: a null text has no lines, an empty one has one empty line;
-lines without words are never removed; repeated rows count as later copies
-only if they differ in doc_id or line number, so a repeated row loses the same
-lines as its twin; lines may be of any length.
+lines without words are never removed; rows that agree in doc_id and text are
+one document, so each of them gets what that document gets; lines may be of
+any length.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinotable.llm import hashing
-from kinotable.llm.saving import checkpointed, written
+from kinotable.llm.columns import constants, let, lowered
+from kinotable.llm.saving import checkpointed
 
 #: Least similarity in percent.
 PERCENT = 80
-#: Counters that rank words by rarity; fixed.
+#: Counters that rank words by rarity; fixed, and a power of two.
 COUNTERS = 1 << 14
 #: Rarest words of a set by which it meets the earliest set first.
 STAR = 3
-#: Most sets whose digests are broadcast; beyond it they are joined by shuffle.
+#: Sets of a word above which it has more leads, and about how many more.
+HOT, LEADS = 128, 48
+#: Most sets, or documents, that are broadcast; beyond it they are joined by shuffle.
 BROADCAST_ROWS = 500_000
 
-_LINE = "doc_id long, text_hash long, line_no int, k1 long, k2 long"
-
-
-class _Lines:
-    """The lines with words of some texts: row (text), number, distinct word hashes and digests."""
-
-    def __init__(self, buf: np.ndarray, offsets: np.ndarray) -> None:
-        breaks = np.flatnonzero(buf == 10)
-        start = np.concatenate((offsets[:-1], breaks + 1))
-        row = np.concatenate((np.arange(len(offsets) - 1), np.searchsorted(offsets, breaks, "right") - 1))
-        order = np.lexsort((row, start))
-        start, row = start[order], row[order]
-        number = np.arange(len(row)) - np.searchsorted(row, row)
-        low = hashing.lowered(buf)
-        begin, end, first = hashing.words(low, np.append(start, len(buf)))
-        word = hashing.span_hashes(hashing.running_sum(low), begin, end)
-        line = np.repeat(np.arange(len(row)), np.diff(first))
-        order = np.lexsort((word, line))
-        word, line = word[order], line[order]
-        fresh = np.ones(len(word), bool)
-        fresh[1:] = (word[1:] != word[:-1]) | (line[1:] != line[:-1])
-        word, line = word[fresh], line[fresh]
-        size = np.bincount(line, minlength=len(row))
-        kept = size > 0
-        self.row, self.number, self.size, self.word = row[kept], number[kept], size[kept], word
-        self.first = np.concatenate(([0], np.cumsum(self.size)))
-        self.line = np.repeat(np.arange(len(self.size)), self.size)
-
-    def digests(self) -> tuple[np.ndarray, np.ndarray]:
-        """Two 64-bit digests of each set."""
-        out = []
-        for odd in (np.uint64(0x2545F4914F6CDD1D), np.uint64(0xD1342543DE82EF95)):
-            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashing.mix(self.word * odd + odd))))
-            out.append((total[self.first[1:]] - total[self.first[:-1]]).view(np.int64))
-        return out[0], out[1]
-
-    def parity(self) -> np.ndarray:
-        """64 bits for each set, each word turning one over."""
-        if not len(self.size):
-            return np.zeros(0, np.int64)
-        return np.bitwise_xor.reduceat(np.uint64(1) << (self.word >> np.uint64(58)), self.first[:-1]).view(np.int64)
-
-    def prefixes(self, rank: np.ndarray, percent: int) -> pa.Array:
-        """The prefix of each set, rarest word first; a word is its rank and 50 bits of its hash."""
-        key = (rank[(self.word & np.uint64(COUNTERS - 1)).astype(np.int64)] << np.uint64(50)) | (self.word >> np.uint64(14))
-        key = key[np.lexsort((key, self.line))]
-        keep = self.size + (-self.size * percent // 100) + 1
-        taken = np.arange(len(key)) - self.first[self.line] < keep[self.line]
-        return _lists(np.concatenate(([0], np.cumsum(keep))), key[taken])
-
-
-def _lists(first: np.ndarray, values: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(values.view(np.int64)))
-
-
-def _mapped(docs: DataFrame, schema: str, more: Callable[[_Lines], dict[str, object]]) -> DataFrame:
-    """_LINE of each line with words, and what ``more`` makes of the lines."""
+_PARITY = ["b0", "b1"]
+#: Blanks, each by itself: the regex engine then looks them up in one table of bits.
+_BLANKS = "[\\x09\\x0A\\x0B\\x0C\\x0D\\x20]+"
+
+
+def _words(text: Column) -> Column:
+    """Hashes of the words of a text, and of the empty word where a blank stands at an end."""
+    return F.transform(F.split(lowered(text), _BLANKS), lambda w: F.xxhash64(w))
+
+
+def _set(line: Column) -> Column:
+    """The distinct word hashes of a line."""
+    return F.array_remove(F.array_distinct(_words(line)), F.xxhash64(F.lit("")))
+
+
+def _plain(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).filter("text is not null")
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            buf, offsets = hashing.buffers(batch.column("text"))
-            ids, hashes = batch.column("doc_id"), batch.column("text_hash")
-            for i, j in hashing.chunks(offsets):
-                lines = _Lines(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                k1, k2 = lines.digests()
-                at = pa.array(lines.row + i)
-                held = {"doc_id": ids.take(at), "text_hash": hashes.take(at), "line_no": pa.array(lines.number, pa.int32()), "k1": k1, "k2": k2}
-                yield pa.RecordBatch.from_pydict(held | more(lines))
-
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text")).filter("text is not null")
-    return given.mapInArrow(run, ", ".join(filter(None, (_LINE, schema))))
-
-
-def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, line_no, k1, k2 of each line with words."""
-    return _mapped(docs, "", lambda lines: {})
-
-
-def _ranks(docs: DataFrame) -> np.ndarray:
-    """The rank of each counter, each word of each line counted once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
-        for batch in batches:
-            buf, offsets = hashing.buffers(batch.column("text"))
-            for i, j in hashing.chunks(offsets):
-                word = _Lines(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]).word
-                total += np.bincount((word & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"i": pa.array(used, pa.int32()), "n": total[used]})
-
-    counted = docs.select(F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(run, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()
-    total = np.zeros(COUNTERS, np.int64)
-    for r in counted:
-        total[r.i] = r.n
-    rank = np.empty(COUNTERS, np.uint64)
-    rank[np.argsort(total, kind="stable")] = np.arange(COUNTERS, dtype=np.uint64)
+def _ranks(docs: DataFrame) -> list[int]:
+    """The rank of each counter, from the rarest on; each word counts as often as it stands in the texts."""
+    counted = _plain(docs).select(F.explode(_words(F.col("text"))).alias("h")).groupBy(F.col("h").bitwiseAND(COUNTERS - 1).alias("i")).agg(F.count(F.lit(1)).alias("n")).collect()
+    total = {r.i: r.n for r in counted}
+    rank = [0] * COUNTERS
+    for k, i in enumerate(sorted(range(COUNTERS), key=lambda i: (total.get(i, 0), i))):
+        rank[i] = k
     return rank
 
 
-def _sets(docs: DataFrame, percent: int) -> DataFrame:
+def _facts(percent: int):
+    """From a set's words in order: its size, digests, parity and prefix (rarest first)."""
+
+    def of(own: Column) -> Column:
+        turned = lambda bits, x: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x, 1).bitwiseAND(63).cast("int")))
+        part = lambda k: lambda x: x.bitwiseAND(1) == k
+        n = F.size(own)
+        keep = n - F.ceil(n * percent / F.lit(100)).cast("int") + 1
+        return F.struct(n.alias("n"), F.xxhash64(own).alias("k1"), F.xxhash64(own, F.lit(1)).alias("k2"), *[F.aggregate(F.filter(own, part(k)), F.lit(0).cast("long"), turned).alias(b) for k, b in enumerate(_PARITY)], F.slice(own, 1, keep).alias("prefix"))
+
+    return of
+
+
+def _lines(docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, text_hash, line_no, n, k1, k2, b, prefix of each line with words, written out."""
+    rank = constants(_ranks(docs))
+    lines = _plain(docs).select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    # a word is its rank and 49 bits of its hash, so order is by rarity and equal words stay equal
+    ranked = F.transform(_set(F.col("line")), lambda h: F.shiftleft(rank[h.bitwiseAND(COUNTERS - 1).cast("int")], 49).bitwiseOR(F.shiftrightunsigned(h, 15)))
+    made = lines.select("doc_id", "text_hash", "line_no", let(F.sort_array(ranked), _facts(percent)).alias("f"))
+    return checkpointed(made.select("doc_id", "text_hash", "line_no", "f.*")).filter("n > 0")
+
+
+def _sets(lines: DataFrame) -> DataFrame:
     """One row for each set: nid in the order of earliest places, digests, copies, size, parity, place, prefix (rarest first)."""
-    rank = _ranks(docs)
-    made = _mapped(docs, "n int, b long, prefix array<long>", lambda lines: {"n": pa.array(lines.size, pa.int32()), "b": lines.parity(), "prefix": lines.prefixes(rank, percent)})
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line_no")
-    one = made.groupBy("k1", "k2").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("b").alias("b"), F.first("prefix").alias("prefix"))
-    order = ["at.last", "at.doc_id", "at.line_no", "k1", "k2"]
-    return written(one.repartitionByRange(*order).sortWithinPartitions(*order).select(F.monotonically_increasing_id().alias("nid"), "k1", "k2", "copies", "n", "b", F.col("at.doc_id").alias("at_doc"), F.col("at.line_no").alias("at_line"), "prefix"))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "line_no")
+    one = lines.groupBy("k1", "k2").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), *[F.first(b).alias(b) for b in _PARITY], F.first("prefix").alias("prefix"))
+    order = ["at.last", "at.doc_id", "at.text_hash", "at.line_no", "k1", "k2"]
+    return checkpointed(one.repartitionByRange(*order).sortWithinPartitions(*order).select(F.monotonically_increasing_id().alias("nid"), "k1", "k2", "copies", "n", *_PARITY, F.col("at.doc_id").alias("at_doc"), F.col("at.text_hash").alias("at_hash"), F.col("at.line_no").alias("at_line"), "prefix"))
 
 
 def _may_match(percent: int) -> Column:
@@ -165,7 +115,8 @@ def _may_match(percent: int) -> Column:
     least = F.ceil((n + m) * percent / F.lit(100 + percent))
     near = F.least(n, m) * 100 >= F.greatest(n, m) * percent
     left = F.least(n - F.col("x_pos"), m - F.col("y_pos")) >= least
-    return near & left & (F.bit_count(F.col("x_b").bitwiseXOR(F.col("y_b"))) <= n + m - 2 * least)
+    apart = sum((F.bit_count(F.col(f"x_{b}").bitwiseXOR(F.col(f"y_{b}"))) for b in _PARITY), F.lit(0))
+    return near & left & (apart <= n + m - 2 * least)
 
 
 def _named(df: DataFrame, side: str) -> DataFrame:
@@ -179,35 +130,58 @@ def _verified(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
     return joined.withColumn("same", same).filter(F.col("same") * 100 >= (F.size("x") + F.size("y") - F.col("same")) * percent).select(F.col("late").alias("nid")).distinct()
 
 
+def _sized(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def _whole(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(nid, words) of the sets in pairs, taken again from the texts."""
-    wanted = checkpointed(pairs.select(F.explode(F.array("early", "late")).alias("nid")).distinct().join(sets.select("nid", "k1", "k2"), "nid"))
-    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    lines = _mapped(docs, "words array<long>", lambda lines: {"words": _lists(lines.first, lines.word)})
-    return written(lines.select("k1", "k2", "words").join(side, ["k1", "k2"]).groupBy("nid").agg(F.first("words").alias("words")))
+    """(nid, words) of the sets in pairs, taken again from the texts at their places."""
+    wanted = pairs.select(F.explode(F.array("early", "late")).alias("nid")).distinct().join(sets.select("nid", "at_doc", "at_hash", "at_line"), "nid")
+    wanted = checkpointed(wanted)
+    row = F.col("doc_id").eqNullSafe(F.col("at_doc")) & (F.col("text_hash") == F.col("at_hash"))
+    places = checkpointed(wanted.select("at_doc", "at_hash").distinct())
+    texts = _plain(docs).join(_sized(places), row, "left_semi").select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = texts.join(_sized(wanted), row & (F.col("line_no") == F.col("at_line"))).select("nid", "line").dropDuplicates(["nid"])
+    return checkpointed(lines.select("nid", _set(F.col("line")).alias("words")))
+
+
+def _first_leads(rare: DataFrame) -> DataFrame:
+    """(p, nid): the earliest set of each word of several sets, and the one with the most copies."""
+    often = checkpointed(rare.groupBy("p").agg(F.count(F.lit(1)).alias("sets"), F.min("nid").alias("nid"), F.max("copies").alias("copies")).filter("sets > 1"))
+    common = rare.join(often.filter("copies > 1").select("p", "copies"), ["p", "copies"]).groupBy("p").agg(F.min("nid").alias("nid"))
+    return often.select("p", "nid").union(common).distinct()
+
+
+def _led(followers: DataFrame, leads: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (early, late) of a follower and an earlier lead of the same word that may match."""
+    met = _named(followers, "y").join(_named(leads, "x"), (F.col("x_p") == F.col("y_p")) & (F.col("x_nid") < F.col("y_nid")) & _may_match(percent))
+    return met.select(F.col("x_nid").alias("early"), F.col("y_nid").alias("late")).distinct()
 
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, text_hash, line_no of every line to remove, once for rows that agree in doc_id and text."""
-    sets = _sets(docs, percent)
-    rare = sets.select("nid", "copies", "n", "b", F.posexplode(F.slice("prefix", 1, STAR)).alias("pos", "p"))
-    common = F.max(F.struct("copies", (-F.col("nid")).alias("back"), "n", "b", "pos")).alias("c")
-    two = rare.groupBy("p").agg(F.count(F.lit(1)).alias("sets"), F.min(F.struct("nid", "n", "b", "pos")).alias("e"), common).filter("sets > 1")
-    commonest = F.struct((-F.col("c.back")).alias("nid"), "c.n", "c.b", "c.pos")
-    leads = two.select("p", F.explode(F.array_distinct(F.array("e", commonest))).alias("lead")).select("p", "lead.*")
-    met = _named(rare.drop("copies"), "y").join(_named(leads, "x"), F.col("x_p") == F.col("y_p")).filter((F.col("x_nid") < F.col("y_nid")) & _may_match(percent))
-    first = checkpointed(met.select(F.col("x_nid").alias("early"), F.col("y_nid").alias("late")).distinct())
-    gone = checkpointed(_verified(first, _whole(docs, sets, first), percent)).withColumn("gone", F.lit(True))
+    lines = _lines(docs, percent)
+    sets = _sets(lines)
+    entries = sets.select("nid", "copies", "n", *_PARITY, F.posexplode("prefix").alias("pos", "p"))
+    rare = entries.filter(F.col("pos") < STAR)
+    first = checkpointed(_led(rare.drop("copies"), rare.join(_first_leads(rare), ["p", "nid"]).drop("copies"), percent))
+    gone = checkpointed(_verified(first, _whole(docs, sets, first), percent))
+    hot = checkpointed(entries.groupBy("p").agg(F.count(F.lit(1)).alias("sets")).filter(F.col("sets") > HOT))
+    crowded = entries.drop("copies").join(_sized(hot), "p")
+    some = crowded.filter(F.pmod(F.xxhash64("nid", "p"), F.col("sets")) < LEADS)
+    more = checkpointed(_led(crowded.join(gone, "nid", "left_anti").drop("sets"), some.drop("sets"), percent).join(first, ["early", "late"], "left_anti"))
+    gone = checkpointed(gone.union(_verified(more, _whole(docs, sets, more), percent))).withColumn("gone", F.lit(True))
+    tried = first.union(more)
     # Both sides keep the same columns, so that one exchange serves both; turn is -1 for sets that are gone.
-    marked = sets.join(gone, "nid", "left").select("nid", F.when(F.col("gone"), -1).otherwise(F.col("nid")).alias("turn"), "n", "b", F.posexplode("prefix").alias("pos", "p"))
+    marked = sets.join(gone, "nid", "left").select("nid", F.when(F.col("gone"), -1).otherwise(F.col("nid")).alias("turn"), "n", *_PARITY, F.posexplode("prefix").alias("pos", "p"))
     x, y = _named(marked, "x"), _named(marked, "y")
     earlier = (F.col("x_nid") < F.col("y_turn")) & (F.col("x_turn") < F.col("y_nid"))
     second = x.join(y, (F.col("x_p") == F.col("y_p")) & earlier & _may_match(percent)).select(F.col("x_nid").alias("early"), F.col("y_nid").alias("late")).distinct()
-    second = checkpointed(second.join(first, ["early", "late"], "left_anti"))
+    second = checkpointed(second.join(tried, ["early", "late"], "left_anti"))
     gone = gone.union(_verified(second, _whole(docs, sets, second), percent).withColumn("gone", F.lit(True)))
-    verdict = sets.select("nid", F.col("k1").alias("v1"), F.col("k2").alias("v2"), "at_doc", "at_line").join(gone, "nid", "left")
-    told = _lines(docs).join(verdict, (F.col("k1") == F.col("v1")) & (F.col("k2") == F.col("v2")))
-    later = ~(F.col("doc_id").eqNullSafe(F.col("at_doc")) & (F.col("line_no") == F.col("at_line")))
+    verdict = sets.select("nid", "k1", "k2", "at_doc", "at_hash", "at_line").join(gone, "nid", "left")
+    told = lines.select("doc_id", "text_hash", "line_no", "k1", "k2").join(verdict, ["k1", "k2"])
+    later = ~(F.col("doc_id").eqNullSafe(F.col("at_doc")) & (F.col("text_hash") == F.col("at_hash")) & (F.col("line_no") == F.col("at_line")))
     return told.filter(later | F.col("gone").isNotNull()).select("doc_id", "text_hash", "line_no")
 
 
@@ -215,7 +189,7 @@ def line_report(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_lines, n_removed, removed_lines (numbers from 0) of every row of docs."""
     each = removed_lines(docs, percent).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("line_no")).alias("gone")).select(F.col("doc_id").alias("r_id"), F.col("text_hash").alias("r_hash"), "gone")
     text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.coalesce(F.length(text) - F.length(F.translate(text, "\n", "")) + 1, F.lit(0)).cast("long").alias("n_lines"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n"))).cast("long").alias("n_lines"))
     out = rows.join(each, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("text_hash") == F.col("r_hash")), "left")
     gone = F.coalesce("gone", F.array().cast("array<int>"))
     return out.select("doc_id", "n_lines", F.size(gone).cast("long").alias("n_removed"), gone.alias("removed_lines"))

@@ -4,32 +4,59 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's setting that removes a query's shuffle files as soon as the query has ended.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-def _folder(df: DataFrame) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one where the session names none, as in tests."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    return context.getCheckpointDir()
-
+_PLACES: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to the checkpoint folder and read from there."""
-    _folder(df)
-    return df.checkpoint()
 
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the checkpoint folder; smaller than a checkpoint, for wide rows."""
-    path = f"{_folder(df)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a temporary one only in local mode, where the session names none."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = context.getConf().get("spark.checkpoint.dir")
+        if named is None and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
 
 
-def let(value: Column, body) -> Column:
-    """body(value), with value worked out once for each row however often it is used."""
-    return F.transform(F.array(value), body).getItem(0)
+@contextmanager
+def _tidily(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(TIDY, "false")
+    spark.conf.set(TIDY, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(TIDY, before)
+
+
+def checkpointed(df: DataFrame, done: Iterable[DataFrame] = ()) -> DataFrame:
+    """df as a Parquet table in the checkpoint folder; afterwards the tables ``done``, made here as well, are deleted.
+
+    The shuffle files that made it go as soon as it is written: nothing that
+    reads the table needs them, however many executors are lost.
+    """
+    spark = df.sparkSession
+    path = f"{_folder(spark)}/table-{uuid.uuid4().hex}"
+    with _tidily(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PLACES[out] = path
+    for old in done:
+        dropped(old)
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes a table made by ``checkpointed``; other frames are left alone."""
+    if (path := _PLACES.pop(df, None)) is not None:
+        context = df.sparkSession.sparkContext
+        place = context._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)

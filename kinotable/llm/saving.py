@@ -28,7 +28,8 @@ def _folder(spark: SparkSession) -> str:
 
 
 @contextmanager
-def _tidily(spark: SparkSession) -> Iterator[None]:
+def tidily(spark: SparkSession) -> Iterator[None]:
+    """Queries that are made and end in here leave no shuffle files behind."""
     before = spark.conf.get(TIDY, "false")
     spark.conf.set(TIDY, "true")
     try:
@@ -45,7 +46,7 @@ def checkpointed(df: DataFrame, done: Iterable[DataFrame] = ()) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{_folder(spark)}/table-{uuid.uuid4().hex}"
-    with _tidily(spark):
+    with tidily(spark):
         df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _PLACES[out] = path

@@ -9,8 +9,9 @@ at anchors are sorted, each with the bytes on its left that its windows reach.
 1. The cluster counts the anchors' hashes; those that occur twice set bits in
    an array of fixed size.  Suffixes without their bit have no equal and stay
    where they are.  (A full bit array lets more suffixes through, nothing else.)
-2. Each task sorts its suffixes, settles what repeats inside the task, and
-   sends the rest as front-coded sorted runs, dealt by range of the sort key.
+2. Each task sorts its suffixes, SENT at a time, settles what repeats among
+   them, and sends the rest as front-coded sorted runs, dealt by range of the
+   sort key.  There are as many ranges as the counted suffixes need.
 3. Each range merges its runs with a loser tree that compares from the known
    common prefix on and yields the common-prefix lengths of the merged order.
 4. Two windows are equal if their suffixes share enough bytes to the right and
@@ -18,9 +19,9 @@ at anchors are sorted, each with the bytes on its left that its windows reach.
    lengths, for all suffixes of a range at once; in each class of equal windows
    all but the earliest repeat.
 
-Tasks hold a batch of texts or the runs of one range.  Repeats inside a task
-are settled before anything is sent, so a passage that fills a third of the
-corpus arrives about once from each task.
+Tasks hold SENT suffixes of a batch of texts, or the runs of one range.
+Repeats among these are settled before anything is sent, so a passage that
+fills a third of the corpus arrives about once from each SENT suffixes.
 
 Defined cases: null and empty texts have no bytes; texts are taken as their
 bytes, whatever they hold; rows with a null doc_id come after all others; rows
@@ -39,13 +40,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinotable.llm.hashing import CHUNK_BYTES, buffers, running_sum, span_hashes
+from kinotable.llm.saving import checkpointed, tidily
 
 #: Bytes of a repeated string, and of the gram that anchors it.
 LENGTH, GRAM = 100, 32
 #: Bits that tell which anchors occur twice.
 BITS = 1 << 26
-#: Suffixes that are compared at once.
-SLICE = 40_000
+#: Suffixes that are compared at once, that a task sorts before it sends them, and that a range is planned for.
+SLICE, SENT, RANGE = 40_000, 100_000, 150_000
 
 _U = np.uint64
 _LEFT = LENGTH - GRAM
@@ -303,23 +305,33 @@ def _span(at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, n
     return at - hi, at - lo + LENGTH
 
 
-def _twice(docs: DataFrame, bits: int) -> np.ndarray:
-    """Bit array of the anchor hashes that occur more than once."""
+def _twice(docs: DataFrame, bits: int) -> tuple[np.ndarray, int]:
+    """Bit array of the anchor hashes that occur more than once, and how many anchors have these."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offsets = buffers(batch.column(2))
-            held = [_anchors(b, o)[1] for b, o, _, _ in _pieces(buf, offsets, CHUNK_BYTES)]
+            held, size = [], 0
+            for b, o, _, _ in _pieces(buf, offsets, CHUNK_BYTES):
+                held.append(_anchors(b, o)[1])
+                size += len(held[-1])
+                if size >= 2 * SENT:
+                    yield counted(held)
+                    held, size = [], 0
             if held:
-                h, n = np.unique(np.concatenate(held), return_counts=True)
-                yield pa.record_batch([pa.array(np.concatenate((h, h[n > 1])).view(np.int64))], ["h"])
+                yield counted(held)
 
-    often = docs.mapInArrow(hashes, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        h, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.record_batch([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
+
+    often = docs.mapInArrow(hashes, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1")
     bit = F.pmod("h", F.lit(bits))
-    packed = often.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits")).toArrow()
+    with tidily(docs.sparkSession):
+        packed = often.select(bit.alias("bit"), "n").groupBy(F.floor(F.col("bit") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"), F.sum("n").alias("n")).toArrow()
     held = np.zeros(bits // 64, np.int64)
     held[packed.column("w").to_numpy()] = packed.column("bits").to_numpy()
-    return held
+    return held, int(packed.column("n").to_numpy().sum())
 
 
 def repeated_spans(docs: DataFrame, ranges: int | None = None, bits: int = BITS) -> DataFrame:
@@ -328,38 +340,50 @@ def repeated_spans(docs: DataFrame, ranges: int | None = None, bits: int = BITS)
     docs: doc_id (long, none null), tie (long), text (binary); documents are in
     the order of doc_id and tie, which name one document together.
     """
-    ranges = ranges or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    twice = _twice(docs, bits)
+    twice, n_suffixes = _twice(docs, bits)
+    ranges = ranges or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_suffixes // RANGE))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, tie = (batch.column(k).to_numpy() for k in (0, 1))
             buf, offsets = buffers(batch.column(2))
             found: list[tuple[np.ndarray, ...]] = []
+            size = 0
             for b, o, owner, place in _pieces(buf, offsets, CHUNK_BYTES):
-                anchor, h, first, last, piece = _anchors(b, o)
-                bit = (h.view(np.int64) % bits).astype(np.int64)
-                some = np.flatnonzero((twice[bit >> 6].view(np.uint64) >> (bit & 63).astype(np.uint64)) & _U(1))
-                anchor, h, first, last, piece = (x[some] for x in (anchor, h, first, last, piece))
-                size, far, there, side = last + LENGTH - anchor, anchor - first, np.arange(LENGTH), np.arange(_LEFT)
-                right = np.where(there < size[:, None], b[np.minimum(anchor[:, None] + there, len(b) - 1)], 0).astype(np.uint8)
-                left = np.where(side < far[:, None], b[np.maximum(anchor[:, None] - 1 - side, 0)], 0).astype(np.uint8)
-                found.append((h, right, size, left, anchor - last, far, doc[owner[piece]], tie[owner[piece]], anchor - o[piece] + place[piece]))
-            if not found:
-                continue
-            h, right, size, left, near, far, ids, ties, at = (np.concatenate(x) for x in zip(*found))
-            order = _sort_order(h, right, size)
-            h, right, size, left, near, far, ids, ties, at = (x[order] for x in (h, right, size, left, near, far, ids, ties, at))
-            common = _common(right, size)
-            common[1:][h[1:] != h[:-1]] = 0
-            lo, hi, fresh = _settle(common, left, near, far, _ranks(ids, ties, at))
-            again = hi >= 0
-            start, stop = _span(at[again], lo[again], hi[again])
-            h, right, size, left, near, far, i, t, a = (x[fresh] for x in (h, right, size, left, near, far, ids, ties, at))
-            part = ((h >> _U(32)) * _U(ranges) >> _U(32)).astype(np.int64)
-            edge = np.searchsorted(part, np.arange(ranges + 1))
-            runs = [(k, _encode(*(x[edge[k] : edge[k + 1]] for x in (h, right, size, left, near, far, i, t, a)))) for k in np.unique(part).tolist()]
-            yield _made(runs, ids[again], ties[again], start, stop, ranges)
+                found.append(suffixes(b, o, doc[owner], tie[owner], place))
+                size += len(found[-1][0])
+                if size >= SENT:
+                    yield sorted_runs(found)
+                    found, size = [], 0
+            if size:
+                yield sorted_runs(found)
+
+    def suffixes(b, o, doc, tie, place) -> tuple[np.ndarray, ...]:
+        """Hash, bytes to the right and their number, bytes to the left, near, far, document and place of the suffixes that may repeat."""
+        anchor, h, first, last, piece = _anchors(b, o)
+        bit = (h.view(np.int64) % bits).astype(np.int64)
+        some = np.flatnonzero((twice[bit >> 6].view(np.uint64) >> (bit & 63).astype(np.uint64)) & _U(1))
+        anchor, h, first, last, piece = (x[some] for x in (anchor, h, first, last, piece))
+        size, far, there, side = last + LENGTH - anchor, anchor - first, np.arange(LENGTH), np.arange(_LEFT)
+        right = np.where(there < size[:, None], b[np.minimum(anchor[:, None] + there, len(b) - 1)], np.uint8(0))
+        left = np.where(side < far[:, None], b[np.maximum(anchor[:, None] - 1 - side, 0)], np.uint8(0))
+        return h, right, size, left, anchor - last, far, doc[piece], tie[piece], anchor - o[piece] + place[piece]
+
+    def sorted_runs(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        """Front-coded runs by range, and the spans that repeat among these suffixes."""
+        h, right, size, left, near, far, ids, ties, at = (np.concatenate(x) for x in zip(*found))
+        order = _sort_order(h, right, size)
+        h, right, size, left, near, far, ids, ties, at = (x[order] for x in (h, right, size, left, near, far, ids, ties, at))
+        common = _common(right, size)
+        common[1:][h[1:] != h[:-1]] = 0
+        lo, hi, fresh = _settle(common, left, near, far, _ranks(ids, ties, at))
+        again = hi >= 0
+        start, stop = _span(at[again], lo[again], hi[again])
+        h, right, size, left, near, far, i, t, a = (x[fresh] for x in (h, right, size, left, near, far, ids, ties, at))
+        part = ((h >> _U(32)) * _U(ranges) >> _U(32)).astype(np.int64)
+        edge = np.searchsorted(part, np.arange(ranges + 1))
+        runs = [(k, _encode(*(x[edge[k] : edge[k + 1]] for x in (h, right, size, left, near, far, i, t, a)))) for k in np.unique(part).tolist()]
+        return _made(runs, ids[again], ties[again], start, stop, ranges)
 
     def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, held = ["doc_id", "tie", "start", "stop"], {}
@@ -413,7 +437,7 @@ def without_repeats(docs: DataFrame, ranges: int | None = None, bits: int = BITS
     raw = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.xxhash64(raw).alias("tie"), raw.alias("text"), F.col("doc_id").cast("long").alias("own_id"))
     spans = repeated_spans(plain.select("doc_id", "tie", "text"), ranges, bits)
-    each = spans.groupBy("doc_id", "tie").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    each = checkpointed(spans.groupBy("doc_id", "tie").agg(F.collect_set(F.struct("start", "stop")).alias("spans")))
     rows = plain.join(each, ["doc_id", "tie"], "left").select("own_id", "text", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

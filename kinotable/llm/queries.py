@@ -34,7 +34,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.without_repeats(_table(spark, sf_dir, "documents")).drop("kept", "removed")
+    return suffix_dedup.without_repeats(_table(spark, sf_dir, "documents"), whole=False).drop("kept", "removed")
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

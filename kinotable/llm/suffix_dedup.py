@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinotable.llm.hashing import CHUNK_BYTES, buffers, running_sum, span_hashes
+from kinotable.llm.hashing import CHUNK_BYTES, buffers, chunks, running_sum, span_hashes
 from kinotable.llm.saving import checkpointed, tidily
 
 #: Bytes of a repeated string, and of the gram that anchors it.
@@ -432,8 +432,11 @@ def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def without_repeats(docs: DataFrame, ranges: int | None = None, bits: int = BITS) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary), removed (spans) of every row of docs."""
+def without_repeats(docs: DataFrame, ranges: int | None = None, bits: int = BITS, whole: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary), removed (spans) of every row of docs.
+
+    ``kept`` is null if not ``whole``, for those who need no texts.
+    """
     raw = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.xxhash64(raw).alias("tie"), raw.alias("text"), F.col("doc_id").cast("long").alias("own_id"))
     spans = repeated_spans(plain.select("doc_id", "tie", "text"), ranges, bits)
@@ -442,13 +445,13 @@ def without_repeats(docs: DataFrame, ranges: int | None = None, bits: int = BITS
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-        for batch in batches:
+        for batch in (x.slice(a, b - a) for x in batches for a, b in chunks(buffers(x.column(1))[1], 4 * CHUNK_BYTES)):
             out: list[list] = [[] for _ in range(6)]
             for text, held in zip(batch.column(1), batch.column(2).to_pylist()):
                 text, removed = text.as_py(), _joined([(s["start"], s["stop"]) for s in held or ()])
                 edges = [0, *(x for span in removed for x in span), len(text)]
                 kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
-                for c, x in zip(out, (len(text), len(text) - len(kept), len(removed), hashlib.sha256(kept).hexdigest(), kept, [{"start": a, "stop": b} for a, b in removed])):
+                for c, x in zip(out, (len(text), len(text) - len(kept), len(removed), hashlib.sha256(kept).hexdigest(), kept if whole else None, [{"start": a, "stop": b} for a, b in removed])):
                     c.append(x)
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), kind]
             yield pa.record_batch([batch.column(0), *(pa.array(c, k) for c, k in zip(out, kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "removed"])

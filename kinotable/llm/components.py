@@ -35,7 +35,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = checkpointed(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
     sign = None
     while True:
-        edges = checkpointed(_small(_large(edges)))
+        edges = checkpointed(_small(_large(edges)), done=[edges])
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == sign or not now[0]:
             break

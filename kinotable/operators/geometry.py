@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinotable.functions.columns import affine, norm, subtract
+from kinotable.functions.columns import add, affine, midpoint, norm, scaled, subtract
+from kinotable.operators.timeline import evaluated
 
 
 def _by_axis(points: DataFrame, keys: list[str], point: Column) -> DataFrame:
@@ -64,6 +65,38 @@ def diameters(points: DataFrame, keys: list[str], point: Column) -> DataFrame:
     return known.select(*keys, "__wide").join(found, keys, "left").select(*keys, F.greatest("__wide", F.coalesce("diameter", F.lit(0.0))).alias("diameter"))
 
 
+def boxes_at(boxes: DataFrame, moves: DataFrame, frames: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, frame, lo, hi) of boxes (keys, lo, hi) that move along their first axis, second, ... at each frame.
+
+    moves: (keys, axis, frame, value) samples of a translation, interpolated; frames: (keys, frame).
+    Boxes without moves stay where they are.
+    """
+    axes = moves.select(*keys, "axis").distinct().join(frames, keys)
+    shifts = evaluated(moves, axes, [*keys, "axis"], "frame", "value").groupBy(*keys, "frame").agg(F.map_from_entries(F.collect_list(F.struct("axis", "value"))).alias("shift"))
+    placed = frames.join(boxes, keys).join(shifts, [*keys, "frame"], "left")
+    by = lambda c: F.transform(c, lambda x, i: x + F.coalesce(F.try_element_at("shift", i), F.lit(0.0)))
+    return placed.select(*keys, "frame", by("lo").alias("lo"), by("hi").alias("hi"))
+
+
+def recentre_delta(scene_lo: Column, scene_hi: Column, subject_lo: Column, subject_hi: Column, mode: str = "scene") -> Column:
+    """The move that puts the centre of the scene's box, or of the subject's, at the origin."""
+    if mode not in ("scene", "subject"):
+        raise ValueError(f"no such mode: {mode}")
+    return scaled(midpoint(scene_lo, scene_hi) if mode == "scene" else midpoint(subject_lo, subject_hi), -1.0)
+
+
+def moved_keys(keyframes: DataFrame, roots: DataFrame, delta: Column) -> DataFrame:
+    """keyframes (object, data_path, array_index, frame, value) with the location keys of ``roots`` (object) moved by the delta."""
+    mine = keyframes.join(roots.select("object", F.lit(True).alias("__root")).distinct(), "object", "left")
+    moves = F.col("__root").isNotNull() & (F.col("data_path") == "location")
+    return mine.withColumn("value", F.when(moves, F.col("value") + delta[F.col("array_index")]).otherwise(F.col("value"))).drop("__root").select(*keyframes.columns)
+
+
+def baked(points: DataFrame, point: Column, matrix: Column, on_scale: Column) -> DataFrame:
+    """points with ``baked``: each scaled by its object's ON scale (1 where that is null or zero) and turned by its matrix."""
+    return points.withColumn("baked", affine(matrix, scaled(F.transform(point, lambda x: x.cast("double")), F.coalesce(F.nullif(on_scale, F.lit(0.0)), F.lit(1.0)))))
+
+
 def recentred(objects: DataFrame, centre: Column) -> DataFrame:
     """objects whose roots (no parent) are moved by minus the centre; children follow their parents."""
     return objects.withColumn("loc", F.when(F.col("parent").isNull(), subtract(F.col("loc"), centre)).otherwise(F.col("loc")))
@@ -74,4 +107,4 @@ def origin_to_centroid(vertices: DataFrame, objects: DataFrame) -> tuple[DataFra
     centre = centroids(vertices, ["object"], F.array("x", "y", "z"))
     moved = vertices.join(centre, "object").select(*[c for c in vertices.columns if c not in ("x", "y", "z")], *[(F.col(c) - F.col("centroid")[i]).alias(c) for i, c in enumerate(("x", "y", "z"))])
     placed = objects.join(centre.withColumnRenamed("object", "name"), "name", "left")
-    return moved, placed.withColumn("loc", F.when(F.col("centroid").isNotNull(), F.zip_with("loc", "centroid", lambda a, b: a + b)).otherwise(F.col("loc"))).drop("centroid")
+    return moved, placed.withColumn("loc", F.when(F.col("centroid").isNotNull(), add(F.col("loc"), F.col("centroid"))).otherwise(F.col("loc"))).drop("centroid")

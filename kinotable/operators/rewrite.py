@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinotable.functions.columns import general, magnitude
-from kinotable.operators.timeline import changes, evaluated
+from kinotable.operators.timeline import changes, evaluated, switched
 from kinotable.sources.layers import blocks, lines, raw_samples, samples, stage_meta
 
 
@@ -45,6 +45,19 @@ def visibility(layers: DataFrame) -> DataFrame:
     return changes(seen, keys, ["frame"], F.col("token")).select(*keys, F.col("frame").cast("int").alias("frame"), "token")
 
 
+def raw_visibility(samples: DataFrame, keys: list[str], frame: str, magnitude: Column, start: Column | None = None, share: float = 0.5) -> DataFrame:
+    """(keys, frame, token) from the samples themselves, without interpolation: one row at each change.
+
+    With ``start`` (a column of samples) a key whose first sample comes later is
+    invisible from there on; without it the first sample decides what was before.
+    """
+    own = samples.select(*keys, F.col(frame).alias("frame"), magnitude.alias("__m"), (F.lit(None).cast("double") if start is None else start).alias("__start"))
+    token = F.when(switched(own, keys, F.col("__m"), share), "inherited").otherwise("invisible")
+    rows = own.withColumn("token", token).select(*keys, "frame", "token")
+    early = own.groupBy(*keys).agg(F.min("frame").alias("__first"), F.min("__start").alias("frame")).filter("__first > frame").select(*keys, "frame", F.lit("invisible").alias("token"))
+    return changes(rows.unionByName(early), keys, ["frame"], F.col("token")).select(*keys, "frame", "token")
+
+
 def freeze_patches(layers: DataFrame, others: str = r"xformOp:(?:translate|orient|transform|rotate\w*)") -> DataFrame:
     """Patches that freeze scale samples to a static scale with visibility, and other samples to one value.
 

@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinotable.functions.columns import ratio
 from kinotable.operators.selection import moving
+from kinotable.operators.timeline import evaluated, on_windows, slow_transitions
 from kinotable.sources.layers import attribute_counts, lines, prims, samples, stage_meta
 
 #: Kinds of objects that must not be in an exported scene (fixed values).
-LEAKED_KINDS = ("Camera", "SphereLight", "DistantLight", "DomeLight", "RectLight", "DiskLight", "CylinderLight")
-#: Bytes of a package above which there is a warning.
-SIZE_WARNING = 25 * 1000 * 1000
+LEAKED_KINDS = ("Camera", "DistantLight", "SphereLight", "RectLight", "DiskLight", "CylinderLight", "DomeLight")
+#: Bytes of a package above which there is a warning (a fixed value).
+SIZE_WARNING = 25 * 1048576
+#: Channels that may move an object (fixed values).
+MOVING_CHANNELS = ("location", "rotation_euler", "rotation_quaternion", "delta_location", "delta_rotation_euler")
 
 
 def origin_verdict(distance: Column, radius: Column) -> Column:
@@ -28,14 +31,70 @@ def spread_verdict(travel: Column, radius: Column, scene: Column) -> Column:
     return F.when(radius > scene * 0.1, "spread").when(travel > scene * 0.02, "moving").otherwise("ok")
 
 
+def worst_verdict(verdicts: DataFrame, keys: list[str], verdict: str = "verdict") -> DataFrame:
+    """(keys, verdict) of a scene from those of its objects: guilty if one is, else suspect if one is at the edge."""
+    v = F.col(verdict)
+    return verdicts.groupBy(*keys).agg(F.when(F.some(v == "guilty"), "guilty").when(F.some(v == "caution"), "suspect").otherwise("ok").alias("verdict"))
+
+
+def forbidden_channel(path: Column) -> Column:
+    """Whether a channel may move or turn an object."""
+    return path.isin(*MOVING_CHANNELS)
+
+
+def only_switches(paths: Column) -> Column:
+    """Whether all channels of an array only scale or hide."""
+    return F.forall(paths, lambda p: (p == "scale") | F.startswith(p, F.lit("hide_")))
+
+
+def origin_fixed(distance: Column, radius: Column, paths: Column) -> Column:
+    """After a fix: the centroid is within a hundredth of the radius of the origin, and only switches are left."""
+    return (distance <= F.greatest(F.lit(1e-4), radius * 0.01)) & only_switches(paths)
+
+
+def object_checks(samples: DataFrame, frames: DataFrame, keys: list[str], frame: str, value: str, level: float = 0.5) -> DataFrame:
+    """(keys, crosses, sharp, first_on, last_on, ok) of each object: its values lie on both sides of the
+    level, each crossing takes one frame, and it is on at some of its ``frames`` (interpolated)."""
+    held = samples.groupBy(*keys).agg(((F.min(value) < level) & (F.max(value) > level)).alias("crosses"))
+    slow = slow_transitions(samples, keys, frame, value, level).groupBy(*keys).agg(F.count(F.lit(1)).alias("slow"))
+    on = on_windows(evaluated(samples, frames, keys, frame, value), keys, frame, F.col(value) > level)
+    out = held.join(slow, keys, "left").join(on, keys, "left").withColumn("sharp", F.col("slow").isNull()).drop("slow")
+    return out.select(*keys, "crosses", "sharp", "first_on", "last_on", (F.col("crosses") & F.col("sharp") & F.col("first_on").isNotNull()).alias("ok"))
+
+
+def freeze_checks(layers: DataFrame, done: DataFrame) -> DataFrame:
+    """Check rows (path, check, ok, detail) of frozen layers against what they were made of.
+
+    No scale, matrix or translate samples may be left, and there must be a
+    visibility block for each scale block that was frozen, no more.
+    """
+    names = ["xformOp:scale", "xformOp:transform", "xformOp:translate", "visibility"]
+    short = dict(zip(names, ("scale", "matrix", "translate", "shown")))
+    left = attribute_counts(done, names).withColumnsRenamed(short)
+    jobs = attribute_counts(layers, names[:1]).withColumnRenamed(names[0], "jobs")
+    both = left.join(jobs, "path", "left")
+    return _rows(both, [*[(f"no {x} samples", F.col(x) == 0, F.col(x)) for x in ("scale", "matrix", "translate")], ("visibility of each", F.col("shown") == F.col("jobs"), F.col("shown"))])
+
+
+def zero_frames(samples: DataFrame, keys: list[str], size: Column, first: int = 10) -> DataFrame:
+    """(keys, n, frames): at how many samples, and at which first ones, the size is zero."""
+    zero = samples.filter(size < 1e-9).withColumn("__place", F.row_number().over(Window.partitionBy(*keys).orderBy("frame")))
+    return zero.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.when(F.col("__place") <= first, F.col("frame")))).alias("frames"))
+
+
 def pops(tps: Column) -> Column:
     """Whether one time code lasts a tenth of a second or less."""
     return F.coalesce(F.try_divide(F.lit(1.0), F.nullif(tps, F.lit(0.0))) <= 0.1, F.lit(False))
 
 
 def pivot_verdict(distance: Column, half_diagonal: Column) -> Column:
-    """Whether a pivot is at the centre: exactly, within a twentieth of the half diagonal, or not."""
-    return F.when(distance < 1e-3, "centred").when(distance <= F.greatest(F.lit(1e-3), half_diagonal * 0.05), "near").otherwise("off")
+    """Where a pivot lies: at the centre, less than a twentieth of the half diagonal away, or off."""
+    return F.when(distance < 1e-3, "centred").when(ratio(distance, half_diagonal) < 0.05, F.when(half_diagonal > 1e-9, "near").otherwise("off")).otherwise("off")
+
+
+def pivot_within(distance: Column, half_diagonal: Column) -> Column:
+    """Whether a pivot is within tolerance: a thousandth, or a twentieth of the half diagonal."""
+    return distance <= F.greatest(F.lit(1e-3), half_diagonal * 0.05)
 
 
 def packaging(entries: DataFrame, unit: int = 64) -> DataFrame:

@@ -9,6 +9,9 @@ from kinotable.functions.columns import NUMBER, extension, first_match
 from kinotable.operators.attribution import preceding
 
 STAGE = "<stage>"
+#: Patterns that the layer format sets (fixed values): a typed definition, an asset between at signs.
+DEFINITION = r'(?U)^\s*def\s+(\w+)\s+"([^"]+)"'
+ASSET = r"@([^@\n]+)@"
 
 
 def read_layers(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
@@ -29,8 +32,16 @@ def lines(layers: DataFrame) -> DataFrame:
 
 def prims(numbered: DataFrame) -> DataFrame:
     """(path, ln, kind, name, before) of each typed definition."""
-    pattern = r'(?U)^\s*def\s+(\w+)\s+"([^"]+)"'
-    return numbered.filter(F.col("line").rlike(pattern)).select("path", "ln", F.regexp_extract("line", pattern, 1).alias("kind"), F.regexp_extract("line", pattern, 2).alias("name"), "before")
+    return numbered.filter(F.col("line").rlike(DEFINITION)).select("path", "ln", F.regexp_extract("line", DEFINITION, 1).alias("kind"), F.regexp_extract("line", DEFINITION, 2).alias("name"), "before")
+
+
+def top_level(numbered: DataFrame, root: str = "root") -> DataFrame:
+    """The definitions that stand on the stage or right under the root, without the root itself."""
+    mine = prims(numbered)
+    order = Window.partitionBy("path").orderBy("ln")
+    top = mine.filter("before = 0").select("path", "ln", F.col("name").alias("top"))
+    placed = mine.join(top, ["path", "ln"], "left").withColumn("top", F.last("top", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return placed.filter((F.col("name") != root) & ((F.col("before") == 0) | ((F.col("before") == 1) & (F.col("top") == root)))).drop("top")
 
 
 def stage_meta(layers: DataFrame) -> DataFrame:
@@ -42,8 +53,7 @@ def stage_meta(layers: DataFrame) -> DataFrame:
 
 def owned(numbered: DataFrame, mode: str = "preceding") -> DataFrame:
     """numbered with ``prim``: the nearest definition before a line, or the one that encloses it."""
-    pattern = r'(?U)^\s*def\s+\w+\s+"([^"]+)"'
-    name = F.nullif(F.regexp_extract("line", pattern, 1), F.lit(""))
+    name = F.nullif(F.regexp_extract("line", DEFINITION, 2), F.lit(""))
     if mode == "preceding":
         return preceding(numbered.withColumn("def", name), ["path"], ["ln"], F.col("def"), "prim", F.lit(STAGE)).drop("def")
     # the last definition whose depth is below the line's, unless its block has closed
@@ -65,11 +75,13 @@ def blocks(numbered: DataFrame, attributes: str, mode: str = "preceding") -> Dat
     upto = Window.partitionBy("path").orderBy("ln").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = found.withColumn("mark", F.last("mark", ignorenulls=True).over(upto)).filter("mark is not null")
     own = Window.partitionBy("path", "mark.ln").orderBy("ln")
-    lowest = F.min("depth").over(own.rowsBetween(Window.unboundedPreceding, -1))
-    ever = F.min("depth").over(Window.partitionBy("path", "mark.ln")) <= F.col("mark.before")
-    inside = F.coalesce(lowest > F.col("mark.before"), F.lit(True))
     body = F.when(F.col("ln") == F.col("mark.ln"), F.regexp_replace("line", opening, "")).otherwise(F.col("line"))
-    kept = found.withColumn("inside", inside).withColumn("closed", ever).withColumn("body", body).filter("inside")
+    # the brace may stand on a later line; the block ends where the depth is back after it
+    opened = F.max(F.contains("body", F.lit("{"))).over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ended = found.withColumn("body", body).withColumn("ended", opened & (F.col("depth") <= F.col("mark.before")))
+    inside = ~F.coalesce(F.max("ended").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    ever = F.max("ended").over(Window.partitionBy("path", "mark.ln"))
+    kept = ended.withColumn("inside", inside).withColumn("closed", ever).filter("inside")
     return kept.select("path", "mark.prim", F.col("mark.ln").alias("start"), "mark.indent", "mark.decl", "mark.attr", "ln", "body", "closed")
 
 
@@ -98,7 +110,7 @@ def token_samples(numbered: DataFrame, attribute: str = "visibility", mode: str
 
 def asset_references(layers: DataFrame) -> DataFrame:
     """(path, asset): referenced files that are not layers themselves."""
-    each = layers.select("path", F.explode(F.regexp_extract_all("text", F.lit("@([^@\\n]+)@"), F.lit(1))).alias("asset"))
+    each = layers.select("path", F.explode(F.regexp_extract_all("text", F.lit(ASSET), F.lit(1))).alias("asset"))
     return each.filter(~extension(F.col("asset")).isin("", ".usda", ".usdc", ".usd"))
 
 

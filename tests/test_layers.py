@@ -8,8 +8,9 @@ import pytest
 from pyspark.errors import PySparkException
 
 from kinotable.functions.columns import general
-from kinotable.operators import rewrite, rules
-from kinotable.sources import containers, layers
+from kinotable.operators import geometry, rewrite, rules
+from kinotable.plans import modes
+from kinotable.sources import containers, layers, sinks
 from kinotable.streaming.layers import watch
 
 TEXT = """#usda 1.0
@@ -122,3 +123,82 @@ def test_leaked_cameras_and_lights(spark):
     texts = [("a", 'def Xform "Root"\n{\n    def Camera "Cam"\n    {\n    }\n    def DomeLight "Env"\n    {\n    }\n}\n'), ("b", 'def Xform "Camera"\n{\n}\n')]
     got = rules.layer_checks(spark.createDataFrame(texts, "path string, text string")).filter("check = 'no cameras or lights'").collect()
     assert {r.path: (r.ok, r.detail) for r in got} == {"a": (False, "2"), "b": (True, "0")}
+
+
+NEXT_LINE = TEXT.replace("timeSamples = {", "timeSamples =\n        {")
+
+
+def test_a_block_may_open_on_the_next_line(spark):
+    both = spark.createDataFrame([("same", TEXT), ("next", NEXT_LINE)], "path string, text string")
+    for attribute in ("xformOp:scale", "xformOp:translate"):
+        for read in (layers.samples, layers.raw_samples):
+            rows = read(layers.lines(both), attribute).drop("start", "ln")
+            held = {p: sorted(str(r[1:]) for r in rows.collect() if r.path == p) for p in ("same", "next")}
+            assert held["same"] == held["next"] != []
+    out = {r.path: r.text for r in rewrite.frozen(both).collect()}
+    assert out["same"] == out["next"] and FROZEN in out["next"]
+
+
+def test_a_block_that_never_ends_is_read_but_not_rewritten(spark):
+    text = TEXT[: TEXT.index("            6: (0, 0, 0)")]
+    made = spark.createDataFrame([("a", text)], "path string, text string")
+    assert layers.samples(layers.lines(made), "xformOp:scale").count() == 3
+    assert rewrite.frozen(made).first().text == text
+
+
+def test_large_packages_are_warned_of_above_25_megabytes(spark):
+    limit = 25 * 1048576
+    rows = [("a", "x", 0, 64, limit, 0, True), ("b", "x", 0, 64, limit + 1, 0, True)]
+    got = rules.packaging(spark.createDataFrame(rows, containers.ENTRIES)).filter("check = 'size'").collect()
+    assert {r.path: (r.ok, r.detail) for r in got} == {"a": (True, ""), "b": (True, "large")}
+
+
+def test_layers_and_reports_are_written_as_files(spark, tmp_path, table):
+    sinks.write_layers(table, str(tmp_path / "layers"))
+    assert {r.path: r.text for r in sinks.read_written(spark, str(tmp_path / "layers")).collect()} == {"a.usda": TEXT, "b.usda": "\n"}
+    back = layers.read_layers(spark, str(tmp_path / "layers" / "*" / "*.txt"))
+    assert {r.text for r in back.collect()} == {r.text for r in layers.read_layers(spark, str(tmp_path / "layers" / "*" / "*.txt"), strict=True).collect()} == {TEXT, "\n"}
+    checks = spark.createDataFrame([("a", "one", True, ""), ("a", "two", False, "3"), ("b", "one", True, None)], "path string, check string, ok boolean, detail string")
+    assert {r.path: r.value for r in sinks.report(checks).collect()} == {"a": "FAIL two: 3\nok   one\nfailed", "b": "ok   one\npassed"}
+    sinks.write_report(checks, str(tmp_path / "report"))
+    assert spark.read.text(str(tmp_path / "report" / "path=a")).count() == 3
+
+
+def test_bad_bytes_are_replaced_or_an_error(spark, tmp_path):
+    (tmp_path / "x.usda").write_bytes(b"ab\xffcd")
+    assert layers.read_layers(spark, str(tmp_path / "x.usda")).first().text == "ab\ufffdcd"
+    with pytest.raises(PySparkException):
+        layers.read_layers(spark, str(tmp_path / "x.usda"), strict=True).collect()
+    (tmp_path / "y.usdz").write_bytes(containers.packed([("a", b"1"), ("b", b"22")]))
+    assert [(r.name, r.size) for r in containers.read_containers(spark, str(tmp_path / "y.usdz")).collect()] == [("a", 1), ("b", 2)]
+
+
+def test_unknown_modes_and_missing_columns_are_errors(spark, table):
+    with pytest.raises(ValueError, match="no such mode"):
+        modes.run("undo", table)
+    with pytest.raises(ValueError, match="text"):
+        modes.run("fix", table.drop("text"))
+    with pytest.raises(ValueError, match="mode"):
+        geometry.recentre_delta(*[table.text] * 4, mode="other")
+
+
+def test_frozen_layers_pass_and_others_fail_the_freeze_checks(table):
+    done = rewrite.frozen(table)
+    good = {r.path: r.ok for r in rules.verdict(rules.freeze_checks(table, done)).collect()}
+    bad = {r.path: list(r.problems) for r in rules.verdict(rules.freeze_checks(table, table)).collect()}
+    assert good["a.usda"] and good["b.usda"]
+    assert bad["a.usda"] == ["no scale samples", "no translate samples", "visibility of each"]
+
+
+def test_origins_move_to_the_centroid(spark):
+    vertices = spark.createDataFrame([("a", 0, 1.0, 0.0, 0.0), ("a", 1, 3.0, 2.0, 4.0), ("b", 0, 5.0, 5.0, 5.0)], "object string, idx long, x double, y double, z double")
+    objects = spark.createDataFrame([("a", None, [10.0, 0.0, 0.0]), ("b", "a", [0.0, 0.0, 0.0]), ("c", None, [1.0, 1.0, 1.0])], "name string, parent string, loc array<double>")
+    moved, placed = geometry.origin_to_centroid(vertices, objects)
+    assert sorted(tuple(r) for r in moved.collect()) == [("a", 0, -1.0, -1.0, -2.0), ("a", 1, 1.0, 1.0, 2.0), ("b", 0, 0.0, 0.0, 0.0)]
+    assert {r.name: list(r.loc) for r in placed.collect()} == {"a": [12.0, 1.0, 2.0], "b": [5.0, 5.0, 5.0], "c": [1.0, 1.0, 1.0]}
+    from pyspark.sql import functions as F
+
+    around = geometry.recentred(objects, F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0)))
+    assert {r.name: list(r.loc) for r in around.collect()} == {"a": [9.0, -2.0, -3.0], "b": [0.0, 0.0, 0.0], "c": [0.0, -1.0, -2.0]}
+    fixed = spark.createDataFrame([(0.0, 1.0, ["scale", "hide_render"]), (0.02, 1.0, ["scale"]), (0.0, 1.0, ["location"])], "d double, r double, p array<string>")
+    assert [r.ok for r in fixed.select(rules.origin_fixed(fixed.d, fixed.r, fixed.p).alias("ok")).collect()] == [True, False, False]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinotable.llm import decontamination, fingerprints, jaccard_join, line_dedup, mixing, packing, quality, suffix_dedup, token_counts, toxicity
+from kinotable.llm.oracles import ORACLES
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,7 +43,8 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_report(_table(spark, sf_dir, "documents"))
+    found = line_dedup.line_report(_table(spark, sf_dir, "documents"))
+    return found.withColumn("removed_lines", F.array_join(F.transform("removed_lines", lambda i: i.cast("string")), ","))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +64,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_rows(_table(spark, sf_dir, "documents"))
 
 
+__all__ = ["ORACLES", "QUERIES"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_ngram_jaccard_join, op2_fingerprints, op3_toxicity, op4_mixing, op5_suffix_dedup, op6_token_counts, op7_line_dedup, op8_quality, op9_decontamination, op10_packing)
 }
-ORACLES: dict[str, str] = {"op9_decontamination": decontamination.ORACLE}

@@ -7,17 +7,18 @@ then a smaller line number, then a smaller digest of the set; lines are judged
 on the input.
 
 * Lines with the same set become one, at its earliest place.
-* Words are ordered from rare to common.  Similar sets of n words share a word
-  among the first n - ceil(t n) + 1 of both, so only these prefixes are joined.
+* Words are ordered from rare to common.  Of two similar sets of n <= m words
+  the first n - ceil(2 t n / (1 + t)) + 1 and m - ceil(t m) + 1 share a word, so
+  only these prefixes are joined.
 * Pairs that share a prefix word pass the length filter, the positional filter
   (words left after the shared one) and a parity filter: each word turns one of
   128 bits over, so the bits in which two sets differ are no more than the words
   that only one of them has.  Then the whole sets are compared.
 * First each set meets two leads of each of its STAR rarest words: the earliest
   set with the word and the one with the most copies.  Sets that this leaves in
-  place meet about LEADS more of each prefix word that more than HOT sets have,
-  and only sets that are left then meet all earlier sets.  So a crowd of near
-  copies gives a few pairs for each member, not all pairs.
+  place meet about LEADS more of each prefix word that is hot (in more than HOT
+  sets and a SHARE of all), and only sets that are left then meet all earlier
+  sets.  So a crowd of near copies gives a few pairs for each member, not all.
 
 Two passes split the texts into words: one counts them, one writes a narrow row
 for each line, from which all else is joined; the words of a line are looked
@@ -43,8 +44,8 @@ PERCENT = 80
 COUNTERS = 1 << 14
 #: Rarest words of a set by which it meets the earliest set first.
 STAR = 3
-#: Sets of a word above which it has more leads, and about how many more.
-HOT, LEADS = 128, 48
+#: Least sets of a hot word, and one part in so many of all sets; about how many more leads it has.
+HOT, SHARE, LEADS = 128, 3000, 48
 #: Most sets, or documents, that are broadcast; beyond it they are joined by shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -78,6 +79,11 @@ def _ranks(docs: DataFrame) -> list[int]:
     return rank
 
 
+def _name(word: Column) -> Column:
+    """31 bits by which prefix words are joined; words that share them only give more pairs to compare."""
+    return word.bitwiseAND((1 << 31) - 1).cast("int")
+
+
 def _facts(percent: int):
     """From a set's words in order: its size, digests, parity and prefix (rarest first)."""
 
@@ -86,19 +92,19 @@ def _facts(percent: int):
         part = lambda k: lambda x: x.bitwiseAND(1) == k
         n = F.size(own)
         keep = n - F.ceil(n * percent / F.lit(100)).cast("int") + 1
-        return F.struct(n.alias("n"), F.xxhash64(own).alias("k1"), F.xxhash64(own, F.lit(1)).alias("k2"), *[F.aggregate(F.filter(own, part(k)), F.lit(0).cast("long"), turned).alias(b) for k, b in enumerate(_PARITY)], F.slice(own, 1, keep).alias("prefix"))
+        return F.struct(n.alias("n"), F.xxhash64(own).alias("k1"), F.xxhash64(own, F.lit(1)).alias("k2"), *[F.aggregate(F.filter(own, part(k)), F.lit(0).cast("long"), turned).alias(b) for k, b in enumerate(_PARITY)], F.transform(F.slice(own, 1, keep), _name).alias("prefix"))
 
     return of
 
 
 def _lines(docs: DataFrame, percent: int) -> DataFrame:
-    """doc_id, text_hash, line_no, n, k1, k2, b, prefix of each line with words, written out."""
+    """doc_id, text_hash, line_no, n, k1, k2, parity, prefix of each line, written out; n is 0 without words."""
     rank = constants(_ranks(docs))
     lines = _plain(docs).select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     # a word is its rank and 49 bits of its hash, so order is by rarity and equal words stay equal
     ranked = F.transform(_set(F.col("line")), lambda h: F.shiftleft(rank[h.bitwiseAND(COUNTERS - 1).cast("int")], 49).bitwiseOR(F.shiftrightunsigned(h, 15)))
     made = lines.select("doc_id", "text_hash", "line_no", let(F.sort_array(ranked), _facts(percent)).alias("f"))
-    return checkpointed(made.select("doc_id", "text_hash", "line_no", "f.*")).filter("n > 0")
+    return checkpointed(made.select("doc_id", "text_hash", "line_no", "f.*"))
 
 
 def _sets(lines: DataFrame) -> DataFrame:
@@ -160,27 +166,31 @@ def _led(followers: DataFrame, leads: DataFrame, percent: int) -> DataFrame:
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, text_hash, line_no of every line to remove, once for rows that agree in doc_id and text."""
-    lines = _lines(docs, percent)
-    sets = _sets(lines)
+    whole = _lines(docs, percent)
+    sets = _sets(whole.filter("n > 0"))
+    lines = checkpointed(whole.filter("n > 0").select("doc_id", "text_hash", "line_no", "k1", "k2"), done=[whole])
     entries = sets.select("nid", "copies", "n", *_PARITY, F.posexplode("prefix").alias("pos", "p"))
     rare = entries.filter(F.col("pos") < STAR)
     first = checkpointed(_led(rare.drop("copies"), rare.join(_first_leads(rare), ["p", "nid"]).drop("copies"), percent))
     gone = checkpointed(_verified(first, _whole(docs, sets, first), percent))
-    hot = checkpointed(entries.groupBy("p").agg(F.count(F.lit(1)).alias("sets")).filter(F.col("sets") > HOT))
+    # no more than SHARE words for each prefix word of a set can be so common
+    hot = checkpointed(entries.groupBy("p").agg(F.count(F.lit(1)).alias("sets")).filter(F.col("sets") > max(HOT, sets.count() // SHARE)))
     crowded = entries.drop("copies").join(_sized(hot), "p")
     some = crowded.filter(F.pmod(F.xxhash64("nid", "p"), F.col("sets")) < LEADS)
     more = checkpointed(_led(crowded.join(gone, "nid", "left_anti").drop("sets"), some.drop("sets"), percent).join(first, ["early", "late"], "left_anti"))
     gone = checkpointed(gone.union(_verified(more, _whole(docs, sets, more), percent))).withColumn("gone", F.lit(True))
     tried = first.union(more)
-    # Both sides keep the same columns, so that one exchange serves both; turn is -1 for sets that are gone.
-    marked = sets.join(gone, "nid", "left").select("nid", F.when(F.col("gone"), -1).otherwise(F.col("nid")).alias("turn"), "n", *_PARITY, F.posexplode("prefix").alias("pos", "p"))
-    x, y = _named(marked, "x"), _named(marked, "y")
-    earlier = (F.col("x_nid") < F.col("y_turn")) & (F.col("x_turn") < F.col("y_nid"))
-    second = x.join(y, (F.col("x_p") == F.col("y_p")) & earlier & _may_match(percent)).select(F.col("x_nid").alias("early"), F.col("y_nid").alias("late")).distinct()
+    marked = sets.join(_sized(gone), "nid", "left").select("nid", "gone", "n", *_PARITY, F.posexplode("prefix").alias("pos", "p"))
+    n = F.col("n")
+    x, y = _named(marked.filter(F.col("pos") <= n - F.ceil(2 * n * percent / F.lit(100 + percent))), "x"), _named(marked, "y")
+    early, late = F.least("x_nid", "y_nid"), F.greatest("x_nid", "y_nid")
+    smaller = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_nid") < F.col("y_nid")))
+    left = F.when(F.col("x_nid") < F.col("y_nid"), F.col("y_gone")).otherwise(F.col("x_gone")).isNull()
+    second = x.join(y, (F.col("x_p") == F.col("y_p")) & smaller & left & _may_match(percent)).select(early.alias("early"), late.alias("late")).distinct()
     second = checkpointed(second.join(tried, ["early", "late"], "left_anti"))
     gone = gone.union(_verified(second, _whole(docs, sets, second), percent).withColumn("gone", F.lit(True)))
     verdict = sets.select("nid", "k1", "k2", "at_doc", "at_hash", "at_line").join(gone, "nid", "left")
-    told = lines.select("doc_id", "text_hash", "line_no", "k1", "k2").join(verdict, ["k1", "k2"])
+    told = lines.join(verdict, ["k1", "k2"])
     later = ~(F.col("doc_id").eqNullSafe(F.col("at_doc")) & (F.col("text_hash") == F.col("at_hash")) & (F.col("line_no") == F.col("at_line")))
     return told.filter(later | F.col("gone").isNotNull()).select("doc_id", "text_hash", "line_no")
 

@@ -56,7 +56,9 @@ _BLANKS = "[\\x09\\x0A\\x0B\\x0C\\x0D\\x20]+"
 
 def _words(text: Column) -> Column:
     """Hashes of the words of a text, and of the empty word where a blank stands at an end."""
-    return F.transform(F.split(lowered(text), _BLANKS), lambda w: F.xxhash64(w))
+    parts = lambda text, low: F.transform(F.split(text, _BLANKS), lambda w: F.xxhash64(low(w)))
+    plain = F.octet_length(text) == F.length(text)
+    return F.when(plain, parts(F.lower(text), lambda w: w)).otherwise(parts(text, lowered))
 
 
 def _set(line: Column) -> Column:
@@ -71,7 +73,8 @@ def _plain(docs: DataFrame) -> DataFrame:
 
 def _ranks(docs: DataFrame) -> list[int]:
     """The rank of each counter, from the rarest on; each word counts as often as it stands in the texts."""
-    counted = _plain(docs).select(F.explode(_words(F.col("text"))).alias("h")).groupBy(F.col("h").bitwiseAND(COUNTERS - 1).alias("i")).agg(F.count(F.lit(1)).alias("n")).collect()
+    each = _plain(docs).select(F.explode(F.split("text", _BLANKS)).alias("w")).select(F.xxhash64(lowered(F.col("w"))).alias("h"))
+    counted = each.groupBy(F.col("h").bitwiseAND(COUNTERS - 1).alias("i")).agg(F.count(F.lit(1)).alias("n")).collect()
     total = {r.i: r.n for r in counted}
     rank = [0] * COUNTERS
     for k, i in enumerate(sorted(range(COUNTERS), key=lambda i: (total.get(i, 0), i))):

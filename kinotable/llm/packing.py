@@ -8,7 +8,8 @@ on groups of about ``group_tokens`` tokens inside a task, so memory is bounded
 and nothing is shuffled; a lost task packs the same rows again.
 
 Defined cases: a null or empty text is one end id; repeated rows are packed
-each on its own; an empty table gives no rows; nulls in doc_id stay null.
+each on its own; an empty table gives no rows; nulls in doc_id stay null; ids
+that do not fit into 16 bits raise an error.
 """
 
 from __future__ import annotations
@@ -131,10 +132,14 @@ def packed_rows(docs: DataFrame, vocabulary: str = VOCABULARY, row_tokens: int =
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, group, held = tokenizer(vocabulary), [], 0
+        encode, group, held, most = tokenizer(vocabulary), [], 0, np.iinfo(np.uint16).max
+        if end_id > most:
+            raise ValueError(f"ids are written in 16 bits, up to {most}")
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1)):
                 ids = encode((text.as_py() or b"").decode("utf-8", "replace"))
+                if len(ids) and ids.max() > most:
+                    raise ValueError(f"ids are written in 16 bits, up to {most}; the vocabulary has {ids.max()}")
                 group.append((doc_id.as_py(), np.append(ids, end_id).astype(np.uint16)))
                 held += len(ids) + 1
                 if held >= group_tokens:

@@ -27,6 +27,8 @@ from kinotable.llm.hashing import buffers, chunks, lowered, running_sum, span_ha
 
 #: Shrinkage towards the pooled covariance and towards the diagonal.
 POOLED, DIAGONAL = 0.1, 0.1
+#: Most labels that are broadcast, so that only labelled documents are measured; beyond it all are.
+BROADCAST_ROWS = 500_000
 #: A document is kept from this score on.
 THRESHOLD = 0.3
 
@@ -138,7 +140,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", pooled: floa
         c, i, j = np.indices(held.shape).reshape(3, -1)
         yield pa.record_batch([pa.array(x) for x in (c, i, j)] + [pa.array(held.ravel())], ["c", "i", "j", "v"])
 
-    rows = document_statistics(docs).join(known.filter("y in (0, 1)"), "doc_id").select("y", "x")
+    known = known.filter("y in (0, 1)")
+    wanted = docs.join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi") if known.count() <= BROADCAST_ROWS else docs
+    rows = document_statistics(wanted).join(known, "doc_id").select("y", "x")
     summed = rows.mapInArrow(sums, "c long, i long, j long, v double").groupBy("c", "i", "j").agg(F.sum("v").alias("v")).collect()
     moments = {c: np.zeros((len(NAMES) + 1,) * 2) for c in (0, 1)}
     for r in summed:

@@ -12,7 +12,8 @@ are those of the full chain; fitting does the same), and joins the marginals to
 the chance that none is toxic, calibrated on the labelled documents.
 
 Fitting uses at most ``sample_docs`` labelled documents, picked by a hash of
-doc_id; everything else covers all rows and whole texts.
+doc_id (of rows that agree in doc_id, the one whose text has the least hash);
+everything else covers all rows and whole texts.
 
 Defined cases: null and empty texts score like a text without toxic words;
 repeated rows are scored each; with no toxic or no clean labelled document
@@ -33,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinotable.llm.saving import checkpointed, dropped
+
 #: Most labelled documents that a fit reads, and most features that it keeps.
 SAMPLE_DOCS, MAX_FEATURES = 12_000, 4000
 #: Lengths of word beginnings; chance of one false feature that a fit accepts.
@@ -256,7 +259,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_docs: i
     """Fit to the documents that ``labels`` (doc_id, label) names; leave held-out rows out first."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(picked), "doc_id").select("y", "text")
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(picked), "doc_id")
+    # one row for each id, so that the sample is bounded in rows; written once, as four passes read it
+    rows = checkpointed(rows.groupBy("doc_id").agg(F.first("y").alias("y"), F.min_by("text", F.xxhash64("text")).alias("text")).select("y", "text"))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -291,6 +296,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_docs: i
             yield pa.record_batch([pa.array(y, pa.int32()), pa.array(n, pa.int32()), pa.array(at, pa.list_(pa.int32())), pa.array(held, pa.list_(pa.list_(pa.int32())))], ["y", "n", "at", "held"])
 
     got = rows.mapInArrow(active, "y int, n int, at array<int>, held array<array<int>>").collect()
+    dropped(rows)
     got.sort(key=lambda r: (r.y, r.n, r.at, r.held))
     strength = np.array([_tail(r.df1, r.df0, share) for r in kept])
     cover = _cover([{f for fs in r.held for f in fs} for r in got if r.y], np.array([r.df0 * share / (1 - share) for r in kept]), strength)

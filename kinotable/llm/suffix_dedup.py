@@ -47,7 +47,9 @@ LENGTH, GRAM = 100, 32
 #: Bits that tell which anchors occur twice.
 BITS = 1 << 26
 #: Suffixes that are compared at once, that a task sorts before it sends them, and that a range is planned for.
-SLICE, SENT, RANGE = 40_000, 100_000, 150_000
+SLICE, SENT, RANGE = 40_000, 75_000, 150_000
+#: Bytes of text whose anchors are sought at once.
+PIECE = CHUNK_BYTES // 2
 
 _U = np.uint64
 _LEFT = LENGTH - GRAM
@@ -312,7 +314,7 @@ def _twice(docs: DataFrame, bits: int) -> tuple[np.ndarray, int]:
         for batch in batches:
             buf, offsets = buffers(batch.column(2))
             held, size = [], 0
-            for b, o, _, _ in _pieces(buf, offsets, CHUNK_BYTES):
+            for b, o, _, _ in _pieces(buf, offsets, PIECE):
                 held.append(_anchors(b, o)[1])
                 size += len(held[-1])
                 if size >= 2 * SENT:
@@ -349,7 +351,7 @@ def repeated_spans(docs: DataFrame, ranges: int | None = None, bits: int = BITS)
             buf, offsets = buffers(batch.column(2))
             found: list[tuple[np.ndarray, ...]] = []
             size = 0
-            for b, o, owner, place in _pieces(buf, offsets, CHUNK_BYTES):
+            for b, o, owner, place in _pieces(buf, offsets, PIECE):
                 found.append(suffixes(b, o, doc[owner], tie[owner], place))
                 size += len(found[-1][0])
                 if size >= SENT:

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinotable.llm.hashing import CHUNK_BYTES, buffers, chunks, running_sum, span_hashes
+from kinotable.llm.hashing import CHUNK_BYTES, buffers, chunks, mix, running_sum, span_hashes
 from kinotable.llm.saving import checkpointed, tidily
 
 #: Bytes of a repeated string, and of the gram that anchors it.
@@ -369,7 +369,8 @@ def repeated_spans(docs: DataFrame, ranges: int | None = None, bits: int = BITS)
         size, far, there, side = last + LENGTH - anchor, anchor - first, np.arange(LENGTH), np.arange(_LEFT)
         right = np.where(there < size[:, None], b[np.minimum(anchor[:, None] + there, len(b) - 1)], np.uint8(0))
         left = np.where(side < far[:, None], b[np.maximum(anchor[:, None] - 1 - side, 0)], np.uint8(0))
-        return h, right, size, left, anchor - last, far, doc[piece], tie[piece], anchor - o[piece] + place[piece]
+        # anchors have the least hashes of their windows; mixed again, they are even over all ranges
+        return mix(h), right, size, left, anchor - last, far, doc[piece], tie[piece], anchor - o[piece] + place[piece]
 
     def sorted_runs(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         """Front-coded runs by range, and the spans that repeat among these suffixes."""

@@ -12,8 +12,9 @@ on the input.
   only these prefixes are joined.
 * Pairs that share a prefix word pass the length filter, the positional filter
   (words left after the shared one) and a parity filter: each word turns one of
-  128 bits over, so the bits in which two sets differ are no more than the words
-  that only one of them has.  Then the whole sets are compared.
+  64 bits over (of 128 in sets of more than SHORT words), so the bits in which
+  two sets differ are no more than the words that only one of them has.  Then
+  the whole sets are compared.
 * First each set meets two leads of each of its STAR rarest words: the earliest
   set with the word and the one with the most copies.  Sets that this leaves in
   place meet about LEADS more of each prefix word that is hot (in more than HOT
@@ -49,14 +50,24 @@ HOT, SHARE, LEADS = 128, 3000, 48
 #: Most sets, or documents, that are broadcast; beyond it they are joined by shuffle.
 BROADCAST_ROWS = 500_000
 
+#: Words of the sets for which 64 parity bits tell enough; only larger ones have b1.
+SHORT = 80
+
 _PARITY = ["b0", "b1"]
 #: Blanks, each by itself: the regex engine then looks them up in one table of bits.
 _BLANKS = "[\\x09\\x0A\\x0B\\x0C\\x0D\\x20]+"
+#: Blanks other than the space; a line without them is split at single spaces, with no regex.
+_RARE_BLANKS = "[\\x09\\x0A\\x0B\\x0C\\x0D]"
+
+
+def _parts(text: Column) -> Column:
+    """The words of a text, with empty ones between and around blanks."""
+    return F.when(text.rlike(_RARE_BLANKS), F.split(text, _BLANKS)).otherwise(F.split(text, " "))
 
 
 def _words(text: Column) -> Column:
-    """Hashes of the words of a text, and of the empty word where a blank stands at an end."""
-    parts = lambda text, low: F.transform(F.split(text, _BLANKS), lambda w: F.xxhash64(low(w)))
+    """Hashes of the words of a text, and of the empty word where blanks meet or stand at an end."""
+    parts = lambda text, low: F.transform(_parts(text), lambda w: F.xxhash64(low(w)))
     plain = F.octet_length(text) == F.length(text)
     return F.when(plain, parts(F.lower(text), lambda w: w)).otherwise(parts(text, lowered))
 
@@ -91,21 +102,24 @@ def _facts(percent: int):
     """From a set's words in order: its size, digests, parity and prefix (rarest first)."""
 
     def of(own: Column) -> Column:
-        turned = lambda bits, x: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x, 1).bitwiseAND(63).cast("int")))
-        part = lambda k: lambda x: x.bitwiseAND(1) == k
+        turned = lambda bits, x: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int")))
+        parity = lambda words: F.aggregate(words, F.lit(0).cast("long"), turned)
         n = F.size(own)
+        # the halves of a large set add up, as parities, to the 64 bits that it would have if it were short
+        part = lambda k: parity(F.filter(own, lambda x: x.bitwiseAND(64) == 64 * k))
+        bits = [F.when(n <= SHORT, parity(own)).otherwise(part(0)), F.when(n <= SHORT, F.lit(0).cast("long")).otherwise(part(1))]
         keep = n - F.ceil(n * percent / F.lit(100)).cast("int") + 1
-        return F.struct(n.alias("n"), F.xxhash64(own).alias("k1"), F.xxhash64(own, F.lit(1)).alias("k2"), *[F.aggregate(F.filter(own, part(k)), F.lit(0).cast("long"), turned).alias(b) for k, b in enumerate(_PARITY)], F.transform(F.slice(own, 1, keep), _name).alias("prefix"))
+        return F.struct(n.alias("n"), F.xxhash64(own).alias("k1"), F.xxhash64(own, F.lit(1)).alias("k2"), *[x.alias(b) for x, b in zip(bits, _PARITY)], F.transform(F.slice(own, 1, keep), _name).alias("prefix"))
 
     return of
 
 
 def _lines(docs: DataFrame, percent: int) -> DataFrame:
     """doc_id, text_hash, line_no, n, k1, k2, parity, prefix of each line, written out; n is 0 without words."""
-    rank = constants(_ranks(docs))
+    rank = constants([r << 49 for r in _ranks(docs)])
     lines = _plain(docs).select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     # a word is its rank and 49 bits of its hash, so order is by rarity and equal words stay equal
-    ranked = F.transform(_set(F.col("line")), lambda h: F.shiftleft(rank[h.bitwiseAND(COUNTERS - 1).cast("int")], 49).bitwiseOR(F.shiftrightunsigned(h, 15)))
+    ranked = F.transform(_set(F.col("line")), lambda h: rank[h.bitwiseAND(COUNTERS - 1).cast("int")].bitwiseOR(F.shiftrightunsigned(h, 15)))
     made = lines.select("doc_id", "text_hash", "line_no", let(F.sort_array(ranked), _facts(percent)).alias("f"))
     return checkpointed(made.select("doc_id", "text_hash", "line_no", "f.*"))
 
@@ -124,7 +138,8 @@ def _may_match(percent: int) -> Column:
     least = F.ceil((n + m) * percent / F.lit(100 + percent))
     near = F.least(n, m) * 100 >= F.greatest(n, m) * percent
     left = F.least(n - F.col("x_pos"), m - F.col("y_pos")) >= least
-    apart = sum((F.bit_count(F.col(f"x_{b}").bitwiseXOR(F.col(f"y_{b}"))) for b in _PARITY), F.lit(0))
+    each = [F.col(f"x_{b}").bitwiseXOR(F.col(f"y_{b}")) for b in _PARITY]
+    apart = F.when((n <= SHORT) == (m <= SHORT), F.bit_count(each[0]) + F.bit_count(each[1])).otherwise(F.bit_count(each[0].bitwiseXOR(each[1])))
     return near & left & (apart <= n + m - 2 * least)
 
 

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 import corpus_pipeline
 from kinotable.llm import jaccard_join, line_dedup, token_counts
 from kinotable.llm.saving import checkpointed, dropped
@@ -27,8 +29,10 @@ def test_lines_of_repeated_and_nameless_rows(spark):
     assert kept.columns == [x.split()[0] for x in SCHEMA.split(", ")] and kept.count() == len(docs)
 
 
-def test_crowds_of_near_lines(spark, monkeypatch):
+@pytest.mark.parametrize("short", [80, 37])
+def test_crowds_of_near_lines(spark, monkeypatch, short):
     monkeypatch.setattr(line_dedup, "HOT", 4)
+    monkeypatch.setattr(line_dedup, "SHORT", short)  # sets of 34 to 40 words are on both sides of 37
     rng = random.Random(3)
     base = [f"w{i}" for i in range(40)]
     docs = []
@@ -36,7 +40,7 @@ def test_crowds_of_near_lines(spark, monkeypatch):
         words = list(base)
         for _ in range(rng.choice((1, 3, 6))):
             words[rng.randrange(40)] = f"e{rng.randrange(30)}"
-        docs.append((i, " ".join(words)))
+        docs.append((i, (" ", "  ", "\t")[i % 3].join(words)))
     sets, want = [set(t.split()) for _, t in docs], []
     for i, s in enumerate(sets):
         want.append((i, [0] if any(100 * len(s & k) >= 80 * len(s | k) for k in sets[:i]) else []))

@@ -46,4 +46,13 @@ q as (select doc_id, count(*) n, string_agg(cast(line_no as varchar), ',' order
 select doc_id, cast(coalesce(len(x), 0) as bigint) n_lines, coalesce(n, 0) n_removed, coalesce(t, '') removed_lines from x left join q using (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": JACCARD, "op5_suffix_dedup": SUFFIXES, "op7_line_dedup": LINES, "op9_decontamination": DECONTAMINATION}
+MIDDLES = """
+with h as (select doc_id, coalesce(text, '') t, sha256('1:' || coalesce(cast(doc_id as varchar), '')) h from documents),
+w as (select *, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') w, list_transform([0, 1, 2, 3], lambda i: cast('0x' || substr(h, 8 * i + 1, 8) as bigint)) r from h),
+c as (select doc_id, t, w, len(w) n, r[1] % (len(w) + 1) x, r[2] % (len(w) + 1) y, case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or r[3] % 100 >= 90 then 'plain' when r[4] % 100 < 20 then 'spm' else 'psm' end form from w),
+p as (select *, array_to_string(w[1:least(x, y)], '') p, array_to_string(w[least(x, y) + 1:greatest(x, y)], '') m, array_to_string(w[greatest(x, y) + 1:], '') s from c)
+select doc_id, cast(n as bigint) n, form, case when form <> 'plain' then length(p) end prefix_chars, case when form <> 'plain' then length(m) end middle_chars,
+sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) output_sha256, sha256(t) restored_sha256 from p
+"""
+
+ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": JACCARD, "op5_suffix_dedup": SUFFIXES, "op7_line_dedup": LINES, "op9_decontamination": DECONTAMINATION, "op11_fill_in_middle": MIDDLES}

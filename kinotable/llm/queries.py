@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinotable.llm import decontamination, fingerprints, jaccard_join, line_dedup, mixing, packing, quality, suffix_dedup, token_counts, toxicity
+from kinotable.llm import decontamination, fill_in_middle, fingerprints, jaccard_join, line_dedup, mixing, packing, quality, simhash, suffix_dedup, token_alignment, token_counts, toxicity
 from kinotable.llm.oracles import ORACLES
 
 
@@ -64,8 +64,23 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_rows(_table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.fill_in_middle(_table(spark, sf_dir, "documents"))
+    digest = lambda text: F.sha2(text, 256)
+    back = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(back).alias("restored_sha256"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.aligned(_table(spark, sf_dir, "documents"))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_copies(_table(spark, sf_dir, "documents"))
+
+
 __all__ = ["ORACLES", "QUERIES"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_jaccard_join, op2_fingerprints, op3_toxicity, op4_mixing, op5_suffix_dedup, op6_token_counts, op7_line_dedup, op8_quality, op9_decontamination, op10_packing)
+    f.__name__: f for f in (op1_ngram_jaccard_join, op2_fingerprints, op3_toxicity, op4_mixing, op5_suffix_dedup, op6_token_counts, op7_line_dedup, op8_quality, op9_decontamination, op10_packing, op11_fill_in_middle, op12_token_alignment, op13_simhash)
 }

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from kinotable.functions.columns import NUMBER, extension, first_match
 from kinotable.operators.attribution import preceding
+from kinotable.sources.structure import DEFINITION, STAGE, enclosing, structured
 
-STAGE = "<stage>"
-#: Patterns that the layer format sets (fixed values): a typed definition, an asset between at signs.
-DEFINITION = r'(?U)^\s*def\s+(\w+)\s+"([^"]+)"'
+#: Values that the layer format sets (fixed values): an asset between at signs, extensions of layers themselves.
 ASSET = r"@([^@\n]+)@"
+LAYERS = ["", ".usda", ".usdc", ".usd"]
 
 
 def read_layers(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
@@ -53,15 +53,10 @@ def stage_meta(layers: DataFrame) -> DataFrame:
 
 def owned(numbered: DataFrame, mode: str = "preceding") -> DataFrame:
     """numbered with ``prim``: the nearest definition before a line, or the one that encloses it."""
-    name = F.nullif(F.regexp_extract("line", DEFINITION, 2), F.lit(""))
     if mode == "preceding":
+        name = F.nullif(F.regexp_extract("line", DEFINITION, 2), F.lit(""))
         return preceding(numbered.withColumn("def", name), ["path"], ["ln"], F.col("def"), "prim", F.lit(STAGE)).drop("def")
-    # the last definition whose depth is below the line's, unless its block has closed
-    level = Window.partitionBy("path").orderBy("ln").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    opened = F.when(name.isNotNull(), F.create_map(F.col("before"), name))
-    held = F.collect_list(opened).over(level)
-    best = F.aggregate(held, F.array().cast("array<struct<d:bigint,n:string>>"), lambda stack, m: F.concat(F.filter(stack, lambda s: s["d"] < F.map_keys(m)[0]), F.array(F.struct(F.map_keys(m)[0].cast("long").alias("d"), F.map_values(m)[0].alias("n")))))
-    return numbered.withColumn("prim", F.coalesce(F.try_element_at(F.filter(best, lambda s: s["d"] < F.greatest(F.col("before"), F.col("depth"))), F.lit(-1))["n"], name, F.lit(STAGE)))
+    return enclosing(structured(numbered)).select(*numbered.columns, "prim")
 
 
 def blocks(numbered: DataFrame, attributes: str, mode: str = "preceding") -> DataFrame:
@@ -111,7 +106,7 @@ def token_samples(numbered: DataFrame, attribute: str = "visibility", mode: str
 def asset_references(layers: DataFrame) -> DataFrame:
     """(path, asset): referenced files that are not layers themselves."""
     each = layers.select("path", F.explode(F.regexp_extract_all("text", F.lit(ASSET), F.lit(1))).alias("asset"))
-    return each.filter(~extension(F.col("asset")).isin("", ".usda", ".usdc", ".usd"))
+    return each.filter(~extension(F.col("asset")).isin(*LAYERS))
 
 
 def present_and_missing(wanted: DataFrame, there: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:

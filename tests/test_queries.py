@@ -3,7 +3,7 @@ import os
 import pytest
 from compare import both
 
-from kinotable import scene_queries as queries
+from kinotable import registry as queries
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 #: A number as scene layers write it (a fixed value).
 NUMBER = r"-?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?"
@@ -94,11 +94,16 @@ def aligned(size: Column, unit: int = 64) -> Column:
     return size + F.pmod(-size, F.lit(unit))
 
 
-@F.pandas_udf(StringType())
-def _general(x: pd.Series) -> pd.Series:
-    return x.map(lambda v: None if v is None or v != v else f"{v:g}")
+@F.arrow_udf(ArrayType(StringType()))
+def _generals(x: pa.Array) -> pa.Array:
+    return pa.array([None if v is None else [None if n is None or n != n else f"{n:g}" for n in v] for v in x.to_pylist()], pa.list_(pa.string()))
+
+
+def generals(x: Column) -> Column:
+    """Numbers of an array with six significant digits and no trailing zeros; the one Python function on columns."""
+    return _generals(x.cast("array<double>"))
 
 
 def general(x: Column) -> Column:
-    """A number with six significant digits and no trailing zeros; the one Python function on columns."""
-    return _general(x.cast("double"))
+    """One number as ``generals`` tells it."""
+    return generals(F.array(x))[0]

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinotable.functions.columns import general, magnitude
+from kinotable.functions.columns import generals, magnitude
 from kinotable.operators.timeline import changes, evaluated, switched
-from kinotable.sources.layers import blocks, lines, raw_samples, samples, stage_meta
+from kinotable.plans.rounds import kept
+from kinotable.sources.layers import block_raw_samples, block_samples, blocks, last_of_each_frame, stage_meta
+from kinotable.sources.structure import text_lines
 
 
 def apply_patches(layers: DataFrame, patches: DataFrame) -> DataFrame:
@@ -22,27 +24,44 @@ def apply_patches(layers: DataFrame, patches: DataFrame) -> DataFrame:
     return layers.join(each, "path", "left").select("path", F.when(F.col("p").isNull(), F.col("text")).otherwise(done).alias("text"))
 
 
-def _placed(numbered: DataFrame, attributes: str) -> DataFrame:
+#: Attributes that are frozen to one value, besides the scale.
+OTHERS = r"xformOp:(?:translate|orient|transform|rotate\w*)"
+_SCALE = "xformOp:scale"
+_KEYS = ["path", "prim", "from_ln"]
+
+
+def _blocks(layers: DataFrame, attributes: str) -> DataFrame:
+    """The lines of all blocks of the attributes, found in one pass over the text and written once."""
+    return kept(blocks(text_lines(layers), attributes).withColumnRenamed("start", "from_ln"))
+
+
+def _placed(found: DataFrame) -> DataFrame:
     """(path, prim, from_ln, indent, decl, attr, start, stop) of closed blocks, with character offsets."""
-    order = Window.partitionBy("path").orderBy("ln").rowsBetween(Window.unboundedPreceding, -1)
-    at = numbered.select("path", "ln", F.coalesce(F.sum(F.length("line") + 1).over(order), F.lit(0)).alias("at"), F.length("line").alias("size"))
-    found = blocks(numbered, attributes).filter("closed").groupBy("path", "prim", F.col("start").alias("from_ln"), "indent", "decl", "attr").agg(F.max("ln").alias("to_ln"))
-    first = found.join(at.select("path", F.col("ln").alias("from_ln"), F.col("at").alias("start")), ["path", "from_ln"])
-    return first.join(at.select("path", F.col("ln").alias("to_ln"), (F.col("at") + F.col("size")).alias("stop")), ["path", "to_ln"]).drop("to_ln")
+    ends = F.min("at").alias("start"), F.max(F.col("at") + F.col("size")).alias("stop")
+    return found.filter("closed").groupBy(*_KEYS, "indent", "decl", "attr").agg(*ends)
+
 
+def _scales(found: DataFrame) -> DataFrame:
+    """(path, prim, from_ln, frame, ln, pos, value, mag) of scale samples, one for each frame."""
+    each = block_samples(found.filter(F.col("attr") == _SCALE).withColumnRenamed("from_ln", "start")).withColumnRenamed("start", "from_ln")
+    return last_of_each_frame(each.drop("attr"), _KEYS, ["ln", "pos"]).withColumn("mag", magnitude(F.col("value")))
 
-def visibility(layers: DataFrame) -> DataFrame:
+
+def _seen(scaled: DataFrame, layers: DataFrame, share: float = 0.5) -> DataFrame:
+    stage = stage_meta(layers).select("path", F.col("t0").cast("int").alias("a"), F.col("t1").cast("int").alias("b"))
+    most = scaled.groupBy(*_KEYS).agg(F.max("mag").alias("most"))
+    asked = most.join(stage, "path").select(*_KEYS, F.explode(F.sequence("a", F.greatest("a", "b")).cast("array<double>")).alias("frame"))
+    seen = evaluated(scaled, asked, _KEYS, "frame", "mag").join(most, _KEYS).withColumn("token", F.when(F.col("mag") > F.col("most") * share, "inherited").otherwise("invisible"))
+    return changes(seen, _KEYS, ["frame"], F.col("token")).select(*_KEYS, F.col("frame").cast("int").alias("frame"), "token")
+
+
+def visibility(layers: DataFrame, share: float = 0.5) -> DataFrame:
     """(path, prim, from_ln, frame, token): when each scaled prim is seen, as runs over the whole frames of the stage.
 
-    A prim is seen where its interpolated scale is above half of its greatest.
+    A prim is seen where its interpolated scale is above the share of its
+    greatest.  Where a frame has two samples, the last in the file counts.
     """
-    scaled = samples(lines(layers), "xformOp:scale").select("path", "prim", F.col("start").alias("from_ln"), "frame", magnitude(F.col("value")).alias("mag"))
-    stage = stage_meta(layers).select("path", F.col("t0").cast("int").alias("a"), F.col("t1").cast("int").alias("b"))
-    frames = scaled.select("path", "prim", "from_ln").distinct().join(stage, "path").select("path", "prim", "from_ln", F.explode(F.sequence("a", F.greatest("a", "b")).cast("array<double>")).alias("frame"))
-    keys = ["path", "prim", "from_ln"]
-    most = scaled.groupBy(*keys).agg(F.max("mag").alias("most"))
-    seen = evaluated(scaled, frames, keys, "frame", "mag").join(most, keys).withColumn("token", F.when(F.col("mag") > F.col("most") * 0.5, "inherited").otherwise("invisible"))
-    return changes(seen, keys, ["frame"], F.col("token")).select(*keys, F.col("frame").cast("int").alias("frame"), "token")
+    return _seen(_scales(_blocks(layers, rf"\Q{_SCALE}\E")), layers, share)
 
 
 def raw_visibility(samples: DataFrame, keys: list[str], frame: str, magnitude: Column, start: Column | None = None, share: float = 0.5) -> DataFrame:
@@ -58,31 +77,30 @@ def raw_visibility(samples: DataFrame, keys: list[str], frame: str, magnitude: C
     return changes(rows.unionByName(early), keys, ["frame"], F.col("token")).select(*keys, "frame", "token")
 
 
-def freeze_patches(layers: DataFrame, others: str = r"xformOp:(?:translate|orient|transform|rotate\w*)") -> DataFrame:
+def freeze_patches(layers: DataFrame, others: str = OTHERS) -> DataFrame:
     """Patches that freeze scale samples to a static scale with visibility, and other samples to one value.
 
     The scale is that of the first sample, in file order, above half of the
     greatest; a scale that is zero throughout stays as it is.  Other samples
     keep the value at the first frame in which the prim is seen, if there is a
-    sample, else the earliest one.
+    sample, else the earliest one.  Where a frame has two samples, the last in
+    the file counts.
     """
-    numbered = lines(layers)
-    keys = ["path", "prim", "from_ln"]
-    place = _placed(numbered, r"\QxformOp:scale\E")
-    scaled = samples(numbered, "xformOp:scale").withColumn("mag", magnitude(F.col("value"))).withColumnRenamed("start", "from_ln")
-    most = scaled.groupBy(*keys).agg(F.max("mag").alias("most"))
-    full = scaled.join(most, keys).filter("mag > most * 0.5").groupBy(*keys).agg(F.min_by("value", F.struct("ln", "frame")).alias("full"))
-    tokens = visibility(layers)
-    told = tokens.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("frame", "token"))).alias("vis"))
-    rows = place.join(full, keys).join(told, keys)
-    static = F.concat("indent", "decl", F.lit(" = ("), general(F.col("full")[0]), F.lit(", "), general(F.col("full")[1]), F.lit(", "), general(F.col("full")[2]), F.lit(")"))
+    found = _blocks(layers, rf"\Q{_SCALE}\E|{others}")
+    place, scaled = _placed(found), _scales(found)
+    top = F.max("mag").over(Window.partitionBy(*_KEYS))
+    full = scaled.withColumn("most", top).filter("mag > most * 0.5").groupBy(*_KEYS).agg(F.min_by("value", F.struct("ln", "pos")).alias("full"))
+    told = _seen(scaled, layers).groupBy(*_KEYS).agg(F.array_sort(F.collect_list(F.struct("frame", "token"))).alias("vis"))
+    told = kept(told.withColumn("first_on", F.array_min(F.transform(F.filter("vis", lambda v: v["token"] == "inherited"), lambda v: v["frame"]))))
+    static = F.concat("indent", "decl", F.lit(" = ("), F.array_join(generals(F.col("full")), ", "), F.lit(")"))
     shown = F.concat_ws("\n", F.transform("vis", lambda v: F.concat("indent", F.lit("    "), v["frame"].cast("string"), F.lit(': "'), v["token"], F.lit('",'))))
     text = F.concat_ws("\n", static, F.concat("indent", F.lit("token visibility.timeSamples = {")), shown, F.concat("indent", F.lit("}")))
-    scales = rows.select("path", "start", "stop", text.alias("repl"))
-    first = tokens.filter("token = 'inherited'").groupBy("path", "prim").agg(F.min("frame").cast("double").alias("first_on"))
-    raw = raw_samples(numbered, others).withColumnRenamed("start", "from_ln").join(first, ["path", "prim"], "left")
-    pick = raw.groupBy(*keys).agg(F.coalesce(F.max(F.when(F.col("frame") == F.col("first_on"), F.col("raw"))), F.min_by("raw", "frame")).alias("raw"))
-    still = _placed(numbered, others).join(pick, keys).select("path", "start", "stop", F.concat("indent", "decl", F.lit(" = "), "raw").alias("repl"))
+    scales = place.filter(F.col("attr") == _SCALE).join(full, _KEYS).join(told, _KEYS).select("path", "start", "stop", text.alias("repl"))
+    first = told.groupBy("path", "prim").agg(F.min("first_on").cast("double").alias("first_on"))
+    raw = block_raw_samples(found.filter(F.col("attr") != _SCALE).withColumnRenamed("from_ln", "start")).withColumnRenamed("start", "from_ln")
+    raw = last_of_each_frame(raw.select(*_KEYS, "ln", "frame", "raw"), _KEYS, ["ln"]).join(first, ["path", "prim"], "left")
+    pick = raw.groupBy(*_KEYS).agg(F.coalesce(F.max(F.when(F.col("frame") == F.col("first_on"), F.col("raw"))), F.min_by("raw", "frame")).alias("raw"))
+    still = place.filter(F.col("attr") != _SCALE).join(pick, _KEYS).select("path", "start", "stop", F.concat("indent", "decl", F.lit(" = "), "raw").alias("repl"))
     return scales.unionByName(still)
 
 

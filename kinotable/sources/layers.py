@@ -63,7 +63,8 @@ def blocks(numbered: DataFrame, attributes: str, mode: str = "preceding") -> Dat
     """Body lines of each time-sample block whose attribute matches the pattern.
 
     (path, prim, start, indent, decl, attr, ln, body, closed): ``closed`` tells
-    whether the block ends in this file at all.
+    whether the block ends in this file at all.  Where numbered has ``at``, the
+    character that a line starts with, ``at`` and ``size`` come as well.
     """
     opening = rf"(?U)^(.*?)([ \t]*)(\w+\d*\s+)?({attributes})\.timeSamples\s*="
     found = owned(numbered, mode).withColumn("mark", F.when(F.col("line").rlike(opening), F.struct("ln", "before", "prim", F.regexp_extract("line", opening, 2).alias("indent"), F.concat(F.regexp_extract("line", opening, 3), F.regexp_extract("line", opening, 4)).alias("decl"), F.regexp_extract("line", opening, 4).alias("attr"))))
@@ -77,23 +78,41 @@ def blocks(numbered: DataFrame, attributes: str, mode: str = "preceding") -> Dat
     inside = ~F.coalesce(F.max("ended").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
     ever = F.max("ended").over(Window.partitionBy("path", "mark.ln"))
     kept = ended.withColumn("inside", inside).withColumn("closed", ever).filter("inside")
-    return kept.select("path", "mark.prim", F.col("mark.ln").alias("start"), "mark.indent", "mark.decl", "mark.attr", "ln", "body", "closed")
+    place = ["at", F.length("line").alias("size")] if "at" in numbered.columns else []
+    return kept.select("path", "mark.prim", F.col("mark.ln").alias("start"), "mark.indent", "mark.decl", "mark.attr", "ln", "body", "closed", *place)
 
 
-def samples(numbered: DataFrame, attribute: str, mode: str = "preceding") -> DataFrame:
-    """(path, prim, attr, start, ln, frame, value array) of three-number samples."""
+def block_samples(found: DataFrame) -> DataFrame:
+    """(path, prim, attr, start, ln, pos, frame, value array) of the three-number samples of blocks, ``pos`` counting those of a line."""
     one = rf"({NUMBER})\s*:\s*\(\s*({NUMBER})\s*,\s*({NUMBER})\s*,\s*({NUMBER})\s*\)"
     group = lambda i: F.regexp_extract_all("body", F.lit(one), F.lit(i))
-    each = blocks(numbered, rf"\Q{attribute}\E", mode).select("path", "prim", "attr", "start", "ln", F.explode(F.arrays_zip(*[group(i).alias(f"g{i}") for i in (1, 2, 3, 4)])).alias("s"))
+    each = found.select("path", "prim", "attr", "start", "ln", F.posexplode(F.arrays_zip(*[group(i).alias(f"g{i}") for i in (1, 2, 3, 4)])).alias("pos", "s"))
     number = lambda i: F.col(f"s.g{i}").try_cast("double")
-    return each.select("path", "prim", "attr", "start", "ln", number(1).alias("frame"), F.array(number(2), number(3), number(4)).alias("value"))
+    return each.select("path", "prim", "attr", "start", "ln", "pos", number(1).alias("frame"), F.array(number(2), number(3), number(4)).alias("value"))
+
+
+def samples(numbered: DataFrame, attribute: str, mode: str = "preceding") -> DataFrame:
+    """(path, prim, attr, start, ln, frame, value array) of three-number samples."""
+    return block_samples(blocks(numbered, rf"\Q{attribute}\E", mode)).drop("pos")
+
+
+def block_raw_samples(found: DataFrame) -> DataFrame:
+    """(path, prim, attr, decl, indent, start, ln, frame, raw, closed) of blocks: one sample a line, its value as text."""
+    one = rf"^\s*({NUMBER})\s*:\s*(.+?),?\s*$"
+    raw = F.trim(F.rtrim(F.regexp_extract("body", one, 2), F.lit(",")))
+    return found.filter(F.col("body").rlike(one)).select("path", "prim", "attr", "decl", "indent", "start", "ln", F.regexp_extract("body", one, 1).try_cast("double").alias("frame"), raw.alias("raw"), "closed")
 
 
 def raw_samples(numbered: DataFrame, attributes: str, mode: str = "preceding") -> DataFrame:
     """(path, prim, attr, decl, indent, start, frame, raw, closed): one sample a line, its value as text."""
-    one = rf"^\s*({NUMBER})\s*:\s*(.+?),?\s*$"
-    found = blocks(numbered, attributes, mode).filter(F.col("body").rlike(one))
-    return found.select("path", "prim", "attr", "decl", "indent", "start", F.regexp_extract("body", one, 1).try_cast("double").alias("frame"), F.trim(F.rtrim(F.regexp_extract("body", one, 2), F.lit(","))).alias("raw"), "closed")
+    return block_raw_samples(blocks(numbered, attributes, mode)).drop("ln")
+
+
+def last_of_each_frame(samples: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """samples with one row for each frame of a key: where a frame comes twice, the last one in the order of the file counts."""
+    rest = [c for c in samples.columns if c not in (*keys, "frame")]
+    held = samples.groupBy(*keys, "frame").agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("s"))
+    return held.select(*keys, "frame", *[f"s.{c}" for c in rest])
 
 
 def token_samples(numbered: DataFrame, attribute: str = "visibility", mode: str = "preceding") -> DataFrame:

@@ -202,3 +202,11 @@ def test_origins_move_to_the_centroid(spark):
     assert {r.name: list(r.loc) for r in around.collect()} == {"a": [9.0, -2.0, -3.0], "b": [0.0, 0.0, 0.0], "c": [0.0, -1.0, -2.0]}
     fixed = spark.createDataFrame([(0.0, 1.0, ["scale", "hide_render"]), (0.02, 1.0, ["scale"]), (0.0, 1.0, ["location"])], "d double, r double, p array<string>")
     assert [r.ok for r in fixed.select(rules.origin_fixed(fixed.d, fixed.r, fixed.p).alias("ok")).collect()] == [True, False, False]
+
+
+def test_the_last_sample_of_a_frame_counts(spark):
+    text = TEXT.replace("            6: (0, 0, 0),\n        }\n        double3", "            6: (0, 0, 0),\n            3: (4, 4, 4), 5: (9, 9, 9), 5: (2, 2, 2),\n        }\n        double3").replace("            4: (2.5, 0, 1),\n", "            4: (2.5, 0, 1),\n            1: (7, 7, 7),\n")
+    out = rewrite.frozen(spark.createDataFrame([("a", text)], "path string, text string")).first().text
+    # the greatest scale is 4 at frame 3; above 2 is seen from 3 on, and 2 at frame 5 is not
+    assert "xformOp:scale = (4, 4, 4)" in out and "xformOp:translate = (7, 7, 7)" in out
+    assert [x.strip() for x in out.split("\n") if '": ' not in x and ': "' in x] == ['1: "invisible",', '3: "inherited",', '5: "invisible",']

@@ -12,7 +12,8 @@ are shuffled.  Posting rows and count rows then meet by A id, sorted so that
 an A id's counts come first: a task streams them, holds the counts of one A
 id (no more than B has ids), and emits what each document gets from it,
 already summed over the A ids of the task while memory allows.  These
-contributions are summed by document.
+contributions go, a row for a block of documents, to one task each block and
+are summed by document.
 
 An A id with very many postings is dealt to several keys, each of which gets a
 copy of its counts.  How many follows from its postings; the list of such ids
@@ -203,7 +204,7 @@ def _encoded(docs: DataFrame, ranks: str, pieces: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(of, _ROWS)
 
 
-_GIVEN = "key long, n_best long, count_sum long"
+_GIVEN = "block long, docs array<int>, n_best array<long>, count_sum array<long>"
 
 
 def _given(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +223,12 @@ def _given(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return out
 
     def batch_of(part: np.ndarray) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(x) for x in part], ["key", "n_best", "count_sum"])
+        """A row for each block, whose documents stand together."""
+        block = part[0] - part[0] % BLOCK_DOCS
+        first = np.flatnonzero(np.diff(block, prepend=-1))
+        ends = pa.array(np.append(first, len(block)), pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, x) for x in (pa.array(part[0] - block, pa.int32()), pa.array(part[1]), pa.array(part[2]))]
+        return pa.record_batch([pa.array(block[first]), *lists], ["block", "docs", "n_best", "count_sum"])
 
     for batch in batches:
         a = batch.column(0).to_numpy().astype(np.int64)
@@ -260,6 +266,28 @@ def _given(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of(summed(held))
 
 
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, n_best, count_sum) of each document, from rows of blocks in the order of blocks; a block at a time is held."""
+    now, sums = None, np.zeros((3, BLOCK_DOCS), np.int64)
+
+    def out() -> pa.RecordBatch:
+        there = np.flatnonzero(sums[2])
+        return pa.record_batch([pa.array(now + there), pa.array(sums[0, there]), pa.array(sums[1, there])], ["key", "n_best", "count_sum"])
+
+    for batch in batches:
+        for i, block in enumerate(batch.column(0).to_pylist()):
+            if block != now:
+                if now is not None:
+                    yield out()
+                now, sums[:] = block, 0
+            docs, n_best, count_sum = (batch.column(k)[i].values.to_numpy() for k in (1, 2, 3))
+            sums[0, docs] += n_best  # a row has a document once
+            sums[1, docs] += count_sum
+            sums[2, docs] = 1
+    if now is not None:
+        yield out()
+
+
 def aligned(docs: DataFrame, ranks: str = RANKS, pieces: str = PIECES, shard: int = SHARD) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every row of docs.
 
@@ -277,7 +305,7 @@ def aligned(docs: DataFrame, ranks: str = RANKS, pieces: str = PIECES, shard: in
     empty = F.lit(None)
     rows = dealt.select("a", "key", "bs", F.col("n_docs").cast("array<long>").alias("n_docs"), "docs", "times", "shard").unionByName(copies.select("a", "key", "bs", "n_docs", empty.cast("array<int>").alias("docs"), empty.cast("array<long>").alias("times"), "shard"))
     met = rows.repartition("a", "shard").sortWithinPartitions("a", "shard", F.col("key").asc_nulls_first()).drop("shard")
-    given = met.mapInArrow(_given, _GIVEN).groupBy("key").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    given = met.mapInArrow(_given, _GIVEN).repartition("block").sortWithinPartitions("block").mapInArrow(_summed, "key long, n_best long, count_sum long")
     whole = made.filter("a is null").select("key", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256").join(given, "key", "left")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     return whole.select("doc_id", "n_a", "n_b", "n_groups", "n_links", zero("n_best"), zero("count_sum"), "groups_sha256")

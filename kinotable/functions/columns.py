@@ -84,6 +84,21 @@ def file_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
+def folder_name(path: Column) -> Column:
+    """All before the last slash; empty if there is none."""
+    return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
+
+
+def joined_path(folder: Column, path: Column) -> Column:
+    """path under folder, without empty and ``.`` parts; ``..`` takes the part before it away, if there is one."""
+    scheme = r"^([A-Za-z][\w+.-]*:(?://[^/]*)?)?(/?)"
+    rest = F.regexp_replace(folder, scheme, "")
+    parts = F.split(F.concat_ws("/", rest, path), "/")
+    step = lambda held, part: F.when(part.isin("", "."), held).when((part == "..") & (F.size(held) > 0), F.slice(held, F.lit(1), F.size(held) - 1)).when(part == "..", held).otherwise(F.array_append(held, part))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    return F.concat(F.regexp_extract(folder, scheme, 1), F.regexp_extract(folder, scheme, 2), F.array_join(kept, "/"))
+
+
 def extension(path: Column) -> Column:
     """Lower-case extension with its dot, or an empty string."""
     return F.lower(F.regexp_extract(path, r"[^/.](\.[^./\\]+)$", 1))

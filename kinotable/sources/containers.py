@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 #: Fixed values of the zip format.
 LOCAL, CENTRAL, END = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06"
+UTF8 = 0x800  # the flag of a name that is not ASCII
 UNIT = 64
 ENTRIES = "path string, name string, method int, data_off long, size long, crc long, crc_ok boolean"
 
@@ -40,7 +41,7 @@ def packed(files: list[tuple[str, bytes]], unit: int = UNIT) -> bytes:
         if 0 < fill < 4:  # an extra field is 4 bytes at least
             fill += unit
         extra = struct.pack("<HH", 0x1986, fill - 4) + bytes(fill - 4) if fill else b""
-        facts = struct.pack("<HHHHII", 0, 0, 0, 0x21, zlib.crc32(data), len(data)) + struct.pack("<I", len(data))
+        facts = struct.pack("<HHHHII", 0 if name.isascii() else UTF8, 0, 0, 0x21, zlib.crc32(data), len(data)) + struct.pack("<I", len(data))
         body += LOCAL + struct.pack("<H", 20) + facts + struct.pack("<HH", len(raw), len(extra)) + raw + extra + data
         central += CENTRAL + struct.pack("<HH", 20, 20) + facts + struct.pack("<HHHHHII", len(raw), 0, 0, 0, 0, 0, at) + raw
     n = len(files)

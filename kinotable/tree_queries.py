@@ -1,4 +1,4 @@
-"""Queries over trees: objects under parents, and layers whose definitions stand inside others."""
+"""Queries over trees of objects and of definitions, and over files: layers and containers that are written and read again."""
 
 from __future__ import annotations
 
@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinotable.operators import hierarchy
-from kinotable.queries import _query, _rounded, _table
-from kinotable.sources import structure
+from kinotable.plans.rounds import scratch
+from kinotable.queries import ORACLES, _query, _rounded, _table
+from kinotable.scene_queries import _layers
+from kinotable.sources import assets, container_files, sinks, stage_source, structure
 
 #: Parts as a binary tree: part k stands under part k / 2.  The same numbers in SQL and in columns.
 _PARTS = """p as (select p_partkey k, nullif(p_partkey // 2, 0) parent, p_size::double lx, (p_partkey % 7)::double ly, (p_partkey % 3)::double - 1 lz, case when p_partkey % 5 = 0 then 0.5 else 0 end dx,
@@ -94,3 +96,73 @@ def nested_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
     parents = names.select("path", F.slice("prims", F.lit(1), F.size("prims") - 1).alias("prims")).distinct()
     leaves = names.join(parents, ["path", "prims"], "left_anti").groupBy("path").agg(F.count(F.lit(1)).alias("leaves"))
     return depth.join(leaves, "path").select("path", F.col("lines"), F.col("deepest"), F.col("leaves"))
+
+
+#: Customers as layers in folders of their nations, that refer to files by the forms that paths take.
+_FORMS = ["tex/k{}.png", "./k{}.png", "../n{}/k.png", "/abs/{}/../n.png", "tex//./k{}.png", "../../../{}.png"]
+
+
+def _layers_with_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customer = _table(spark, sf_dir, "customer")
+    pattern = lambda f: F.concat(*[x for i, part in enumerate(f.split("{}")) for x in ([F.col("c_nationkey").cast("string")] if i else []) + [F.lit(part)]])
+    lines = F.concat_ws("\n", *[F.concat(F.lit("  asset a = @"), pattern(f), F.lit("@")) for f in _FORMS], F.lit("  prepend references = @base.usda@"))
+    return customer.select(F.concat(F.lit("file:///lib/n"), "c_nationkey", F.lit("/c"), "c_custkey", F.lit(".usda")).alias("path"), lines.alias("text"))
+
+
+_WANTED = "select 'file:///lib/n' || n || '/c' || c_custkey || '.usda' path, place, asset, \"name\", \"full\" from (select c_custkey, c_nationkey n from customer), lateral (select * from (values (1, 'tex/k' || n || '.png', 'tex/k' || n || '.png', 'file:///lib/n' || n || '/tex/k' || n || '.png'), (2, './k' || n || '.png', 'k' || n || '.png', 'file:///lib/n' || n || '/k' || n || '.png'), (3, '../n' || n || '/k.png', '../n' || n || '/k.png', 'file:///lib/n' || n || '/k.png'), (4, '/abs/' || n || '/../n.png', 'n.png', 'file:///abs/' || n || '/../n.png'), (5, 'tex//./k' || n || '.png', 'tex//./k' || n || '.png', 'file:///lib/n' || n || '/tex/k' || n || '.png'), (6, '../../../' || n || '.png', '../../../' || n || '.png', 'file:///' || n || '.png')) t(place, asset, \"name\", \"full\"))"
+
+
+@_query(_WANTED)
+def asset_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assets.references(_layers_with_assets(spark, sf_dir))
+
+
+#: Files that are there: those of nations whose suppliers number two or more.
+_THERE = "select 'file:///lib/n' || s_nationkey || '/tex/k' || s_nationkey || '.png' \"full\" from supplier group by s_nationkey having count(*) > 1"
+
+
+@_query(f"with w as ({_WANTED}), t as ({_THERE}) select path, count(*) filter (\"full\" in (select \"full\" from t)) \"found\", array_to_string(list_sort(list(distinct asset) filter (\"full\" not in (select \"full\" from t))), '|') missing from w group by path")
+def assets_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations = _table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("length")).filter("length > 1")
+    there = nations.select(F.concat(F.lit("file:///lib/n"), "s_nationkey", F.lit("/tex/k"), "s_nationkey", F.lit(".png")).alias("full"), "length")
+    found, missing = assets.found_and_missing(assets.references(_layers_with_assets(spark, sf_dir)), there)
+    told = assets.report_missing(missing).select("path", F.array_join("missing", "|").alias("missing"))
+    return told.join(found.groupBy("path").agg(F.count(F.lit(1)).alias("found")), "path", "left").select("path", F.coalesce("found", F.lit(0).cast("long")).alias("found"), "missing")
+
+
+def _written_parts(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of containers of parts, each with its name as the root layer and two more files."""
+    part = _table(spark, sf_dir, "part")
+    entry = lambda place, name, data: F.struct(F.lit(place).alias("place"), name.alias("name"), F.encode(data, "UTF-8").alias("data"))
+    each = F.explode(F.array(entry(0, F.lit("root.usda"), F.col("p_name")), entry(1, F.concat("p_brand", F.lit(".png")), F.repeat("p_type", 50)), entry(2, F.lit("empty"), F.lit(""))))
+    # parts whose keys agree in their last two digits share a container
+    rows = part.select(F.concat(F.lit("b"), F.col("p_partkey") % 100).alias("package"), "p_partkey", each.alias("f"))
+    files = rows.select("package", (F.col("p_partkey") * 3 + F.col("f.place")).cast("int").alias("place"), F.concat("p_partkey", F.lit("/"), "f.name").alias("name"), "f.data")
+    folder = scratch(spark)
+    container_files.write_containers(files, folder)
+    return folder
+
+
+@_query("with f as (select 'b' || p_partkey % 100 path, p_partkey k, p_name, p_brand, repeat(p_type, 50) t from part) select path, k || '/root.usda' \"name\", strlen(p_name) size, true stored, true aligned, true crc_ok from f union all select path, k || '/' || p_brand || '.png', strlen(t), true, true, true from f union all select path, k || '/empty', 0, true, true, true from f")
+def written_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = container_files.container_ranges(spark, _written_parts(spark, sf_dir), 1000)
+    return found.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("path"), "name", "size", (F.col("method") == 0).alias("stored"), (F.pmod("data_off", F.lit(64)) == 0).alias("aligned"), "crc_ok")
+
+
+@_query(ORACLES["layer_samples"].replace("frame, v x from", "frame, 0.0::double x, v y from"))
+def sourced_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stage_source.register(spark)
+    folder = scratch(spark)
+    sinks.write_layers(_layers(spark, sf_dir), folder)
+    found = spark.read.format("scene_samples").load(folder).filter("attr = 'xformOp:translate'")
+    return found.select(F.regexp_extract("path", "path=([^/]*)", 1).alias("path"), "prim", "frame", F.col("value")[0].alias("x"), F.col("value")[1].alias("y"))
+
+
+@_query(ORACLES["layer_lines"])
+def split_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark)
+    sinks.write_layers(_layers(spark, sf_dir), folder)
+    found = structure.file_lines(spark, f"{folder}/*/*.txt", chunk=7)
+    named = F.regexp_extract("path", "path=([^/]*)", 1).alias("path")
+    # the writer's last line break opens no line of its own here
+    return found.groupBy(named).agg((F.count(F.lit(1)) + 1).cast("int").alias("lines"), F.max("depth").alias("deepest"), F.sum("depth").alias("depths"))

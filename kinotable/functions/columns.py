@@ -99,6 +99,19 @@ def joined_path(folder: Column, path: Column) -> Column:
     return F.concat(F.regexp_extract(folder, scheme, 1), F.regexp_extract(folder, scheme, 2), F.array_join(kept, "/"))
 
 
+def unescaped(uri: Column) -> Column:
+    """uri without percent escapes, and with three slashes where a local one has one."""
+    return F.regexp_replace(F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B"))), "^file:/(?!/)", "file:///")
+
+
+def escaped(uri: Column) -> Column:
+    """uri with percent escapes for all but letters, digits, and what parts it."""
+    out = F.url_encode(uri)
+    for code, plain in (("+", "%20"), ("%2F", "/"), ("%3A", ":"), ("%40", "@")):
+        out = F.replace(out, F.lit(code), F.lit(plain))
+    return out
+
+
 def extension(path: Column) -> Column:
     """Lower-case extension with its dot, or an empty string."""
     return F.lower(F.regexp_extract(path, r"[^/.](\.[^./\\]+)$", 1))

@@ -170,3 +170,17 @@ def test_assets_are_found_packed_or_told_as_missing(spark, tmp_path):
     assert held.namelist()[0] == "scene.usda" and held.read("scene.usda").decode() == refs
     assert zipfile.ZipFile(tmp_path / "out" / "second.usdz").namelist() == ["second.usda", "../shared/two.png"]
     assert zipfile.ZipFile(tmp_path / "out" / "bare.usdz").namelist() == ["bare.usda"]
+
+
+def test_odd_names_of_files(spark, tmp_path):
+    odd = tmp_path / "a b+é%20"
+    odd.mkdir()
+    (odd / "l x.usda").write_text("@k é%41.png@ @no such.png@")
+    (odd / "k é%41.png").write_bytes(b"1")
+    made = layers.read_layers(spark, f"{tmp_path}/*/*.usda")
+    missing = assets.export(made, assets.listing(spark, str(tmp_path)), str(tmp_path / "out"))
+    assert [r.asset for r in missing.collect()] == ["no such.png"]
+    held = zipfile.ZipFile(tmp_path / "out" / "l x.usdz")
+    assert held.namelist() == ["l x.usda", "k é%41.png"] and held.read("k é%41.png") == b"1"
+    stage_source.register(spark)
+    assert spark.read.format("scene_samples").load(str(odd)).count() == 0

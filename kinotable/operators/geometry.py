@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinotable.functions.columns import add, affine, midpoint, norm, scaled, subtract
+from kinotable.operators.curves import evaluated_points, evaluated_rotations
+from kinotable.operators.hierarchy import composed
 from kinotable.operators.timeline import evaluated
 
 
@@ -78,6 +80,37 @@ def boxes_at(boxes: DataFrame, moves: DataFrame, frames: DataFrame, keys: list[s
     return placed.select(*keys, "frame", by("lo").alias("lo"), by("hi").alias("hi"))
 
 
+def _corners(lo: Column, hi: Column) -> Column:
+    return F.array(*[F.array(*[(hi if i >> k & 1 else lo)[k] for k in range(3)]) for i in range(8)])
+
+
+def posed_boxes(boxes: DataFrame, frames: DataFrame, keys: list[str], location: DataFrame | None = None, rotation: DataFrame | None = None, scale: DataFrame | None = None) -> DataFrame:
+    """(keys, frame, lo, hi): the box around each box (keys, lo, hi) at each frame (keys, frame), as its channels pose it.
+
+    Channels are samples (keys, frame, value): points, quaternions, factors of
+    each axis.  They are sampled apart, composed to one matrix, and all eight
+    corners are moved by it.  A key without samples of a channel is not moved,
+    turned or scaled; a box that is null stays null.
+    """
+    posed = frames.select(*keys, "frame").withColumn("frame", F.col("frame").cast("double")).join(boxes.select(*keys, "lo", "hi"), keys)
+    for name, samples, at in (("location", location, evaluated_points), ("rotation", rotation, evaluated_rotations), ("scale", scale, evaluated_points)):
+        rest = F.array(*map(F.lit, {"location": (0.0, 0.0, 0.0), "rotation": (1.0, 0.0, 0.0, 0.0), "scale": (1.0, 1.0, 1.0)}[name]))
+        if samples is None:
+            posed = posed.withColumn(name, rest)
+            continue
+        found = at(samples, frames, keys).withColumnRenamed("value", name)
+        posed = posed.join(found.dropDuplicates([*keys, "frame"]), [*keys, "frame"], "left").withColumn(name, F.coalesce(name, rest))
+    placed = posed.withColumn("matrix", composed(F.col("location"), F.col("rotation"), F.col("scale"))).withColumn("points", F.transform(_corners(F.col("lo"), F.col("hi")), lambda p: affine(F.col("matrix"), p)))
+    end = lambda pick: F.when(F.col("lo").isNotNull() & F.col("hi").isNotNull(), F.array(*[pick(F.transform("points", lambda p: p[k])) for k in range(3)]))
+    return placed.select(*keys, "frame", end(F.array_min).alias("lo"), end(F.array_max).alias("hi"))
+
+
+def worst_frames(boxes: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, frame, away): when the centre of the box (keys, frame, lo, hi) is farthest from the origin, the first of equals; null boxes don't count."""
+    far = boxes.filter("lo is not null").select(*keys, "frame", norm(midpoint(F.col("lo"), F.col("hi"))).alias("away"))
+    return far.groupBy(*keys).agg(F.max_by(F.struct("frame", "away"), F.struct("away", -F.col("frame"))).alias("w")).select(*keys, "w.frame", "w.away")
+
+
 def recentre_delta(scene_lo: Column, scene_hi: Column, subject_lo: Column, subject_hi: Column, mode: str = "scene") -> Column:
     """The move that puts the centre of the scene's box, or of the subject's, at the origin."""
     if mode not in ("scene", "subject"):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinotable.functions.columns import generals, magnitude
+from kinotable.functions.columns import general, generals, magnitude
 from kinotable.operators.timeline import changes, evaluated, switched
 from kinotable.plans.rounds import kept
 from kinotable.sources.layers import block_raw_samples, block_samples, blocks, last_of_each_frame, stage_meta
@@ -41,27 +41,37 @@ def _placed(found: DataFrame) -> DataFrame:
     return found.filter("closed").groupBy(*_KEYS, "indent", "decl", "attr").agg(*ends)
 
 
-def _scales(found: DataFrame) -> DataFrame:
+def _size(value: Column, component: str) -> Column:
+    """What of a scale decides whether it is on: its greatest absolute component, or the first one as it is."""
+    if component not in ("maxabs", "x"):
+        raise ValueError(f"no such component: {component}")
+    return magnitude(value) if component == "maxabs" else value[0]
+
+
+def _scales(found: DataFrame, component: str = "maxabs") -> DataFrame:
     """(path, prim, from_ln, frame, ln, pos, value, mag) of scale samples, one for each frame."""
     each = block_samples(found.filter(F.col("attr") == _SCALE).withColumnRenamed("from_ln", "start")).withColumnRenamed("start", "from_ln")
-    return last_of_each_frame(each.drop("attr"), _KEYS, ["ln", "pos"]).withColumn("mag", magnitude(F.col("value")))
+    return last_of_each_frame(each.drop("attr"), _KEYS, ["ln", "pos"]).withColumn("mag", _size(F.col("value"), component))
 
 
-def _seen(scaled: DataFrame, layers: DataFrame, share: float = 0.5) -> DataFrame:
+def _seen(scaled: DataFrame, layers: DataFrame, share: float = 0.5, level: float | None = None) -> DataFrame:
+    limit = F.col("most") * share if level is None else F.lit(level)
     stage = stage_meta(layers).select("path", F.col("t0").cast("int").alias("a"), F.col("t1").cast("int").alias("b"))
     most = scaled.groupBy(*_KEYS).agg(F.max("mag").alias("most"))
     asked = most.join(stage, "path").select(*_KEYS, F.explode(F.sequence("a", F.greatest("a", "b")).cast("array<double>")).alias("frame"))
-    seen = evaluated(scaled, asked, _KEYS, "frame", "mag").join(most, _KEYS).withColumn("token", F.when(F.col("mag") > F.col("most") * share, "inherited").otherwise("invisible"))
+    seen = evaluated(scaled, asked, _KEYS, "frame", "mag").join(most, _KEYS).withColumn("token", F.when(F.col("mag") > limit, "inherited").otherwise("invisible"))
     return changes(seen, _KEYS, ["frame"], F.col("token")).select(*_KEYS, F.col("frame").cast("int").alias("frame"), "token")
 
 
-def visibility(layers: DataFrame, share: float = 0.5) -> DataFrame:
+def visibility(layers: DataFrame, share: float = 0.5, component: str = "maxabs", level: float | None = None) -> DataFrame:
     """(path, prim, from_ln, frame, token): when each scaled prim is seen, as runs over the whole frames of the stage.
 
     A prim is seen where its interpolated scale is above the share of its
-    greatest.  Where a frame has two samples, the last in the file counts.
+    greatest, or above ``level`` if that is given.  ``component`` is "maxabs",
+    the greatest absolute component of a scale, or "x", the first one.  Where
+    a frame has two samples, the last in the file counts.
     """
-    return _seen(_scales(_blocks(layers, rf"\Q{_SCALE}\E")), layers, share)
+    return _seen(_scales(_blocks(layers, rf"\Q{_SCALE}\E"), component), layers, share, level)
 
 
 def raw_visibility(samples: DataFrame, keys: list[str], frame: str, magnitude: Column, start: Column | None = None, share: float = 0.5) -> DataFrame:
@@ -77,9 +87,12 @@ def raw_visibility(samples: DataFrame, keys: list[str], frame: str, magnitude: C
     return changes(rows.unionByName(early), keys, ["frame"], F.col("token")).select(*keys, "frame", "token")
 
 
-def freeze_patches(layers: DataFrame, others: str = OTHERS) -> DataFrame:
+def freeze_patches(layers: DataFrame, others: str = OTHERS, sampled: bool = False) -> DataFrame:
     """Patches that freeze scale samples to a static scale with visibility, and other samples to one value.
 
+    With ``sampled`` a prim's visibility changes at its samples only, as
+    ``raw_visibility`` tells; otherwise at whole frames, between samples as well.
+
     The scale is that of the first sample, in file order, above half of the
     greatest; a scale that is zero throughout stays as it is.  Other samples
     keep the value at the first frame in which the prim is seen, if there is a
@@ -90,10 +103,16 @@ def freeze_patches(layers: DataFrame, others: str = OTHERS) -> DataFrame:
     place, scaled = _placed(found), _scales(found)
     top = F.max("mag").over(Window.partitionBy(*_KEYS))
     full = scaled.withColumn("most", top).filter("mag > most * 0.5").groupBy(*_KEYS).agg(F.min_by("value", F.struct("ln", "pos")).alias("full"))
-    told = _seen(scaled, layers).groupBy(*_KEYS).agg(F.array_sort(F.collect_list(F.struct("frame", "token"))).alias("vis"))
+    if sampled:
+        staged = scaled.join(stage_meta(layers).select("path", "t0"), "path")
+        seen = raw_visibility(staged, _KEYS, "frame", F.col("mag"), F.col("t0"))
+    else:
+        seen = _seen(scaled, layers)
+    seen = seen.withColumn("at", general(F.col("frame")) if sampled else F.col("frame").cast("string"))
+    told = seen.groupBy(*_KEYS).agg(F.array_sort(F.collect_list(F.struct("frame", "token", "at"))).alias("vis"))
     told = kept(told.withColumn("first_on", F.array_min(F.transform(F.filter("vis", lambda v: v["token"] == "inherited"), lambda v: v["frame"]))))
     static = F.concat("indent", "decl", F.lit(" = ("), F.array_join(generals(F.col("full")), ", "), F.lit(")"))
-    shown = F.concat_ws("\n", F.transform("vis", lambda v: F.concat("indent", F.lit("    "), v["frame"].cast("string"), F.lit(': "'), v["token"], F.lit('",'))))
+    shown = F.concat_ws("\n", F.transform("vis", lambda v: F.concat("indent", F.lit("    "), v["at"], F.lit(': "'), v["token"], F.lit('",'))))
     text = F.concat_ws("\n", static, F.concat("indent", F.lit("token visibility.timeSamples = {")), shown, F.concat("indent", F.lit("}")))
     scales = place.filter(F.col("attr") == _SCALE).join(full, _KEYS).join(told, _KEYS).select("path", "start", "stop", text.alias("repl"))
     first = told.groupBy("path", "prim").agg(F.min("first_on").cast("double").alias("first_on"))
@@ -104,6 +123,17 @@ def freeze_patches(layers: DataFrame, others: str = OTHERS) -> DataFrame:
     return scales.unionByName(still)
 
 
+def injected(layers: DataFrame) -> DataFrame:
+    """(path, text) with scale samples as a static scale and visibility at the samples; other samples stay."""
+    return apply_patches(layers, freeze_patches(layers, "(?!)", sampled=True))
+
+
+def overlaps(patches: DataFrame) -> DataFrame:
+    """(path, start, stop, before): patches (path, start, stop) that begin before an earlier one has ended, at ``before``."""
+    earlier = Window.partitionBy("path").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
+    return patches.select("path", "start", "stop", F.max("stop").over(earlier).alias("before")).filter("start < before")
+
+
 def frozen(layers: DataFrame) -> DataFrame:
     """(path, text) with all time samples of transforms frozen."""
     return apply_patches(layers, freeze_patches(layers))

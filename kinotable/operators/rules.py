@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kinotable.functions.columns import ratio
 from kinotable.operators.selection import moving
 from kinotable.operators.timeline import evaluated, on_windows, slow_transitions
-from kinotable.sources.layers import attribute_counts, lines, prims, samples, stage_meta
+from kinotable.sources.layers import attribute_counts, block_samples, blocks, last_of_each_frame, lines, prims, raw_samples, samples, stage_meta
 
 #: Kinds of objects that must not be in an exported scene (fixed values).
 LEAKED_KINDS = ("Camera", "DistantLight", "SphereLight", "RectLight", "DiskLight", "CylinderLight", "DomeLight")
@@ -108,13 +108,38 @@ def _rows(df: DataFrame, checks: list[tuple[str, Column, Column]]) -> DataFrame:
     return df.select("path", F.explode(held).alias("c")).select("path", "c.*")
 
 
-def layer_checks(layers: DataFrame, component: str = "maxabs", digits: int | None = 6) -> DataFrame:
+def layer_coverage(layers: DataFrame, component: str = "x", level: float = 0.5, expected: int = 1, scene: Column | None = None) -> DataFrame:
+    """(path, frame, n): whole frames of a stage at which not ``expected`` prims have an interpolated scale above the level.
+
+    Layers for which ``scene``, a column of layers, agrees are one stage, named by it.
+    """
+    named = layers.withColumn("__scene", F.col("path") if scene is None else scene)
+    scaled = last_of_each_frame(block_samples(blocks(lines(layers), r"\QxformOp:scale\E")), ["path", "prim", "start"], ["ln", "pos"])
+    scaled = scaled.withColumn("size", F.col("value")[0] if component == "x" else F.array_max(F.transform("value", lambda x: F.abs(x))))
+    stage = stage_meta(layers).join(named.select("path", "__scene"), "path")
+    ends = stage.groupBy("__scene").agg(F.min(F.col("t0").cast("int")).alias("a"), F.max(F.col("t1").cast("int")).alias("b"))
+    spine = ends.filter("b >= a").select("__scene", F.explode(F.sequence("a", "b").cast("array<double>")).alias("frame"))
+    keys = ["__scene", "path", "prim", "start"]
+    mine = scaled.join(named.select("path", "__scene"), "path")
+    at = evaluated(mine, mine.select(*keys).distinct().join(spine, "__scene"), keys, "frame", "size")
+    on = at.filter(F.col("size") > level).groupBy("__scene", "frame").agg(F.count(F.lit(1)).alias("n"))
+    # stages without any scale samples are not judged
+    told = spine.join(mine.select("__scene").distinct(), "__scene", "left_semi").join(on, ["__scene", "frame"], "left")
+    return told.select(F.col("__scene").alias("path"), F.col("frame").cast("int").alias("frame"), F.coalesce("n", F.lit(0).cast("long")).alias("n")).filter(F.col("n") != expected)
+
+
+def layer_checks(layers: DataFrame, component: str = "maxabs", digits: int | str | None = 6) -> DataFrame:
     """Check rows (path, check, ok, detail) of layers: no moving translate, no matrix samples, no zero scale, no cameras or lights, slow time codes.
 
-    component: "x" looks at the first component of a scale, "maxabs" at all; digits: None compares exactly.
+    component: "x" looks at the first component of a scale, "maxabs" at all; digits: None compares
+    values exactly, "raw" what is written of them.
     """
     numbered = lines(layers)
-    moved = moving(samples(numbered, "xformOp:translate"), ["path", "prim"], F.col("value"), digits).groupBy("path").agg(F.count(F.lit(1)).alias("moving"))
+    if digits == "raw":
+        values, value, digits = raw_samples(numbered, r"\QxformOp:translate\E"), F.col("raw"), None
+    else:
+        values, value = samples(numbered, "xformOp:translate"), F.col("value")
+    moved = moving(values, ["path", "prim"], value, digits).groupBy("path").agg(F.count(F.lit(1)).alias("moving"))
     size = F.abs(F.col("value")[0]) if component == "x" else F.array_max(F.transform("value", lambda x: F.abs(x)))
     zero = samples(numbered, "xformOp:scale").filter(size < 1e-9).groupBy("path").agg(F.count(F.lit(1)).alias("zero"))
     leaked = prims(numbered).filter(F.col("kind").isin(*LEAKED_KINDS)).groupBy("path").agg(F.count(F.lit(1)).alias("leaked"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinotable.operators import hierarchy
-from kinotable.plans.rounds import scratch
+from kinotable.plans.rounds import kept, scratch
 from kinotable.queries import ORACLES, _query, _rounded, _table
 from kinotable.scene_queries import _layers
 from kinotable.sources import assets, container_files, sinks, stage_source, structure
@@ -89,13 +89,11 @@ def nested_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"{_NEST} select 'c' || c path, cast(3 + 9 * count(*) + 2 as bigint) \"lines\", cast(3 + max(lvl) as bigint) deepest, cast(sum(case when lvl = 4 or i = n - 1 then 1 else 0 end) as bigint) leaves from (select *, count(*) over (partition by c) n from s) group by c")
 def nested_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = structure.text_lines(nested_layers(spark, sf_dir), chunk=50)
-    found = structure.structured(lines, levels=7, chunk=50)
-    inner = F.when(F.contains("line", F.lit("timeSamples")), F.struct("path", "prims"))
-    depth = found.withColumn("leaf", inner.isNotNull()).groupBy("path").agg(F.count(F.lit(1)).alias("lines"), F.max(F.greatest("before", "depth")).alias("deepest"))
-    names = found.filter("line like '%timeSamples%'").select("path", "prims").distinct()
+    depth = lines.groupBy("path").agg(F.count(F.lit(1)).alias("lines"), F.max(F.greatest("before", "depth")).alias("deepest"))
+    names = kept(structure.structured(lines, levels=7, chunk=50).filter("line like '%timeSamples%'").select("path", "prims"))
     parents = names.select("path", F.slice("prims", F.lit(1), F.size("prims") - 1).alias("prims")).distinct()
     leaves = names.join(parents, ["path", "prims"], "left_anti").groupBy("path").agg(F.count(F.lit(1)).alias("leaves"))
-    return depth.join(leaves, "path").select("path", F.col("lines"), F.col("deepest"), F.col("leaves"))
+    return depth.join(leaves, "path")
 
 
 #: Customers as layers in folders of their nations, that refer to files by the forms that paths take.

@@ -2,8 +2,8 @@
 
 Labels say which documents are toxic; words get theirs from these: among the
 words and word beginnings that are significantly commoner in toxic documents,
-a greedy cover picks those that explain the toxic documents, and the words of
-toxic documents that carry one are the toxic tokens.  A two-state chain model
+greedy covers, one after the other, pick those that explain the toxic
+documents, and the words of toxic documents that carry one are the toxic tokens.  A two-state chain model
 (transitions, a bias, one weight for each significant word or beginning) is
 fitted to all words of the labelled documents.  Scoring finds the words that carry a feature with an
 Aho-Corasick automaton, runs forward and backward over them (the featureless
@@ -140,6 +140,17 @@ def _cover(held: list[set[int]], by_chance: np.ndarray, strength: np.ndarray) ->
     return chosen
 
 
+def _covers(held: list[set[int]], by_chance: np.ndarray, strength: np.ndarray) -> set[int]:
+    """Features of one cover after the other, each without those of the covers before it, until none explains anything.
+
+    A single cover would leave out a toxic word whose documents others explain, and so teach that it is clean.
+    """
+    chosen: set[int] = set()
+    while more := _cover([fs - chosen for fs in held], by_chance, strength):
+        chosen |= more
+    return chosen
+
+
 def _calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and intercept of a ridge logistic regression, by Newton steps."""
     z, beta = np.column_stack([x, np.ones(len(x))]), np.zeros(2)
@@ -299,7 +310,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_docs: i
     dropped(rows)
     got.sort(key=lambda r: (r.y, r.n, r.at, r.held))
     strength = np.array([_tail(r.df1, r.df0, share) for r in kept])
-    cover = _cover([{f for fs in r.held for f in fs} for r in got if r.y], np.array([r.df0 * share / (1 - share) for r in kept]), strength)
+    cover = _covers([{f for fs in r.held for f in fs} for r in got if r.y], np.array([r.df0 * share / (1 - share) for r in kept]), strength)
     toxic = [[bool(r.y) and not cover.isdisjoint(fs) for fs in r.held] for r in got]
     w, bias, turns = _Chains([(r.n, r.at, r.held, ys) for r, ys in zip(got, toxic)], len(kept)).fitted()
     model = Model({r.f: float(w[i]) for i, r in enumerate(kept)}, bias, tuple(map(tuple, turns.tolist())), True)

@@ -9,6 +9,7 @@ from kinotable.functions.columns import add, affine, midpoint, norm, scaled, sub
 from kinotable.operators.curves import evaluated_points, evaluated_rotations
 from kinotable.operators.hierarchy import composed
 from kinotable.operators.timeline import evaluated
+from kinotable.plans.rounds import kept
 
 
 def _by_axis(points: DataFrame, keys: list[str], point: Column) -> DataFrame:
@@ -49,21 +50,39 @@ def united(boxes: DataFrame, keys: list[str]) -> DataFrame:
     return _gathered(rows, keys, "lo", "hi")
 
 
-def diameters(points: DataFrame, keys: list[str], point: Column) -> DataFrame:
-    """(keys, diameter): the greatest distance between two distinct points.
+#: Parts into which each of the first three axes is cut, so cells that a key has at most.
+CELLS = 8
 
-    Exact without comparing all pairs: with distances r to the centroid, and a
-    pair at distance D known (the point farthest from the centroid and the one
-    farthest from that), only points with r >= D - max r can be in a wider pair.
+
+def diameters(points: DataFrame, keys: list[str], point: Column, cells: int = CELLS) -> DataFrame:
+    """(keys, diameter): the greatest distance between two distinct points; exact.
+
+    With distances r to the centroid, and a pair at distance D known (the point
+    farthest from the centroid and the one farthest from that), only points
+    with r >= D - max r can be in a wider pair.  These are cut into cells, and
+    points are compared only where the boxes of two cells allow a wider pair;
+    each pair of cells is work of its own.  In many dimensions boxes allow
+    most pairs; in space few are left.
     """
     unique = points.select(*keys, F.transform(point, lambda x: x.cast("double")).alias("__p")).distinct()
-    ranged = unique.join(centroids(unique, keys, F.col("__p")), keys).withColumn("__r", norm(subtract(F.col("__p"), F.col("centroid"))))
+    ranged = kept(unique.join(centroids(unique, keys, F.col("__p")), keys).withColumn("__r", norm(subtract(F.col("__p"), F.col("centroid")))))
     most = ranged.groupBy(*keys).agg(F.max_by("__p", F.struct("__r", "__p")).alias("__far"), F.max("__r").alias("__most"))
-    known = ranged.join(most, keys).groupBy(*keys).agg(F.max(norm(subtract(F.col("__p"), F.col("__far")))).alias("__wide"), F.first("__most").alias("__most"))
-    left = ranged.join(known, keys).filter(F.col("__r") + F.col("__most") >= F.col("__wide") - 1e-9).select(*keys, "__p", "__r", "__wide")
-    a, b = left.withColumnRenamed("__r", "__s"), left.select(*keys, F.col("__p").alias("__q"), F.col("__r").alias("__t"))
-    wider = a.join(b, keys).filter((F.col("__s") + F.col("__t") >= F.col("__wide") - 1e-9) & (F.col("__p") < F.col("__q")))
-    found = wider.groupBy(*keys).agg(F.max(norm(subtract(F.col("__p"), F.col("__q")))).alias("diameter"))
+    away = norm(subtract(F.col("__p"), F.col("__far")))
+    known = kept(ranged.join(most, keys).groupBy(*keys).agg(F.max(away).alias("__wide"), F.first("__most").alias("__most")))
+    width = F.greatest("__most", F.lit(1e-300)) * 2 / cells
+    part = lambda i: F.greatest(F.lit(0), F.least(F.lit(cells - 1), F.floor((F.col("__p")[i] - F.col("centroid")[i] + F.col("__most")) / width))).cast("int")
+    some = F.transform(F.sequence(F.lit(0), F.least(F.size("__p"), F.lit(3)) - 1), lambda i: part(i))
+    cell = F.aggregate(F.when(F.size("__p") > 0, some).otherwise(F.array().cast("array<int>")), F.lit(0), lambda s, x: s * cells + x)
+    left = kept(ranged.join(known, keys).filter(F.col("__r") + F.col("__most") >= F.col("__wide") - 1e-9).select(*keys, "__p", cell.alias("__cell")))
+    axes = left.select(*keys, "__cell", F.posexplode("__p").alias("axis", "x")).groupBy(*keys, "__cell", "axis").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    boxes = _gathered(axes, [*keys, "__cell"], "lo", "hi")
+    one, other = (boxes.select(*keys, *[F.col(c).alias(f"{c}{n}") for c in ("__cell", "lo", "hi")]) for n in (1, 2))
+    apart = lambda lo, hi: F.zip_with(lo, hi, lambda x, y: F.abs(y - x))
+    reach = norm(F.zip_with(apart("lo1", "hi2"), apart("lo2", "hi1"), lambda x, y: F.greatest(x, y)))
+    pairs = one.join(other, keys).filter("__cell1 <= __cell2").join(known, keys).filter(reach >= F.col("__wide") - 1e-9).select(*keys, "__cell1", "__cell2")
+    met = pairs.join(left.select(*keys, F.col("__cell").alias("__cell1"), F.col("__p").alias("__a")), [*keys, "__cell1"]).join(left.select(*keys, F.col("__cell").alias("__cell2"), F.col("__p").alias("__b")), [*keys, "__cell2"])
+    found = met.groupBy(*keys).agg(F.max(norm(subtract(F.col("__a"), F.col("__b")))).alias("diameter"))
+    # a key with one point has no pair of distinct ones; its distance is 0
     return known.select(*keys, "__wide").join(found, keys, "left").select(*keys, F.greatest("__wide", F.coalesce("diameter", F.lit(0.0))).alias("diameter"))
 
 

@@ -93,3 +93,15 @@ def test_only_flips_are_told_over_a_restart(spark, tmp_path):
     assert delivered(1, a=good, b=bad) == [("a.usda", 0, None, True), ("b.usda", 0, None, False)]
     assert len(delivered(2, a=good, b=good)) == 3
     assert delivered(3, a=bad, b=good) == [("a.usda", 0, None, True), ("a.usda", 2, True, False), ("b.usda", 0, None, False), ("b.usda", 1, False, True)]
+
+
+@pytest.mark.parametrize("axes", [1, 2, 3, 6])
+def test_diameters_are_those_of_all_pairs(spark, axes):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(axes)
+    sets = {"round": rng.normal(size=(150, axes)), "far": rng.normal(size=(80, axes)) + 1e6, "one": rng.normal(size=(1, axes)), "same": np.ones((5, axes)), "line": np.outer(np.arange(40.0), np.ones(axes))}
+    table = spark.createDataFrame([(k, p.tolist()) for k, ps in sets.items() for p in ps], "k string, p array<double>")
+    got = {r.k: r.diameter for r in geometry.diameters(table, ["k"], F.col("p")).collect()}
+    want = {k: float(np.sqrt(((ps[:, None] - ps[None]) ** 2).sum(2)).max()) for k, ps in sets.items()}
+    assert got == pytest.approx(want, rel=1e-9, abs=1e-9)

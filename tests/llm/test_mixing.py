@@ -94,3 +94,31 @@ def test_many_sources(spark):
     got = mixing.mixed_order(rows(spark, {f"s{i}": 1 + i % 3 for i in range(1200)}), block_docs=2).collect()
     assert len({r.doc_id for r in got}) == len(got) == 2400
     assert len({(r.slot, r.source) for r in got}) == len({r.slot for r in got}) == 1600
+
+
+def test_a_schedule_goes_on_from_any_of_its_states():
+    for blocks, weights, period in (([40, 7, 0, 90, 1], [3.0, 1.0, 2.0, 0.5, 1e-3], None), ([30, 30, 9], [5.0, 2.0, 1.0], 16), ([5] * 60, [1 + i / 7 for i in range(60)], None)):
+        out, starts = mixing.schedule(blocks, weights, period)
+        assert Counter(out) == Counter({s: n for s, n in enumerate(blocks) if n})
+        for window, most in ((1, 1 << 20), (7, 1 << 20), (1, 16 * len(blocks) * 5), (1000, 1)):
+            states = mixing.checkpoints(blocks, weights, period, window, most)
+            assert len(states) <= max(2, most // (16 * len(blocks))) or most == 1 << 20
+            got, begun = [], []
+            for slot, slots, phase, t, left, had in states:
+                assert slot == len(got)
+                own = mixing.Schedule(memoryview(left).cast("q").tolist(), weights, period, memoryview(had).cast("q").tolist(), t, phase, slot)
+                more, phases = own.run(slots)
+                got += more
+                begun += [s for s, _ in phases]
+            assert got == list(out) and begun == starts
+
+
+def test_windows_give_the_slots_of_the_schedule(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 4)
+    states = mixing.checkpoints
+    monkeypatch.setattr(mixing, "checkpoints", lambda *x: states(*x, window=5))
+    counts, weights = {"a": 90, "b": 31, None: 7, "c": 1}, {"a": 5.0, "b": 2.0, "c": 1.0, None: 0.25}
+    names = ["a", "b", "c", None]
+    out, starts = mixing.schedule([-(-counts[n] // 2) for n in names], [weights[n] for n in names])
+    got = {(r.slot, r.source, r.phase) for r in mixing.mixed_order(rows(spark, counts), weights, block_docs=2).collect()}
+    assert got == {(t, names[s], sum(x <= t for x in starts) - 1) for t, s in enumerate(out)}

@@ -27,8 +27,8 @@ from kinotable.llm.hashing import CHUNK_BYTES, running_sum, span_hashes
 WIDTH = 12
 #: Hashes in a sketch; the standard error of a resemblance is about 0.5 / sqrt(K).
 K = 128
-#: Documents in one range of ids that a task streams through, about.
-RANGE_ROWS = 4096
+#: Documents in one range of ids that a task streams through, about; ranges at most, beyond which they become larger.
+RANGE_ROWS, MOST_RANGES = 4096, 1 << 14
 
 _LEAST = -(1 << 63)
 
@@ -198,11 +198,12 @@ def edit_likeness(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     last, equal ids by text); after the last comes the first.  Whole ids are
     dealt out by range and streamed in order, and the first document of each
     range is sent to the range above as well, so one shuffle carries each text
-    once and no task holds more than a batch.
+    once and no task holds more than a batch.  The driver sees the bounds of
+    the ranges, at most MOST_RANGES numbers however large the table is.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
     n, top = docs.agg(F.count(F.lit(1)), F.max("doc_id")).first()
-    parts = -(-n // range_rows)
+    parts = min(-(-n // range_rows), MOST_RANGES)
     bounds = _bounds(docs, parts, top)
     bucket, last = _bucket(bounds), F.col("doc_id").eqNullSafe(F.lit(top))
     copied = last | (_bucket(bounds) != _bucket(bounds, "right"))

@@ -82,3 +82,10 @@ def test_merged_fingerprints_are_those_of_the_union(spark):
     assert out["k"] == fp.encoded(fp.merge(fp.sketch(b"abcdefghijklmnop" * 20), fp.sketch(b"0123456789" * 30)))
     assert out["e"] == ""
     assert fp.fingerprints(df.withColumn("fingerprint", F.lit(1))).columns.count("fingerprint") == 1
+
+
+def test_ranges_grow_where_their_number_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(fp, "MOST_RANGES", 3)
+    docs = [(i, f"text {i} " * (i % 5)) for i in range(200)]
+    assert got(spark, docs, 7) == brute(docs)
+    assert len(fp._bounds(spark.createDataFrame([(d, t, None, "x") for d, t in docs], SCHEMA), 3, 199)) == 2

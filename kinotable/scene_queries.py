@@ -235,10 +235,10 @@ def recentred(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("label", (_rounded(F.col("c")[0]) + 0.0).alias("x"), _rounded(away).alias("away"), rules.pivot_verdict(away, F.col("half")).alias("verdict"), rules.pivot_within(away, F.col("half")).alias("within"))
 
 
-@_query(f"with u as (select user_id label, cast(dayofyear(ts) as double) + cast(hour(ts) as double) / 24 f, max(value) v from events where user_id < 10 group by 1, 2), seg as (select label, f a, v va, lead(f) over (partition by label order by f) b, lead(v) over (partition by label order by f) vb from u), e as (select label, min(a) k0, max(a) k1, min_by(va, a) v0, max_by(va, a) v1 from seg group by label), g as (select unnest([1.0, 8.0, 15.0, 22.0, 30.0])::double f), s as (select label, f, case when f <= k0 then v0 when f >= k1 then v1 else va + (vb - va) * (f - a) / (b - a) end val from (select e.label, k0, k1, v0, v1, g.f, a, va, b, vb from e cross join g left join seg on seg.label = e.label and seg.a <= g.f and g.f < seg.b and g.f > e.k0 and g.f < e.k1)), b as (select label, min(x) lx, max(x) hx, min(y) ly from ({_POINT}) group by label) select label, g.f frame, round(lx + coalesce(val, 0), 6) lo0, round(hx + coalesce(val, 0), 6) hi0, round(ly, 6) lo1 from b cross join g left join s using (label, f)")
+@_query(f"with u as (select user_id % 10 label, cast(dayofyear(ts) as double) + cast(hour(ts) as double) / 24 f, max(value) v from events group by 1, 2), seg as (select label, f a, v va, lead(f) over (partition by label order by f) b, lead(v) over (partition by label order by f) vb from u), e as (select label, min(a) k0, max(a) k1, min_by(va, a) v0, max_by(va, a) v1 from seg group by label), g as (select unnest([1.0, 8.0, 15.0, 22.0, 30.0])::double f), s as (select label, f, case when f <= k0 then v0 when f >= k1 then v1 else va + (vb - va) * (f - a) / (b - a) end val from (select e.label, k0, k1, v0, v1, g.f, a, va, b, vb from e cross join g left join seg on seg.label = e.label and seg.a <= g.f and g.f < seg.b and g.f > e.k0 and g.f < e.k1)), b as (select label, min(x) lx, max(x) hx, min(y) ly from ({_POINT}) group by label) select label, g.f frame, round(lx + coalesce(val, 0), 6) lo0, round(hx + coalesce(val, 0), 6) hi0, round(ly, 6) lo1 from b cross join g left join s using (label, f)")
 def boxes_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     boxes = geometry.bounds(_points(spark, sf_dir), ["label"], F.col("p"))
-    moves = _samples(spark, sf_dir).filter("user_id < 10").select(F.col("user_id").cast("int").alias("label"), F.lit(0).alias("axis"), F.col("f").alias("frame"), F.col("v").alias("value"))
+    moves = _samples(spark, sf_dir).groupBy((F.col("user_id") % 10).cast("int").alias("label"), F.col("f").alias("frame")).agg(F.max("v").alias("value")).withColumn("axis", F.lit(0))
     frames = boxes.select("label", F.explode(F.array(*[F.lit(float(x)) for x in (1, 8, 15, 22, 30)])).alias("frame"))
     found = geometry.boxes_at(boxes, moves, frames, ["label"])
     return found.select("label", "frame", _rounded(F.col("lo")[0]).alias("lo0"), _rounded(F.col("hi")[0]).alias("hi0"), _rounded(F.col("lo")[1]).alias("lo1"))
@@ -271,8 +271,8 @@ def supported_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _objects(spark, sf_dir).select("user_id", F.array_join(F.array_sort(F.map_keys(kept)), "|").alias("kept"), F.array_join(dropped, "|").alias("dropped"))
 
 
-@_query("select o_custkey, 'order' \"source\" from orders where o_custkey % 2 = 0 group by o_custkey union all select c_custkey, 'customer' from customer where c_custkey not in (select o_custkey from orders where o_custkey % 2 = 0)")
+@_query("select o_custkey, 'order' \"source\" from orders where o_orderstatus = 'P' group by o_custkey union all select c_custkey, 'customer' from customer where c_custkey not in (select o_custkey from orders where o_orderstatus = 'P')")
 def fallback_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = _table(spark, sf_dir, "orders").filter("o_custkey % 2 = 0").select("o_custkey").distinct().withColumn("source", F.lit("order"))
+    first = _table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select("o_custkey").distinct().withColumn("source", F.lit("order"))
     second = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.lit("customer").alias("source"))
     return layers.with_fallback(first, second, ["o_custkey"])

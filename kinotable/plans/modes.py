@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinotable.operators.rewrite import frozen
-from kinotable.operators.rules import freeze_checks, layer_checks, verdict
+from kinotable.operators.rewrite import frozen, injected
+from kinotable.operators.rules import freeze_checks, layer_checks, layer_coverage, verdict
 from kinotable.sources.containers import packages
 
 
@@ -20,7 +20,9 @@ def _packed(layers: DataFrame) -> DataFrame:
 #: What each mode makes of layers (path, text).
 MODES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "diagnose": layer_checks,
+    "coverage": layer_coverage,
     "fix": frozen,
+    "inject": injected,
     "export": _packed,
     "verify": lambda layers: verdict(freeze_checks(layers, frozen(layers))),
 }

@@ -210,3 +210,15 @@ def test_the_last_sample_of_a_frame_counts(spark):
     # the greatest scale is 4 at frame 3; above 2 is seen from 3 on, and 2 at frame 5 is not
     assert "xformOp:scale = (4, 4, 4)" in out and "xformOp:translate = (7, 7, 7)" in out
     assert [x.strip() for x in out.split("\n") if '": ' not in x and ': "' in x] == ['1: "invisible",', '3: "inherited",', '5: "invisible",']
+
+
+def test_injection_keeps_the_moves_and_coverage_counts_what_is_seen(table):
+    out = {r.path: r.text for r in modes.run("inject", table).collect()}
+    assert "xformOp:scale = (1, 1, 1)" in out["a.usda"] and "xformOp:translate.timeSamples = {" in out["a.usda"]
+    lines = [x.strip() for x in out["a.usda"].split("\n")]
+    at = lines.index("token visibility.timeSamples = {")
+    assert lines[at + 1 : at + 5] == ['1: "invisible",', '3: "inherited",', '6: "invisible",', "}"]
+    # the scale is above a half from 2.5 to 5.5 between its samples, so at frames 3 to 5
+    assert sorted((r.path, r.frame, r.n) for r in modes.run("coverage", table).collect()) == [("a.usda", f, 0) for f in (1, 2, 6)]
+    with pytest.raises(ValueError, match="component"):
+        rewrite.visibility(table, component="z")

@@ -36,7 +36,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinotable.llm.columns import constants, let, lowered
+from kinotable.llm.columns import constants, lowered
 from kinotable.llm.saving import checkpointed
 
 #: Least similarity in percent.
@@ -57,12 +57,15 @@ _PARITY = ["b0", "b1"]
 #: Blanks, each by itself: the regex engine then looks them up in one table of bits.
 _BLANKS = "[\\x09\\x0A\\x0B\\x0C\\x0D\\x20]+"
 #: Blanks other than the space; a line without them is split at single spaces, with no regex.
-_RARE_BLANKS = "[\\x09\\x0A\\x0B\\x0C\\x0D]"
+_RARE_BLANKS = "\t\n\x0b\x0c\r"
 
 
 def _parts(text: Column) -> Column:
     """The words of a text, with empty ones between and around blanks."""
-    return F.when(text.rlike(_RARE_BLANKS), F.split(text, _BLANKS)).otherwise(F.split(text, " "))
+    rare = F.lit(False)
+    for blank in _RARE_BLANKS:
+        rare = rare | F.contains(text, F.lit(blank))
+    return F.when(rare, F.split(text, _BLANKS)).otherwise(F.split(text, " "))
 
 
 def _words(text: Column) -> Column:
@@ -84,7 +87,8 @@ def _plain(docs: DataFrame) -> DataFrame:
 
 def _ranks(docs: DataFrame) -> list[int]:
     """The rank of each counter, from the rarest on; each word counts as often as it stands in the texts."""
-    each = _plain(docs).select(F.explode(F.split("text", _BLANKS)).alias("w")).select(F.xxhash64(lowered(F.col("w"))).alias("h"))
+    lines = _plain(docs).select(F.explode(F.split("text", "\n")).alias("line"))
+    each = lines.select(F.explode(_parts(F.col("line"))).alias("w")).select(F.xxhash64(lowered(F.col("w"))).alias("h"))
     counted = each.groupBy(F.col("h").bitwiseAND(COUNTERS - 1).alias("i")).agg(F.count(F.lit(1)).alias("n")).collect()
     total = {r.i: r.n for r in counted}
     rank = [0] * COUNTERS
@@ -98,30 +102,32 @@ def _name(word: Column) -> Column:
     return word.bitwiseAND((1 << 31) - 1).cast("int")
 
 
-def _facts(percent: int):
-    """From a set's words in order: its size, digests, parity and prefix (rarest first)."""
-
-    def of(own: Column) -> Column:
-        turned = lambda bits, x: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int")))
-        parity = lambda words: F.aggregate(words, F.lit(0).cast("long"), turned)
-        n = F.size(own)
-        # the halves of a large set add up, as parities, to the 64 bits that it would have if it were short
-        part = lambda k: parity(F.filter(own, lambda x: x.bitwiseAND(64) == 64 * k))
-        bits = [F.when(n <= SHORT, parity(own)).otherwise(part(0)), F.when(n <= SHORT, F.lit(0).cast("long")).otherwise(part(1))]
-        keep = n - F.ceil(n * percent / F.lit(100)).cast("int") + 1
-        return F.struct(n.alias("n"), F.xxhash64(own).alias("k1"), F.xxhash64(own, F.lit(1)).alias("k2"), *[x.alias(b) for x, b in zip(bits, _PARITY)], F.transform(F.slice(own, 1, keep), _name).alias("prefix"))
-
-    return of
+def _parity(n: Column, own: Column) -> list[Column]:
+    """b0 and b1 of a set of n words."""
+    turned = lambda bits, x: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int")))
+    parity = lambda words: F.aggregate(words, F.lit(0).cast("long"), turned)
+    # the halves of a large set add up, as parities, to the 64 bits that it would have if it were short
+    part = lambda k: parity(F.filter(own, lambda x: x.bitwiseAND(64) == 64 * k))
+    return [F.when(n <= SHORT, parity(own)).otherwise(part(0)), F.when(n <= SHORT, F.lit(0).cast("long")).otherwise(part(1))]
 
 
 def _lines(docs: DataFrame, percent: int) -> DataFrame:
-    """doc_id, text_hash, line_no, n, k1, k2, parity, prefix of each line, written out; n is 0 without words."""
+    """doc_id, text_hash, line_no, n, k1, k2, parity, prefix (rarest first) of each line, written out; n is 0 without words.
+
+    Each step uses columns of the one before more than once, so Spark keeps
+    them apart and compiles what is not a lambda.
+    """
     rank = constants([r << 49 for r in _ranks(docs)])
+    place = ["doc_id", "text_hash", "line_no"]
     lines = _plain(docs).select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    hashed = lines.select(*place, _set(F.col("line")).alias("h"))
     # a word is its rank and 49 bits of its hash, so order is by rarity and equal words stay equal
-    ranked = F.transform(_set(F.col("line")), lambda h: rank[h.bitwiseAND(COUNTERS - 1).cast("int")].bitwiseOR(F.shiftrightunsigned(h, 15)))
-    made = lines.select("doc_id", "text_hash", "line_no", let(F.sort_array(ranked), _facts(percent)).alias("f"))
-    return checkpointed(made.select("doc_id", "text_hash", "line_no", "f.*"))
+    ranked = F.transform("h", lambda h: rank[h.bitwiseAND(COUNTERS - 1).cast("int")].bitwiseOR(F.shiftrightunsigned(h, 15)))
+    sets = hashed.select(*place, F.size("h").alias("n"), F.sort_array(ranked).alias("own"))
+    n, own = F.col("n"), F.col("own")
+    keep = n - F.ceil(n * percent / F.lit(100)).cast("int") + 1
+    facts = [F.xxhash64(own).alias("k1"), F.xxhash64(own, F.lit(1)).alias("k2"), *[x.alias(b) for x, b in zip(_parity(n, own), _PARITY)], F.transform(F.slice(own, 1, keep), _name).alias("prefix")]
+    return checkpointed(sets.select(*place, "n", *facts))
 
 
 def _sets(lines: DataFrame) -> DataFrame:
@@ -166,7 +172,7 @@ def _whole(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     places = checkpointed(wanted.select("at_doc", "at_hash").distinct())
     texts = _plain(docs).join(_sized(places), row, "left_semi").select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     lines = texts.join(_sized(wanted), row & (F.col("line_no") == F.col("at_line"))).select("nid", "line").dropDuplicates(["nid"])
-    return checkpointed(lines.select("nid", _set(F.col("line")).alias("words")))
+    return checkpointed(lines.select("nid", _set(F.col("line")).alias("words")), done=[wanted, places])
 
 
 def _first_leads(rare: DataFrame) -> DataFrame:
@@ -190,13 +196,16 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     entries = sets.select("nid", "copies", "n", *_PARITY, F.posexplode("prefix").alias("pos", "p"))
     rare = entries.filter(F.col("pos") < STAR)
     first = checkpointed(_led(rare.drop("copies"), rare.join(_first_leads(rare), ["p", "nid"]).drop("copies"), percent))
-    gone = checkpointed(_verified(first, _whole(docs, sets, first), percent))
+    words = _whole(docs, sets, first)
+    gone = checkpointed(_verified(first, words, percent), done=[words])
     # no more than SHARE words for each prefix word of a set can be so common
     hot = checkpointed(entries.groupBy("p").agg(F.count(F.lit(1)).alias("sets")).filter(F.col("sets") > max(HOT, sets.count() // SHARE)))
     crowded = entries.drop("copies").join(_sized(hot), "p")
     some = crowded.filter(F.pmod(F.xxhash64("nid", "p"), F.col("sets")) < LEADS)
     more = checkpointed(_led(crowded.join(gone, "nid", "left_anti").drop("sets"), some.drop("sets"), percent).join(first, ["early", "late"], "left_anti"))
-    gone = checkpointed(gone.union(_verified(more, _whole(docs, sets, more), percent))).withColumn("gone", F.lit(True))
+    words = _whole(docs, sets, more)
+    found = checkpointed(gone.union(_verified(more, words, percent)), done=[gone, words, hot])
+    gone = found.withColumn("gone", F.lit(True))
     tried = first.union(more)
     marked = sets.join(_sized(gone), "nid", "left").select("nid", "gone", "n", *_PARITY, F.posexplode("prefix").alias("pos", "p"))
     n = F.col("n")
@@ -205,8 +214,9 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     smaller = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_nid") < F.col("y_nid")))
     left = F.when(F.col("x_nid") < F.col("y_nid"), F.col("y_gone")).otherwise(F.col("x_gone")).isNull()
     second = x.join(y, (F.col("x_p") == F.col("y_p")) & smaller & left & _may_match(percent)).select(early.alias("early"), late.alias("late")).distinct()
-    second = checkpointed(second.join(tried, ["early", "late"], "left_anti"))
-    gone = gone.union(_verified(second, _whole(docs, sets, second), percent).withColumn("gone", F.lit(True)))
+    second = checkpointed(second.join(tried, ["early", "late"], "left_anti"), done=[first, more])
+    words = _whole(docs, sets, second)
+    gone = checkpointed(found.union(_verified(second, words, percent)), done=[found, second, words]).withColumn("gone", F.lit(True))
     verdict = sets.select("nid", "k1", "k2", "at_doc", "at_hash", "at_line").join(gone, "nid", "left")
     told = lines.join(verdict, ["k1", "k2"])
     later = ~(F.col("doc_id").eqNullSafe(F.col("at_doc")) & (F.col("text_hash") == F.col("at_hash")) & (F.col("line_no") == F.col("at_line")))

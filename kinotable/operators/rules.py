@@ -142,7 +142,7 @@ def layer_checks(layers: DataFrame, component: str = "maxabs", digits: int | str
     moved = moving(values, ["path", "prim"], value, digits).groupBy("path").agg(F.count(F.lit(1)).alias("moving"))
     size = F.abs(F.col("value")[0]) if component == "x" else F.array_max(F.transform("value", lambda x: F.abs(x)))
     zero = samples(numbered, "xformOp:scale").filter(size < 1e-9).groupBy("path").agg(F.count(F.lit(1)).alias("zero"))
-    leaked = prims(numbered).filter(F.col("kind").isin(*LEAKED_KINDS)).groupBy("path").agg(F.count(F.lit(1)).alias("leaked"))
+    leaked = prims(numbered, LEAKED_KINDS).groupBy("path").agg(F.count(F.lit(1)).alias("leaked"))
     counts = attribute_counts(layers, ["xformOp:transform", "visibility"]).withColumnsRenamed({"xformOp:transform": "matrix", "visibility": "shown"})
     all_ = reduce(lambda a, b: a.join(b, "path", "left"), [counts, moved, zero, leaked, stage_meta(layers).select("path", "tps", "fps")])
     n = lambda c: F.coalesce(c, F.lit(0))

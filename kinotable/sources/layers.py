@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,9 +32,12 @@ def lines(layers: DataFrame) -> DataFrame:
     return split.withColumn("change", change).withColumn("depth", depth).select("path", F.col("ln").cast("long").alias("ln"), "line", (F.col("depth") - F.col("change")).alias("before"), "depth")
 
 
-def prims(numbered: DataFrame) -> DataFrame:
-    """(path, ln, kind, name, before) of each typed definition."""
-    return numbered.filter(F.col("line").rlike(DEFINITION)).select("path", "ln", F.regexp_extract("line", DEFINITION, 1).alias("kind"), F.regexp_extract("line", DEFINITION, 2).alias("name"), "before")
+def prims(numbered: DataFrame, kinds: Sequence[str] | None = None, without: Sequence[str] = ()) -> DataFrame:
+    """(path, ln, kind, name, before) of each typed definition; only of the given kinds, and of none of those in ``without``."""
+    found = numbered.filter(F.col("line").rlike(DEFINITION)).select("path", "ln", F.regexp_extract("line", DEFINITION, 1).alias("kind"), F.regexp_extract("line", DEFINITION, 2).alias("name"), "before")
+    if kinds is not None:
+        found = found.filter(F.col("kind").isin(*kinds))
+    return found.filter(~F.col("kind").isin(*without)) if without else found
 
 
 def top_level(numbered: DataFrame, root: str = "root") -> DataFrame:

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from kinotable.functions import columns as C
 from kinotable.operators import catalogue, geometry, rewrite, rules
-from kinotable.queries import _doubles, _query, _rounded, _table
+from kinotable.queries import ORACLES, _doubles, _query, _rounded, _table
 from kinotable.scene_queries import _K, _layers
-from kinotable.sources import containers, layers
+from kinotable.sources import containers, layers, sinks
 
 #: A customer's orders as points: some about the origin, some off it, some far off; small, middling and wide.
 _POINTS = "q as (select o_custkey c, [1.0, 0.1, 5.0][1 + o_custkey % 3]::double s, o_orderkey % 97 - 48 + [0, 40, 300, 0][1 + o_custkey % 4] x, o_orderkey % 53 - 26 y, o_orderkey % 7 z from orders), p as (select c, x * s x, y * s y, z * s z from q)"
@@ -105,6 +105,21 @@ def layer_checks_of_changed_layers(spark: SparkSession, sf_dir: str) -> DataFram
     return rules.layer_checks(_layers(spark, sf_dir).select("path", text.otherwise(F.col("text")).alias("text")))
 
 
+_CHANGED = ORACLES["layer_checks_of_changed_layers"]
+
+
+@_query(f"with r as ({_CHANGED}), t as (select path, ok, case when ok then 'ok   ' else 'FAIL ' end || \"check\" || case when detail = '' then '' else ': ' || detail end line from r) select path, string_agg(line, chr(10) order by line) || chr(10) || case when bool_and(ok) then 'passed' else 'failed' end \"value\" from t group by path")
+def layer_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.report(layer_checks_of_changed_layers(spark, sf_dir))
+
+
+@_query(f"with {_K} select path, 'with' how, 'Camera' kind, 'cam' \"name\" from n where cam union all select path, 'without', 'Mesh', path from n")
+def typed_prims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    numbered = layers.lines(_layers(spark, sf_dir))
+    told = lambda how, df: df.select("path", F.lit(how).alias("how"), "kind", "name")
+    return told("with", layers.prims(numbered, rules.LEAKED_KINDS)).unionByName(told("without", layers.prims(numbered, without=["Xform", *rules.LEAKED_KINDS])))
+
+
 #: Containers of parts: sound ones, some not aligned, some with a changed byte, some that say they are compressed.
 @_query("select 'p' || p_partkey path, p_partkey % 4 = 0 ok, ['', 'aligned', 'intact', 'stored'][1 + p_partkey % 4] problems from part")
 def container_verdicts_of_damaged_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinotable.operators.prefix import running
+from kinotable.plans.rounds import kept
 
 STAGE = "<stage>"
 #: A typed definition, by a pattern that the layer format sets (a fixed value).
@@ -78,7 +79,9 @@ def structured(lines: DataFrame, attributes: str | None = None, levels: int | No
     event = F.when((opens & bare) | whole, F.struct(F.lit(None).cast(_MARK).alias("m"))).when(F.col("mark").isNotNull(), F.struct(F.col("mark").alias("m")))
     # an opening ends what waits at its level; a mark that doesn't open by itself waits for it
     waiting = running(own, ["path", "before"], "ln", lasts={"event": event}, chunk=chunk, strict=True)
+    waiting = kept(waiting) if chunk else waiting
     waiting = running(waiting, ["path"], "ln", lasts={"nearest": name}, chunk=chunk)
+    waiting = kept(waiting) if chunk else waiting
     owner = F.when(bare, F.coalesce(F.col("mark"), F.col("event.m")))
     many = deepest(lines) if levels is None else levels
     opened = {f"__{k}": F.when(opens & (F.col("before") <= k) & (F.col("depth") > k), F.struct(F.when(F.col("before") == k, owner).alias("m"))) for k in range(many)}

@@ -88,7 +88,7 @@ def nested_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"{_NEST} select 'c' || c path, cast(3 + 9 * count(*) + 2 as bigint) \"lines\", cast(3 + max(lvl) as bigint) deepest, cast(sum(case when lvl = 4 or i = n - 1 then 1 else 0 end) as bigint) leaves from (select *, count(*) over (partition by c) n from s) group by c")
 def nested_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = structure.text_lines(nested_layers(spark, sf_dir), chunk=50)
+    lines = kept(structure.text_lines(nested_layers(spark, sf_dir), chunk=50))
     depth = lines.groupBy("path").agg(F.count(F.lit(1)).alias("lines"), F.max(F.greatest("before", "depth")).alias("deepest"))
     names = kept(structure.structured(lines, levels=7, chunk=50).filter("line like '%timeSamples%'").select("path", "prims"))
     parents = names.select("path", F.slice("prims", F.lit(1), F.size("prims") - 1).alias("prims")).distinct()
@@ -160,7 +160,7 @@ def sourced_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def split_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark)
     sinks.write_layers(_layers(spark, sf_dir), folder)
-    found = structure.file_lines(spark, f"{folder}/*/*.txt", chunk=7)
+    found = structure.file_lines(spark, f"{folder}/*/*.txt", chunk=64)
     named = F.regexp_extract("path", "path=([^/]*)", 1).alias("path")
     # the writer's last line break opens no line of its own here
     return found.groupBy(named).agg((F.count(F.lit(1)) + 1).cast("int").alias("lines"), F.max("depth").alias("deepest"), F.sum("depth").alias("depths"))

@@ -40,6 +40,8 @@ from kinotable.llm.saving import checkpointed, dropped
 SAMPLE_DOCS, MAX_FEATURES = 12_000, 4000
 #: Lengths of word beginnings; chance of one false feature that a fit accepts.
 BEGINNINGS, FALSE_FEATURE = (4, 5, 6, 7, 8), 0.05
+#: Share of a feature's toxic documents that chance may explain for it to mark toxic words beside others.
+CHANCE = 0.05
 #: A document is toxic from this score on.
 THRESHOLD = 0.7
 #: Steps and regularisation of the fit.
@@ -144,9 +146,12 @@ def _covers(held: list[set[int]], by_chance: np.ndarray, strength: np.ndarray) -
     """Features of one cover after the other, each without those of the covers before it, until none explains anything.
 
     A single cover would leave out a toxic word whose documents others explain, and so teach that it is clean.
+    After the first cover only features count of which chance explains a share of CHANCE or less.
     """
-    chosen: set[int] = set()
-    while more := _cover([fs - chosen for fs in held], by_chance, strength):
+    counts = Counter(f for fs in held for f in fs)
+    clear = {f for f, n in counts.items() if by_chance[f] <= CHANCE * n}
+    chosen = _cover(held, by_chance, strength)
+    while more := _cover([(fs & clear) - chosen for fs in held], by_chance, strength):
         chosen |= more
     return chosen
 

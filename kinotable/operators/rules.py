@@ -77,8 +77,8 @@ def freeze_checks(layers: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def zero_frames(samples: DataFrame, keys: list[str], size: Column, first: int = 10) -> DataFrame:
-    """(keys, n, frames): at how many samples, and at which first ones, the size is zero."""
-    zero = samples.filter(size < 1e-9).withColumn("__place", F.row_number().over(Window.partitionBy(*keys).orderBy("frame")))
+    """(keys, n, frames): at how many samples, and at which first ones, the size is zero; samples without a frame come last."""
+    zero = samples.filter(size < 1e-9).withColumn("__place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.asc_nulls_last("frame"))))
     return zero.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.when(F.col("__place") <= first, F.col("frame")))).alias("frames"))
 
 

@@ -190,7 +190,8 @@ def retime_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"with {_K} select user_id, count(*) n, array_to_string(list_slice(list(cast(d as int) order by d), 1, 10), '|') frames from k where v < 20 group by user_id")
 def zero_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = _days(spark, sf_dir).withColumnRenamed("d", "frame")
-    found = rules.zero_frames(days, ["user_id"], F.greatest(F.col("v") - 20, F.lit(-1.0)))
+    # a day of exactly 20 has no size below it
+    found = rules.zero_frames(days, ["user_id"], F.when(F.col("v") < 20, 0.0).otherwise(1.0))
     return found.select("user_id", "n", F.array_join(F.transform("frames", lambda x: x.cast("string")), "|").alias("frames"))
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from kinotable.functions.columns import add, affine, midpoint, norm, scaled, subtract
 from kinotable.operators.curves import evaluated_points, evaluated_rotations
@@ -50,38 +53,76 @@ def united(boxes: DataFrame, keys: list[str]) -> DataFrame:
     return _gathered(rows, keys, "lo", "hi")
 
 
-#: Parts into which each of the first three axes is cut, so cells that a key has at most.
-CELLS = 8
-
-
-def diameters(points: DataFrame, keys: list[str], point: Column, cells: int = CELLS) -> DataFrame:
+#: Parts into which each of the first three axes is cut at most, and points of a block.
+CELLS, BLOCK = 8, 4096
+#: Rows of a block that are compared with another block at once.
+_TILE = 512
+
+
+def _widest(table: pa.Table) -> pa.Table:
+    """One row with the greatest distance between points of side 0 and of side 1, or among those of side 0 if there are no others."""
+    side, held = table["__side"].to_numpy(), table["__p"].combine_chunks()
+    points = held.flatten().to_numpy().reshape(len(side), -1) if len(held.flatten()) else np.zeros((len(side), 0))
+    points = points - points.mean(axis=0)  # so that little is lost where squares are subtracted
+    a, b = points[side == 0], points[side == 1]
+    b = b if len(b) else a
+    aa, bb = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    # squared distances are one product of matrices; pairs that its rounding can't tell from the widest are measured one by one
+    left, right = np.column_stack([-2 * a, aa, np.ones(len(a))]), np.column_stack([b, np.ones(len(b)), bb]).T.copy()
+    loss = 1e-14 * (a.shape[1] + 4) * (aa.max() + bb.max())
+    best = 0.0
+    for start in range(0, len(a), _TILE):
+        squares = left[start : start + _TILE] @ right
+        top = max(squares.max(), best)
+        rows = np.flatnonzero(squares.max(axis=1) >= top - loss)
+        for row in rows:
+            near = np.flatnonzero(squares[row] >= top - loss)
+            best = max(best, ((b[near] - a[start + row]) ** 2).sum(axis=1).max())
+    first = table.slice(0, 1).drop_columns(["__one", "__other", "__side", "__p"])
+    return first.append_column("diameter", pa.array([float(np.sqrt(best))]))
+
+
+def diameters(points: DataFrame, keys: list[str], point: Column, cells: int = CELLS, block: int = BLOCK) -> DataFrame:
     """(keys, diameter): the greatest distance between two distinct points; exact.
 
     With distances r to the centroid, and a pair at distance D known (the point
     farthest from the centroid and the one farthest from that), only points
     with r >= D - max r can be in a wider pair.  These are cut into cells, and
-    points are compared only where the boxes of two cells allow a wider pair;
-    each pair of cells is work of its own.  In many dimensions boxes allow
-    most pairs; in space few are left.
+    cells into blocks; points are compared only where the boxes of two blocks
+    allow a wider pair.  Each pair of blocks is work of its own, and a product
+    of matrices.  In many dimensions boxes allow most pairs, so work stays
+    quadratic there, with few operations a pair; in space few are left.
     """
     unique = points.select(*keys, F.transform(point, lambda x: x.cast("double")).alias("__p")).distinct()
     ranged = kept(unique.join(centroids(unique, keys, F.col("__p")), keys).withColumn("__r", norm(subtract(F.col("__p"), F.col("centroid")))))
     most = ranged.groupBy(*keys).agg(F.max_by("__p", F.struct("__r", "__p")).alias("__far"), F.max("__r").alias("__most"))
     away = norm(subtract(F.col("__p"), F.col("__far")))
     known = kept(ranged.join(most, keys).groupBy(*keys).agg(F.max(away).alias("__wide"), F.first("__most").alias("__most")))
-    width = F.greatest("__most", F.lit(1e-300)) * 2 / cells
-    part = lambda i: F.greatest(F.lit(0), F.least(F.lit(cells - 1), F.floor((F.col("__p")[i] - F.col("centroid")[i] + F.col("__most")) / width))).cast("int")
+    left = ranged.join(known, keys).filter(F.col("__r") + F.col("__most") >= F.col("__wide") - 1e-9)
+    cut = F.greatest(F.lit(1), F.least(F.lit(cells), F.floor(F.cbrt(F.count(F.lit(1)) / block)))).alias("__cut")
+    width = F.greatest("__most", F.lit(1e-300)) * 2 / F.col("__cut")
+    part = lambda i: F.greatest(F.lit(0), F.least(F.col("__cut") - 1, F.floor((F.col("__p")[i] - F.col("centroid")[i] + F.col("__most")) / width))).cast("int")
     some = F.transform(F.sequence(F.lit(0), F.least(F.size("__p"), F.lit(3)) - 1), lambda i: part(i))
-    cell = F.aggregate(F.when(F.size("__p") > 0, some).otherwise(F.array().cast("array<int>")), F.lit(0), lambda s, x: s * cells + x)
-    left = kept(ranged.join(known, keys).filter(F.col("__r") + F.col("__most") >= F.col("__wide") - 1e-9).select(*keys, "__p", cell.alias("__cell")))
-    axes = left.select(*keys, "__cell", F.posexplode("__p").alias("axis", "x")).groupBy(*keys, "__cell", "axis").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    boxes = _gathered(axes, [*keys, "__cell"], "lo", "hi")
-    one, other = (boxes.select(*keys, *[F.col(c).alias(f"{c}{n}") for c in ("__cell", "lo", "hi")]) for n in (1, 2))
+    cell = F.aggregate(F.when(F.size("__p") > 0, some).otherwise(F.array().cast("array<int>")), F.lit(0).cast("long"), lambda s, x: s * cells + x)
+    placed = left.join(left.groupBy(*keys).agg(cut), keys).select(*keys, "__p", cell.alias("__cell"))
+    pieces = placed.groupBy(*keys, "__cell").agg(F.ceil(F.count(F.lit(1)) / block).alias("__pieces"))
+    piece = F.pmod(F.xxhash64("__p"), F.col("__pieces"))
+    blocks = kept(placed.join(pieces, [*keys, "__cell"]).select(*keys, "__p", F.struct("__cell", piece.alias("__piece")).alias("__block")))
+    axes = blocks.select(*keys, "__block", F.posexplode("__p").alias("axis", "x")).groupBy(*keys, "__block", "axis").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    boxes = _gathered(axes, [*keys, "__block"], "lo", "hi")
+    one, other = (boxes.select(*keys, F.col("__block").alias(name), F.col("lo").alias(f"lo{n}"), F.col("hi").alias(f"hi{n}")) for n, name in enumerate(("__one", "__other")))
     apart = lambda lo, hi: F.zip_with(lo, hi, lambda x, y: F.abs(y - x))
-    reach = norm(F.zip_with(apart("lo1", "hi2"), apart("lo2", "hi1"), lambda x, y: F.greatest(x, y)))
-    pairs = one.join(other, keys).filter("__cell1 <= __cell2").join(known, keys).filter(reach >= F.col("__wide") - 1e-9).select(*keys, "__cell1", "__cell2")
-    met = pairs.join(left.select(*keys, F.col("__cell").alias("__cell1"), F.col("__p").alias("__a")), [*keys, "__cell1"]).join(left.select(*keys, F.col("__cell").alias("__cell2"), F.col("__p").alias("__b")), [*keys, "__cell2"])
-    found = met.groupBy(*keys).agg(F.max(norm(subtract(F.col("__a"), F.col("__b")))).alias("diameter"))
+    reach = norm(F.zip_with(apart("lo0", "hi1"), apart("lo1", "hi0"), lambda x, y: F.greatest(x, y)))
+    pairs = kept(one.join(other, keys).filter("__one <= __other").join(known, keys).filter(reach >= F.col("__wide") - 1e-9).select(*keys, "__one", "__other"))
+    # a block that meets itself comes once
+    sides = F.when(F.col("__one") == F.col("__other"), F.array("__one")).otherwise(F.array("__one", "__other"))
+    asked = pairs.select(*keys, "__one", "__other", F.posexplode(sides).alias("__side", "__block"))
+    tasks = max(1, min(pairs.count(), 4096))
+    met = blocks.repartition(tasks, "__p").join(asked, [*keys, "__block"]).select(*keys, "__one", "__other", "__side", "__p")
+    each = met.repartition(tasks, *keys, "__one", "__other").groupBy(*keys, "__one", "__other")
+    named = [f for f in blocks.schema.fields if f.name in keys]
+    wide = each.applyInArrow(_widest, StructType([*named, StructField("diameter", DoubleType())]))
+    found = wide.groupBy(*keys).agg(F.max("diameter").alias("diameter"))
     # a key with one point has no pair of distinct ones; its distance is 0
     return known.select(*keys, "__wide").join(found, keys, "left").select(*keys, F.greatest("__wide", F.coalesce("diameter", F.lit(0.0))).alias("diameter"))
 

@@ -105,3 +105,16 @@ def test_diameters_are_those_of_all_pairs(spark, axes):
     got = {r.k: r.diameter for r in geometry.diameters(table, ["k"], F.col("p")).collect()}
     want = {k: float(np.sqrt(((ps[:, None] - ps[None]) ** 2).sum(2)).max()) for k, ps in sets.items()}
     assert got == pytest.approx(want, rel=1e-9, abs=1e-9)
+
+
+@pytest.mark.parametrize("axes", [3, 8])
+def test_diameters_over_many_blocks_are_those_of_all_pairs(spark, axes):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(axes)
+    flat = rng.normal(size=(700, axes))
+    sets = {"round": flat / np.sqrt((flat**2).sum(1))[:, None], "cube": rng.uniform(size=(300, axes)) + 1e3}
+    table = spark.createDataFrame([(k, p.tolist()) for k, ps in sets.items() for p in ps], "k string, p array<double>")
+    got = {r.k: r.diameter for r in geometry.diameters(table, ["k"], F.col("p"), block=32).collect()}
+    want = {k: float(np.sqrt(((ps[:, None] - ps[None]) ** 2).sum(2)).max()) for k, ps in sets.items()}
+    assert got == pytest.approx(want, rel=1e-12)

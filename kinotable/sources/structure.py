@@ -51,6 +51,22 @@ def text_lines(layers: DataFrame, chunk: int | None = None) -> DataFrame:
     return measured(layers.select("path", F.posexplode(F.split("text", "\n")).alias("ln", "line")), chunk)
 
 
+#: Characters of layers that one task takes: at most about so many, and no task is made for less than the lower number.
+DEALT = (1 << 20, 1 << 22)
+
+
+def dealt(layers: DataFrame, sizes: tuple[int, int] = DEALT) -> DataFrame:
+    """layers (path, text) dealt by path, to so many tasks that each takes about as many characters as ``sizes`` tells; one job counts them.
+
+    What follows by path then needs no exchange of lines, and a task's memory
+    doesn't grow with the number of layers.
+    """
+    least, most = sizes
+    count = layers.agg(F.sum(F.length("text"))).first()[0] or 0
+    usual = int(layers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return layers.repartition(max(1, min(usual, -(-count // least)), -(-count // most)), "path")
+
+
 def deepest(measured: DataFrame) -> int:
     """The greatest number of blocks that are open at once; one job."""
     return max(0, measured.agg(F.max(F.greatest("before", "depth"))).first()[0] or 0)
@@ -65,9 +81,10 @@ def structured(lines: DataFrame, attributes: str | None = None, levels: int | No
     they are counted first.  A line that opens or closes a block is inside it.
     """
     line = F.col("line")
-    name = F.nullif(F.regexp_extract(line, DEFINITION, 2), F.lit(""))
+    # a look for the fixed words spares most lines the patterns
+    name = F.when(F.contains(line, F.lit("def")), F.nullif(F.regexp_extract(line, DEFINITION, 2), F.lit("")))
     opening = rf"(?U)^(.*?)([ \t]*)(\w+\d*\s+)?({attributes or '(?!)'})\.timeSamples\s*="
-    sample = line.rlike(opening)
+    sample = F.contains(line, F.lit(".timeSamples")) & line.rlike(opening)
     group = lambda i: F.regexp_extract(line, opening, i)
     mark = F.when(name.isNotNull(), F.struct(F.lit("def").alias("kind"), name.alias("name"), "ln", "before", F.lit("").alias("indent"), F.lit("").alias("decl"), F.lit("").alias("attr")))
     mark = mark.when(sample, F.struct(F.lit("attr").alias("kind"), F.lit(None).cast("string").alias("name"), "ln", "before", group(2).alias("indent"), F.concat(group(3), group(4)).alias("decl"), group(4).alias("attr")))
@@ -105,5 +122,5 @@ def prim_path(prims: Column) -> Column:
 
 def enclosing(structure: DataFrame) -> DataFrame:
     """structure with ``prim``: the innermost definition around a line; a line that defines at the stage belongs to what it defines."""
-    name = F.nullif(F.regexp_extract("line", DEFINITION, 2), F.lit(""))
+    name = F.when(F.contains("line", F.lit("def")), F.nullif(F.regexp_extract("line", DEFINITION, 2), F.lit("")))
     return structure.withColumn("prim", F.coalesce(F.try_element_at("prims", F.lit(-1)), name, F.lit(STAGE)))

@@ -76,7 +76,7 @@ def nested_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     tail = lambda i: F.concat(pad(i), F.lit("double3 xformOp:translate.timeSamples = {\n"), pad(i), F.lit("1: (0, "), key(i), F.lit(", 0),\n"), pad(i), F.lit("}\n"), pad(i), F.lit("}\n"))
     close = lambda i: F.array_join(F.transform(F.sequence(i % 5, F.lit(0), F.lit(-1)), lambda d: tail(i - i % 5 + d)), "")
     each = F.transform(F.sequence(F.lit(0), last), lambda i: F.concat(head(i), F.when((i % 5 == 4) | (i == last), close(i)).otherwise("")))
-    return orders.select(F.concat(F.lit("c"), "o_custkey").alias("path"), F.concat(F.lit('#usda 1.0\ndef Xform "root"\n{\n'), F.array_join(each, ""), F.lit("}\n")).alias("text"))
+    return structure.dealt(orders.select(F.concat(F.lit("c"), "o_custkey").alias("path"), F.concat(F.lit('#usda 1.0\ndef Xform "root"\n{\n'), F.array_join(each, ""), F.lit("}\n")).alias("text")))
 
 
 @_query(f"{_NEST}, a as (select *, '/root/' || string_agg('k' || k, '/') over (partition by c, g order by lvl rows between unbounded preceding and current row) p from s) select 'c' || c path, 'k' || k prim, p prim_path, '1: (0, ' || k || ', 0),' sample from a")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinotable.operators import hierarchy
-from kinotable.plans.rounds import kept, scratch
+from kinotable.plans.rounds import scratch
 from kinotable.queries import ORACLES, _query, _rounded, _table
 from kinotable.scene_queries import _layers
 from kinotable.sources import assets, container_files, sinks, stage_source, structure
@@ -88,11 +88,13 @@ def nested_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"{_NEST} select 'c' || c path, cast(3 + 9 * count(*) + 2 as bigint) \"lines\", cast(3 + max(lvl) as bigint) deepest, cast(sum(case when lvl = 4 or i = n - 1 then 1 else 0 end) as bigint) leaves from (select *, count(*) over (partition by c) n from s) group by c")
 def nested_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = kept(structure.text_lines(nested_layers(spark, sf_dir), chunk=50))
+    lines = structure.text_lines(nested_layers(spark, sf_dir))
     depth = lines.groupBy("path").agg(F.count(F.lit(1)).alias("lines"), F.max(F.greatest("before", "depth")).alias("deepest"))
-    names = kept(structure.structured(lines, levels=7, chunk=50).filter("line like '%timeSamples%'").select("path", "prims"))
-    parents = names.select("path", F.slice("prims", F.lit(1), F.size("prims") - 1).alias("prims")).distinct()
-    leaves = names.join(parents, ["path", "prims"], "left_anti").groupBy("path").agg(F.count(F.lit(1)).alias("leaves"))
+    names = structure.structured(lines, levels=7).filter("line like '%timeSamples%'").select("path", "prims")
+    # each name counts for itself and tells its parent of a child; all of a path is in one task already
+    told = F.array(F.struct("prims", F.lit(False).alias("child")), F.struct(F.slice("prims", F.lit(1), F.size("prims") - 1).alias("prims"), F.lit(True).alias("child")))
+    each = names.select("path", F.explode(told).alias("t")).groupBy("path", "t.prims").agg(F.count(F.when(~F.col("t.child"), 1)).alias("n"), F.some("t.child").alias("parent"))
+    leaves = each.filter("n > 0 and not parent").groupBy("path").agg(F.sum("n").alias("leaves"))
     return depth.join(leaves, "path")
 
 

@@ -14,6 +14,7 @@ from kinotable.operators import catalogue, geometry, rewrite, rules, selection
 from kinotable.plans import modes
 from kinotable.queries import ORACLES, QUERIES, _doubles, _query, _rounded, _samples, _table
 from kinotable.sources import containers, layers
+from kinotable.sources.structure import dealt
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -35,7 +36,7 @@ def _layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     scale = F.concat(F.lit("        float3 xformOp:scale.timeSamples = {\n"), each(lambda v: F.concat_ws(", ", v, v, v)), F.lit("        }\n"))
     moves = F.concat(F.lit("        double3 xformOp:translate.timeSamples =\n        {\n"), each(lambda v: F.concat_ws(", ", F.lit("0"), v, F.lit("0"))), F.lit("        }\n"))
     camera = F.when(F.col("user_id") % 10 == 0, _CAMERA).otherwise("")
-    return held.select("path", F.concat(F.lit(_HEAD), "path", F.lit('"\n    {\n'), scale, moves, F.lit("        asset inputs:file = @tex/"), "path", F.lit(".png@\n    }\n"), camera, F.lit("}\n")).alias("text"))
+    return dealt(held.select("path", F.concat(F.lit(_HEAD), "path", F.lit('"\n    {\n'), scale, moves, F.lit("        asset inputs:file = @tex/"), "path", F.lit(".png@\n    }\n"), camera, F.lit("}\n")).alias("text")))
 
 
 @_query(f"with {_K} select path, 20 + 2 * k + 3 * cam::int lines, cast(3 as bigint) deepest, cast(19 + 6 * k + 4 * cam::int as bigint) depths from n")

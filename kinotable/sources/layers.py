@@ -34,7 +34,7 @@ def lines(layers: DataFrame) -> DataFrame:
 
 def prims(numbered: DataFrame, kinds: Sequence[str] | None = None, without: Sequence[str] = ()) -> DataFrame:
     """(path, ln, kind, name, before) of each typed definition; only of the given kinds, and of none of those in ``without``."""
-    found = numbered.filter(F.col("line").rlike(DEFINITION)).select("path", "ln", F.regexp_extract("line", DEFINITION, 1).alias("kind"), F.regexp_extract("line", DEFINITION, 2).alias("name"), "before")
+    found = numbered.filter(F.contains("line", F.lit("def")) & F.col("line").rlike(DEFINITION)).select("path", "ln", F.regexp_extract("line", DEFINITION, 1).alias("kind"), F.regexp_extract("line", DEFINITION, 2).alias("name"), "before")
     if kinds is not None:
         found = found.filter(F.col("kind").isin(*kinds))
     return found.filter(~F.col("kind").isin(*without)) if without else found
@@ -59,7 +59,7 @@ def stage_meta(layers: DataFrame) -> DataFrame:
 def owned(numbered: DataFrame, mode: str = "preceding") -> DataFrame:
     """numbered with ``prim``: the nearest definition before a line, or the one that encloses it."""
     if mode == "preceding":
-        name = F.nullif(F.regexp_extract("line", DEFINITION, 2), F.lit(""))
+        name = F.when(F.contains("line", F.lit("def")), F.nullif(F.regexp_extract("line", DEFINITION, 2), F.lit("")))
         return preceding(numbered.withColumn("def", name), ["path"], ["ln"], F.col("def"), "prim", F.lit(STAGE)).drop("def")
     return enclosing(structured(numbered)).select(*numbered.columns, "prim")
 
@@ -72,7 +72,7 @@ def blocks(numbered: DataFrame, attributes: str, mode: str = "preceding") -> Dat
     character that a line starts with, ``at`` and ``size`` come as well.
     """
     opening = rf"(?U)^(.*?)([ \t]*)(\w+\d*\s+)?({attributes})\.timeSamples\s*="
-    found = owned(numbered, mode).withColumn("mark", F.when(F.col("line").rlike(opening), F.struct("ln", "before", "prim", F.regexp_extract("line", opening, 2).alias("indent"), F.concat(F.regexp_extract("line", opening, 3), F.regexp_extract("line", opening, 4)).alias("decl"), F.regexp_extract("line", opening, 4).alias("attr"))))
+    found = owned(numbered, mode).withColumn("mark", F.when(F.contains("line", F.lit(".timeSamples")) & F.col("line").rlike(opening), F.struct("ln", "before", "prim", F.regexp_extract("line", opening, 2).alias("indent"), F.concat(F.regexp_extract("line", opening, 3), F.regexp_extract("line", opening, 4)).alias("decl"), F.regexp_extract("line", opening, 4).alias("attr"))))
     upto = Window.partitionBy("path").orderBy("ln").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = found.withColumn("mark", F.last("mark", ignorenulls=True).over(upto)).filter("mark is not null")
     own = Window.partitionBy("path", "mark.ln").orderBy("ln")

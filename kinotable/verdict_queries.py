@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from kinotable.functions import columns as C
 from kinotable.operators import catalogue, geometry, rewrite, rules
+from kinotable.plans.rounds import kept
 from kinotable.queries import ORACLES, _doubles, _query, _rounded, _table
 from kinotable.scene_queries import _K, _layers
-from kinotable.sources import containers, layers, sinks
+from kinotable.sources import containers, layers, sinks, structure
 
 #: A customer's orders as points: some about the origin, some off it, some far off; small, middling and wide.
 _POINTS = "q as (select o_custkey c, [1.0, 0.1, 5.0][1 + o_custkey % 3]::double s, o_orderkey % 97 - 48 + [0, 40, 300, 0][1 + o_custkey % 4] x, o_orderkey % 53 - 26 y, o_orderkey % 7 z from orders), p as (select c, x * s x, y * s y, z * s z from q)"
@@ -185,5 +186,6 @@ def moving_as_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = _table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("o"))
     each = F.array_join(F.transform("o", lambda k: F.concat(k.cast("string"), F.when(k % 2 == 0, ": (0, 5, 0),\n").otherwise(": (0, 5.0, 0),\n"))), "")
     made = orders.select(F.concat(F.lit("c"), "o_custkey").alias("path"), F.concat(F.lit('def Mesh "m"\n{\ndouble3 xformOp:translate.timeSamples = {\n'), each, F.lit("}\n}\n")).alias("text"))
+    made = structure.dealt(made)
     told = lambda digits, name: rules.layer_checks(made, digits=digits).filter("check = 'no moving translate'").select("path", (~F.col("ok")).alias(name))
     return told(None, "exact").join(told("raw", "raw"), "path")

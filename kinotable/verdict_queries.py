@@ -172,7 +172,8 @@ def seen_above_a_level(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"with {_K}, m as (select user_id, d, v > 0.5 * max(v) over (partition by user_id) st from k), a as (select user_id, d, st from m union all select user_id, 1, false from k group by user_id having min(d) > 1), l as (select *, lag(st) over (partition by user_id order by d) p from a) select 'u' || user_id path, d::double frame, case when st then 'inherited' else 'invisible' end token, (select count(*) from k where k.user_id = l.user_id) still from l where p is null or p <> st")
 def injected_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = rewrite.injected(_layers(spark, sf_dir))
+    # written once, as three tables are read from it
+    done = structure.dealt(kept(rewrite.injected(_layers(spark, sf_dir))))
     numbered = layers.lines(done)
     # the samples of translate are as many as before, and no scale has any
     still = layers.samples(numbered, "xformOp:translate").groupBy("path").agg(F.count(F.lit(1)).alias("still"))

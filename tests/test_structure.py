@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from kinotable.operators import hierarchy
 from kinotable.operators.prefix import running
+from kinotable.registry import QUERIES
 from kinotable.sources import layers, structure
 
 
@@ -174,3 +175,28 @@ def test_inverses(spark):
     table = spark.createDataFrame([(i, m.tolist()) for i, m in enumerate(ms)], "i int, m array<array<double>>")
     got = {r.i: r.v for r in table.select("i", hierarchy.inverse(F.col("m")).alias("v")).collect()}
     assert all(np.allclose(np.array(got[i]), np.linalg.inv(m)) for i, m in enumerate(ms[:20])) and got[20] is None and got[21] is None
+
+
+def test_dealt_layers_need_no_exchange_of_lines(spark):
+    text = 'def Xform "a"\n{\n    double3 xformOp:translate.timeSamples = {\n        1: (0, 0, 0),\n    }\n}\n'
+    made = spark.createDataFrame([(f"p{i}", text) for i in range(60)], "path string, text string")
+    dealt = structure.dealt(made, (10, 400))
+    # twice the layers are twice the tasks
+    assert dealt.rdd.getNumPartitions() == -(-60 * len(text) // 400)
+    assert structure.dealt(made.limit(30), (10, 400)).rdd.getNumPartitions() == -(-30 * len(text) // 400)
+    found = structure.structured(structure.text_lines(dealt), r"\QxformOp:translate\E", levels=2)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert found.filter("block is not null").count() == 180
+
+
+@pytest.mark.parametrize("name", ["nested_depths", "nested_samples", "layer_coverage", "moving_as_written"])
+def test_a_task_takes_no_more_layers_where_there_are_more(spark, monkeypatch, name):
+    monkeypatch.setattr(structure.dealt, "__defaults__", ((1 << 20, 1 << 10),))
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    parts = [int(n) for n in re.findall(r"hashpartitioning\(path#\d+, (\d+)\), REPARTITION_BY_NUM", plan)]
+    assert parts and min(parts) > 10
+
+
+def test_injected_layers_are_made_once(spark):
+    plan = QUERIES["injected_visibility"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "events.parquet" not in plan

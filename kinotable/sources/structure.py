@@ -32,6 +32,7 @@ def file_lines(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFrame:
     raw = spark.read.option("lineSep", "\n").text(path)
     # rows of a split come in the order of the file, and splits are told apart by where they start
     rows = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("place"), F.col("value").alias("line"))
+    rows = kept(rows)  # what follows reads them several times; files are opened once
     firsts = rows.groupBy("path", "split").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
     counted = running(firsts, ["path"], "split", sums={"begin": F.col("n")}, strict=True).select("path", "split", "first", "begin")
     numbered = rows.join(counted, ["path", "split"]).select("path", (F.col("begin") + F.col("place") - F.col("first")).alias("ln"), "line")

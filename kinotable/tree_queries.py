@@ -162,7 +162,8 @@ def sourced_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def split_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark)
     sinks.write_layers(_layers(spark, sf_dir), folder)
-    found = structure.file_lines(spark, f"{folder}/*/*.txt", chunk=64)
+    # the folder itself, as its subfolders are listed by tasks; a pattern is matched one by one
+    found = structure.file_lines(spark, folder, chunk=64)
     named = F.regexp_extract("path", "path=([^/]*)", 1).alias("path")
     # the writer's last line break opens no line of its own here
     return found.groupBy(named).agg((F.count(F.lit(1)) + 1).cast("int").alias("lines"), F.max("depth").alias("deepest"), F.sum("depth").alias("depths"))

@@ -200,3 +200,10 @@ def test_a_task_takes_no_more_layers_where_there_are_more(spark, monkeypatch, na
 def test_injected_layers_are_made_once(spark):
     plan = QUERIES["injected_visibility"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "events.parquet" not in plan
+
+
+def test_files_are_opened_once(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("{\n}\n")
+    found = structure.file_lines(spark, str(tmp_path))
+    assert "FileScan text" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [(r.ln, r.depth) for r in found.orderBy("ln").collect()] == [(0, 1), (1, 0)]

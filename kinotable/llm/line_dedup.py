@@ -15,11 +15,11 @@ on the input.
   64 bits over (of 128 in sets of more than SHORT words), so the bits in which
   two sets differ are no more than the words that only one of them has.  Then
   the whole sets are compared.
-* First each set meets two leads of each of its STAR rarest words: the earliest
-  set with the word and the one with the most copies.  Sets that this leaves in
-  place meet about LEADS more of each prefix word that is hot (in more than HOT
-  sets and a SHARE of all), and only sets that are left then meet all earlier
-  sets.  So a crowd of near copies gives a few pairs for each member, not all.
+* First each set meets two leads of each of its STAR rarest words, the earliest
+  set with the word and the one with the most copies, and about LEADS of each
+  prefix word that is hot (in more than HOT sets and a SHARE of all).  Only sets
+  that this leaves in place then meet all earlier sets.  So a crowd of near
+  copies gives a few pairs for each member, not all.
 
 Two passes split the texts into words: one counts them, one writes a narrow row
 for each line, from which all else is joined; the words of a line are looked
@@ -36,16 +36,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinotable.llm.columns import constants, lowered
+from kinotable.llm.columns import constants
 from kinotable.llm.saving import checkpointed
 
 #: Least similarity in percent.
 PERCENT = 80
 #: Counters that rank words by rarity; fixed, and a power of two.
-COUNTERS = 1 << 14
-#: Rarest words of a set by which it meets the earliest set first.
+COUNTERS = 1 << 16
+#: Rarest words of a set by which it meets their leads first.
 STAR = 3
-#: Least sets of a hot word, and one part in so many of all sets; about how many more leads it has.
+#: Least sets of a hot word, and one part in so many of all sets; about how many leads it has.
 HOT, SHARE, LEADS = 128, 3000, 48
 #: Most sets, or documents, that are broadcast; beyond it they are joined by shuffle.
 BROADCAST_ROWS = 500_000
@@ -54,25 +54,28 @@ BROADCAST_ROWS = 500_000
 SHORT = 80
 
 _PARITY = ["b0", "b1"]
-#: Blanks, each by itself: the regex engine then looks them up in one table of bits.
-_BLANKS = "[\\x09\\x0A\\x0B\\x0C\\x0D\\x20]+"
-#: Blanks other than the space; a line without them is split at single spaces, with no regex.
-_RARE_BLANKS = "\t\n\x0b\x0c\r"
+#: Blanks as they stand in the form of ``_encoded``.
+_BLANKS = "(?:\\+|%09|%0a|%0b|%0c|%0d)+"
+
+
+def _encoded(text: Column) -> Column:
+    """The text with A-Z as small letters, in URL form: all of it is ASCII, so Spark's lower does it byte by byte.
+
+    Letters outside ASCII are lower-case hex before and after, and no two texts
+    get one form but those that differ in A-Z alone.
+    """
+    return F.lower(F.url_encode(text))
 
 
 def _parts(text: Column) -> Column:
-    """The words of a text, with empty ones between and around blanks."""
-    rare = F.lit(False)
-    for blank in _RARE_BLANKS:
-        rare = rare | F.contains(text, F.lit(blank))
-    return F.when(rare, F.split(text, _BLANKS)).otherwise(F.split(text, " "))
+    """The encoded words of a text, with empty ones between and around blanks; without blanks but spaces, no regex is needed."""
+    whole = _encoded(text)
+    return F.when(F.contains(whole, F.lit("%0")), F.split(whole, _BLANKS)).otherwise(F.split(whole, "\\+"))
 
 
 def _words(text: Column) -> Column:
     """Hashes of the words of a text, and of the empty word where blanks meet or stand at an end."""
-    parts = lambda text, low: F.transform(_parts(text), lambda w: F.xxhash64(low(w)))
-    plain = F.octet_length(text) == F.length(text)
-    return F.when(plain, parts(F.lower(text), lambda w: w)).otherwise(parts(text, lowered))
+    return F.transform(_parts(text), lambda w: F.xxhash64(w))
 
 
 def _set(line: Column) -> Column:
@@ -87,8 +90,8 @@ def _plain(docs: DataFrame) -> DataFrame:
 
 def _ranks(docs: DataFrame) -> list[int]:
     """The rank of each counter, from the rarest on; each word counts as often as it stands in the texts."""
-    lines = _plain(docs).select(F.explode(F.split("text", "\n")).alias("line"))
-    each = lines.select(F.explode(_parts(F.col("line"))).alias("w")).select(F.xxhash64(lowered(F.col("w"))).alias("h"))
+    whole = F.replace(_encoded(F.col("text")), F.lit("%0a"), F.lit("+"))
+    each = _plain(docs).select(F.explode(F.split(whole, "\\+")).alias("w")).select(F.xxhash64("w").alias("h"))
     counted = each.groupBy(F.col("h").bitwiseAND(COUNTERS - 1).alias("i")).agg(F.count(F.lit(1)).alias("n")).collect()
     total = {r.i: r.n for r in counted}
     rank = [0] * COUNTERS
@@ -117,12 +120,12 @@ def _lines(docs: DataFrame, percent: int) -> DataFrame:
     Each step uses columns of the one before more than once, so Spark keeps
     them apart and compiles what is not a lambda.
     """
-    rank = constants([r << 49 for r in _ranks(docs)])
+    rank = constants([r << 47 for r in _ranks(docs)])
     place = ["doc_id", "text_hash", "line_no"]
     lines = _plain(docs).select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     hashed = lines.select(*place, _set(F.col("line")).alias("h"))
-    # a word is its rank and 49 bits of its hash, so order is by rarity and equal words stay equal
-    ranked = F.transform("h", lambda h: rank[h.bitwiseAND(COUNTERS - 1).cast("int")].bitwiseOR(F.shiftrightunsigned(h, 15)))
+    # a word is its rank and 47 bits of its hash, so order is by rarity and equal words stay equal
+    ranked = F.transform("h", lambda h: rank[h.bitwiseAND(COUNTERS - 1).cast("int")].bitwiseOR(F.shiftrightunsigned(h, 17)))
     sets = hashed.select(*place, F.size("h").alias("n"), F.sort_array(ranked).alias("own"))
     n, own = F.col("n"), F.col("own")
     keep = n - F.ceil(n * percent / F.lit(100)).cast("int") + 1
@@ -184,7 +187,7 @@ def _first_leads(rare: DataFrame) -> DataFrame:
 
 def _led(followers: DataFrame, leads: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (early, late) of a follower and an earlier lead of the same word that may match."""
-    met = _named(followers, "y").join(_named(leads, "x"), (F.col("x_p") == F.col("y_p")) & (F.col("x_nid") < F.col("y_nid")) & _may_match(percent))
+    met = _named(followers, "y").join(_named(leads, "x").hint("shuffle_hash"), (F.col("x_p") == F.col("y_p")) & (F.col("x_nid") < F.col("y_nid")) & _may_match(percent))
     return met.select(F.col("x_nid").alias("early"), F.col("y_nid").alias("late")).distinct()
 
 
@@ -196,25 +199,22 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     entries = sets.select("nid", "copies", "n", *_PARITY, F.posexplode("prefix").alias("pos", "p"))
     rare = entries.filter(F.col("pos") < STAR)
     first = checkpointed(_led(rare.drop("copies"), rare.join(_first_leads(rare), ["p", "nid"]).drop("copies"), percent))
-    words = _whole(docs, sets, first)
-    gone = checkpointed(_verified(first, words, percent), done=[words])
     # no more than SHARE words for each prefix word of a set can be so common
     hot = checkpointed(entries.groupBy("p").agg(F.count(F.lit(1)).alias("sets")).filter(F.col("sets") > max(HOT, sets.count() // SHARE)))
     crowded = entries.drop("copies").join(_sized(hot), "p")
     some = crowded.filter(F.pmod(F.xxhash64("nid", "p"), F.col("sets")) < LEADS)
-    more = checkpointed(_led(crowded.join(gone, "nid", "left_anti").drop("sets"), some.drop("sets"), percent).join(first, ["early", "late"], "left_anti"))
-    words = _whole(docs, sets, more)
-    found = checkpointed(gone.union(_verified(more, words, percent)), done=[gone, words, hot])
+    tried = checkpointed(first.union(_led(crowded.drop("sets"), some.drop("sets"), percent)).distinct(), done=[first, hot])
+    words = _whole(docs, sets, tried)
+    found = checkpointed(_verified(tried, words, percent), done=[words])
     gone = found.withColumn("gone", F.lit(True))
-    tried = first.union(more)
     marked = sets.join(_sized(gone), "nid", "left").select("nid", "gone", "n", *_PARITY, F.posexplode("prefix").alias("pos", "p"))
     n = F.col("n")
     x, y = _named(marked.filter(F.col("pos") <= n - F.ceil(2 * n * percent / F.lit(100 + percent))), "x"), _named(marked, "y")
     early, late = F.least("x_nid", "y_nid"), F.greatest("x_nid", "y_nid")
     smaller = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_nid") < F.col("y_nid")))
     left = F.when(F.col("x_nid") < F.col("y_nid"), F.col("y_gone")).otherwise(F.col("x_gone")).isNull()
-    second = x.join(y, (F.col("x_p") == F.col("y_p")) & smaller & left & _may_match(percent)).select(early.alias("early"), late.alias("late")).distinct()
-    second = checkpointed(second.join(tried, ["early", "late"], "left_anti"), done=[first, more])
+    second = x.hint("shuffle_hash").join(y, (F.col("x_p") == F.col("y_p")) & smaller & left & _may_match(percent)).select(early.alias("early"), late.alias("late")).distinct()
+    second = checkpointed(second.join(tried, ["early", "late"], "left_anti"), done=[tried])
     words = _whole(docs, sets, second)
     gone = checkpointed(found.union(_verified(second, words, percent)), done=[found, second, words]).withColumn("gone", F.lit(True))
     verdict = sets.select("nid", "k1", "k2", "at_doc", "at_hash", "at_line").join(gone, "nid", "left")

@@ -1,6 +1,7 @@
 """Empty tables, nulls, repeated rows and long texts for operators whose other tests don't have them."""
 
 import random
+import re
 
 import pytest
 
@@ -48,6 +49,21 @@ def test_crowds_of_near_lines(spark, monkeypatch, short):
     assert got == want
 
 
+def test_lines_in_and_outside_ascii_share_words(spark, monkeypatch):
+    taken = []
+    whole = line_dedup._whole
+    monkeypatch.setattr(line_dedup, "_whole", lambda *of: taken.append(of) or whole(*of))
+    lines = ["A+B 100% c,d E% %41 +x f~g h*i J", "a+b 100% C,D e% %41 +X f~g H*i j é", "a+b 100% c,d e% %41\x0b+x f~g h*i j É", "a b 100 c d e 41 x f g h i j é"]
+    lines += ["É é Ü ü one two three four five", "é É ü Ü\x85 ONE two three\tfour five", "É Ü one two three four five six", "%c3%a9 %c3%89 ü Ü one two three four", "é ü one two three four five seven"]
+    docs = [(i, line) for i, line in enumerate(lines)]
+    low = {c: c + 32 for c in range(65, 91)}
+    sets = [set(re.findall(r"[^\x20\x09-\x0D]+", t.translate(low))) for _, t in docs]
+    want = [(i, [0] if any(100 * len(s & k) >= 80 * len(s | k) for k in sets[:i]) else []) for i, s in enumerate(sets)]
+    got = sorted((r.doc_id, list(r.removed_lines)) for r in line_dedup.line_report(table(spark, docs)).collect())
+    assert got == want and 0 < sum(len(x) for _, x in want) < len(lines) - 2
+    assert len(taken) == 2  # the texts are gone through twice for whole sets, not once more for hot words
+
+
 def test_components_of_nameless_rows_and_empty_tables(spark):
     text = " ".join("abcdefghijklmnop")
     docs = [(1, text), (None, text), (2, text + " q"), (3, None)]

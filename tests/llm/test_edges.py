@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from kinotable.llm import jaccard_join, line_dedup, token_counts
@@ -49,10 +50,7 @@ def test_crowds_of_near_lines(spark, monkeypatch, short):
     assert got == want
 
 
-def test_lines_in_and_outside_ascii_share_words(spark, monkeypatch):
-    taken = []
-    whole = line_dedup._whole
-    monkeypatch.setattr(line_dedup, "_whole", lambda *of: taken.append(of) or whole(*of))
+def test_lines_in_and_outside_ascii_share_words(spark):
     lines = ["A+B 100% c,d E% %41 +x f~g h*i J", "a+b 100% C,D e% %41 +X f~g H*i j é", "a+b 100% c,d e% %41\x0b+x f~g h*i j É", "a b 100 c d e 41 x f g h i j é"]
     lines += ["É é Ü ü one two three four five", "é É ü Ü\x85 ONE two three\tfour five", "É Ü one two three four five six", "%c3%a9 %c3%89 ü Ü one two three four", "é ü one two three four five seven"]
     docs = [(i, line) for i, line in enumerate(lines)]
@@ -61,7 +59,15 @@ def test_lines_in_and_outside_ascii_share_words(spark, monkeypatch):
     want = [(i, [0] if any(100 * len(s & k) >= 80 * len(s | k) for k in sets[:i]) else []) for i, s in enumerate(sets)]
     got = sorted((r.doc_id, list(r.removed_lines)) for r in line_dedup.line_report(table(spark, docs)).collect())
     assert got == want and 0 < sum(len(x) for _, x in want) < len(lines) - 2
-    assert len(taken) == 2  # the texts are gone through twice for whole sets, not once more for hot words
+
+def test_rare_words_are_told_from_common_ones(spark):
+    rare, common = [f"r{i}" for i in range(20_000)], [f"c{i}" for i in range(60)]
+    docs = spark.createDataFrame([(1, " ".join(rare)), (2, "\n".join([" ".join(common)] * 50))], "doc_id long, text string")
+    ranks = line_dedup._ranks(docs)
+    words = spark.createDataFrame([(w,) for w in rare + common], "w string").select("w", F.xxhash64("w").alias("h")).collect()
+    place = {r.w: ranks[r.h & (line_dedup.COUNTERS - 1)] for r in words}
+    first = min(place[w] for w in common)
+    assert sum(place[w] >= first for w in rare) < 40  # rare words that share a common word's counter
 
 
 def test_components_of_nameless_rows_and_empty_tables(spark):
